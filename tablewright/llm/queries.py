@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe_round_trip
+from .language_id import op1_language_id
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_token_counts": op6_token_counts,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}
