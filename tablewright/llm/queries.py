@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op8_bpe_round_trip
 from .language_id import op1_language_id
+from .simhash import op5_simhash_dedup
 from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
