@@ -30,21 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import append_columns, spans_of, table, text_array
-from .pretokens import default_path
+from .pretokens import BLANKS, NUMBERS, byte_letters, default_path, is_narrow
 
 NONE = np.iinfo(np.int64).max
 MEMO = 200_000
 # White space as the vocabulary's normaliser knows it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The file's pattern over lower-cased ASCII, where the standard library's engine is faster.
-ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
-
-
-def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+#: The file's pattern over lower-cased texts of the first 256 characters, where the standard library's engine is faster.
+SMALL = "a-zªµºß-öø-ÿ"
+NARROW_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{SMALL}]+|[{NUMBERS}]|[^{BLANKS}{SMALL}{NUMBERS}]+"
 
 
 class WordBpe:
@@ -69,9 +63,8 @@ class WordBpe:
         self.text_of = {i: s for s, i in (vocab | added).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")").split
         self.fold = re.compile(f"[{SPACE}]+").sub
-        self.fold_ascii = re.compile("[\t-\r ]+").sub
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.find_ascii = re.compile(ASCII_WORDS).findall
+        self.find_narrow = re.compile(NARROW_WORDS).findall
         self.ids: dict[str, int] = {}
         self.forget()
 
@@ -87,8 +80,8 @@ class WordBpe:
         return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.find_ascii(text.lower())
+        if is_narrow(text):
+            return self.find_narrow(text.lower())
         text = self.fold(" ", unicodedata.normalize("NFC", text))
         return self.find(text.replace("Σ", "σ").lower())  # sigma by itself, not by its place in the word
 

@@ -6,13 +6,14 @@ import os
 import re
 from collections.abc import Callable
 
-import numpy as np
 import regex
 
 # Fixed value: the pattern that this vocabulary family splits text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same pattern over ASCII text, where the standard library's engine is faster.
-ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+# Letters, numbers and white space among the first 256 characters.
+LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+#: The same pattern over texts of those characters, where the standard library's engine is faster.
+NARROW_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: Distinct pre-tokens that a Python worker remembers between blocks; beyond it, it forgets all.
 MEMO = 300_000
 
@@ -23,12 +24,34 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def is_narrow(text: str) -> bool:
+    """Whether all characters are among the first 256."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def ids_of_words(tokenizer, added: dict[str, int]) -> Callable[[list[str]], list[list[int]]]:
+    """The library's ids of single pre-tokens (an added token is its own id)."""
+    letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+    merge = tokenizer.model.tokenize
+    return lambda words: [[added[w]] if w in added else [t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
+
+
 class Pretokens:
     """Splits texts as the vocabulary's library does; added tokens stand for themselves."""
 
     def __init__(self, added: dict[str, int]):
         self.find = regex.compile(PATTERN).findall
-        self.find_ascii = re.compile(ASCII_PATTERN).findall
+        self.find_narrow = re.compile(NARROW_PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         self.added = added
         self.marks = [x[:2] for x in added]
@@ -45,7 +68,7 @@ class Pretokens:
         return self.split(text)
 
     def split(self, text: str) -> list[str]:
-        return self.find_ascii(text) if text.isascii() else self.find(text)
+        return self.find_narrow(text) if is_narrow(text) else self.find(text)
 
 
 def load(path: str):
@@ -75,8 +98,3 @@ class Memo:
             known.update(zip(new, self.compute(new), strict=True))
         return list(map(known.__getitem__, words))
 
-
-def ragged(parts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenation of arrays, and their lengths."""
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else np.zeros(0)).astype(dtype, copy=False), lengths

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe_round_trip
 from .language_id import op1_language_id
+from .packing import op7_packing
 from .simhash import op5_simhash_dedup
 from .token_counts import op6_token_counts
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, table, text_array
-from .pretokens import Memo, Pretokens, default_path, load
+from .pretokens import Memo, Pretokens, default_path, ids_of_words, load
 
 
 def count_tokens(df: DataFrame, vocabulary: str | None = None, limit: int = 512, text_col: str = "text") -> DataFrame:
@@ -29,7 +29,8 @@ def count_tokens(df: DataFrame, vocabulary: str | None = None, limit: int = 512,
     def start():
         tokenizer, added = load(vocabulary or default_path("byte_bpe_50k.json"))
         split = Pretokens(added)
-        memo = Memo(lambda words: [len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        ids_of = ids_of_words(tokenizer, added)
+        memo = Memo(lambda words: list(map(len, ids_of(words))))
 
         def work(column: pa.Array) -> list[pa.Array]:
             texts = text_array(column)

@@ -3,7 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from tablewright.llm.pretokens import Pretokens, default_path
+from tablewright.llm.pretokens import Pretokens, default_path, is_narrow
 from tablewright.llm.token_counts import count_tokens, op6_token_counts
 
 ODD = [
@@ -48,7 +48,14 @@ def test_empty_table_and_repeated_rows(spark):
 
 
 @pytest.mark.parametrize("text", ODD)
-def test_ascii_pattern_is_the_same_split(text):
+def test_narrow_pattern_is_the_same_split(text):
     p = Pretokens({})
-    if text.isascii():
-        assert p.find_ascii(text) == p.find(text)
+    if is_narrow(text):
+        assert p.find_narrow(text) == p.find(text)
+
+
+def test_narrow_classes_name_all_first_characters():
+    p = Pretokens({})
+    for i in range(256):
+        for text in (chr(i), "a" + chr(i) + "1", " " + chr(i) + " ", chr(i) * 2 + "b", "1" + chr(i)):
+            assert p.find_narrow(text) == p.find(text), i
