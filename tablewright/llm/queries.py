@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_round_trip
+from .embedding_dedup import op2_embedding_dedup
 from .language_id import op1_language_id
 from .packing import op7_packing
 from .simhash import op5_simhash_dedup
@@ -10,10 +11,27 @@ from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+            FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM v
+            UNION
+            SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), classes AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM classes c
+    """,
+}
