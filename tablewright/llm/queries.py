@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_round_trip
+from .curves import op3_nearest_neighbours
 from .embedding_dedup import op2_embedding_dedup
 from .language_id import op1_language_id
 from .packing import op7_packing
@@ -12,6 +13,7 @@ from .token_counts import op6_token_counts
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
