@@ -7,6 +7,8 @@ from .curves import op3_nearest_neighbours
 from .embedding_dedup import op2_embedding_dedup
 from .language_id import op1_language_id
 from .packing import op7_packing
+from .pii import op9_personal_data
+from .quality import op4_quality
 from .simhash import op5_simhash_dedup
 from .token_counts import op6_token_counts
 
@@ -14,10 +16,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_quality": op4_quality,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
