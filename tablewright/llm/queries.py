@@ -6,6 +6,7 @@ from .bpe import op8_bpe_round_trip
 from .curves import op3_nearest_neighbours
 from .embedding_dedup import op2_embedding_dedup
 from .language_id import op1_language_id
+from .line_dedup import op10_line_dedup
 from .packing import op7_packing
 from .pii import op9_personal_data
 from .quality import op4_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_personal_data": op9_personal_data,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
