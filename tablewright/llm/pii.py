@@ -93,7 +93,7 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _votes(kind: int, hit: Column, before: Column, after: Column, base: Column) -> list[Column]:
+def _votes(kind: int, hit: Column, before: Column, after: Column, base: bool, good: Column) -> list[Column]:
     digits, left, right = _digits(hit), F.lower(F.right(before, F.lit(40))), F.lower(F.left(after, F.lit(24)))
     same = digits.rlike(r"^([0-9])\1*$")
     shape = (
@@ -109,7 +109,7 @@ def _votes(kind: int, hit: Column, before: Column, after: Column, base: Column)
         _vote(hit.rlike(rf"^\+(?:{CALLING})") | hit.rlike(r"^\(?[2-9][0-8][0-9]"), F.lit(True)),
     )[kind]
     return [
-        _vote(base, F.lit(False)),
+        _vote(good, F.lit(base)),  # the base pattern with its checks; wider patterns leave it open
         shape,
         gazetteer,
         _vote(left.rlike(BEFORE_YES[kind]), left.rlike(BEFORE_NO)),
@@ -130,7 +130,7 @@ def _found(text: Column, pattern: str, kind: int, base: bool) -> Column:
         end = start + F.length(p["hit"])
         good = F.coalesce(_valid(kind, p["hit"]), F.lit(False)) if base else F.lit(False)
         keep = good | _possible(kind, p["hit"]) if base else F.lit(True)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), good.alias("base"), *(v.alias(n) for n, v in zip(LABELERS, _votes(kind, p["hit"], p["gap"], p["after"], good), strict=True)))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), good.alias("base"), *(v.alias(n) for n, v in zip(LABELERS, _votes(kind, p["hit"], p["gap"], p["after"], base, good), strict=True)))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(state)
 
     start = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state)
