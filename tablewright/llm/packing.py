@@ -41,7 +41,7 @@ END_ID = 1
 GRAIN = 8
 MAX_COLUMNS = 600
 #: Pieces of one class that one ranking task sorts, about.
-RANKED = 200_000
+RANKED = 4_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
