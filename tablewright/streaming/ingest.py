@@ -25,5 +25,6 @@ def stream_rows(words: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(window_start, event_type, n, value) of an event stream, with late rows dropped by a watermark."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = timed.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "value")
