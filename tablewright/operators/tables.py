@@ -64,11 +64,11 @@ def read_lines(words: DataFrame) -> DataFrame:
     placed = placed.withColumn("col", F.least("col", column_index(F.col("x") + 1, F.col("bounds"))))
     by_col = placed.groupBy(*PAGE, "line_id", "col").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("cell"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("top").alias("y"),
+        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
     )
     lines = by_col.groupBy(*PAGE, "line_id").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"),
+        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
     )
     cut = F.transform("headers", lambda _, i: F.coalesce(F.try_element_at("m", i), F.lit("")))
     lines = lines.withColumn("cells", cut).withColumn("text", F.array_join(F.filter("cells", lambda c: c != ""), " "))
@@ -81,7 +81,7 @@ def read_lines(words: DataFrame) -> DataFrame:
         .when(T.is_repeated_header(F.col("cells"), F.col("headers")), "repeated-header").when(T.is_summary(F.col("cells"), item), "summary")
         .when(~item & T.is_starred(F.col("text")) & F.col("text").rlike("[A-Za-z]"), "label").when(item, "item").otherwise("unplaced")
     )
-    return lines.select(*PAGE, "line_id", "headers", "cells", "text", "notes", "confidence", "x", "y", kind.alias("kind"))
+    return lines.select(*PAGE, "line_id", "headers", "cells", "text", "notes", "confidence", "x", "y", "bottom", "height", kind.alias("kind"))
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
@@ -90,6 +90,63 @@ def table_rows(lines: DataFrame) -> DataFrame:
     return lines.where("kind IN ('item', 'label')").select(*PAGE, row.alias("row"), "headers", "cells", "confidence", (F.col("kind") == "label").alias("label"))
 
 
+def with_wraps(lines: DataFrame, reach: float = 1.5, most: int = 3) -> DataFrame:
+    """``lines`` with ``head``, the line whose row they belong to; continuations get the kind wrap.
+
+    A line continues the one above it if it is unplaced, fills at most ``most`` cells, all
+    in text columns, and starts within ``reach`` line heights of the line before. A run of
+    them belongs to the item or label it follows; without one, it stays unplaced.
+    """
+    kinds = column_kinds(table_rows(lines)).where("kind = 'text'").groupBy(*PAGE).agg(F.collect_set("col").alias("texts"))
+    order = W.partitionBy(*PAGE).orderBy("line_id")
+    filled = F.filter(F.transform("cells", lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
+    near = F.col("y") - F.lag("bottom").over(order) <= reach * F.col("height")
+    fits = (F.col("kind") == "unplaced") & F.size(filled).between(1, most) & F.forall(filled, lambda i: F.array_contains("texts", i))
+    joined = lines.join(kinds, PAGE, "left").withColumn("_fits", F.coalesce(fits & near, F.lit(False)))
+    head = F.last(F.when(~F.col("_fits"), F.struct("line_id", "kind")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    marked = joined.withColumn("_h", head)
+    wraps = F.col("_fits") & F.col("_h.kind").isin("item", "label")
+    return marked.withColumn("head", F.when(wraps, F.col("_h.line_id")).otherwise(F.col("line_id"))).withColumn("kind", F.when(wraps, "wrap").otherwise(F.col("kind"))).drop("_fits", "_h", "texts")
+
+
+def wrapped_rows(lines: DataFrame) -> DataFrame:
+    """``table_rows`` with continuation lines appended to the cells of their row; confidence is the first line's."""
+    own = with_wraps(lines).where("kind IN ('item', 'label', 'wrap')")
+    rows = own.groupBy(*PAGE, F.col("head").alias("line_id")).agg(
+        F.array_sort(F.collect_list(F.struct("line_id", "cells"))).alias("ls"), F.first("headers").alias("headers"),
+        F.max(F.when(F.col("kind") != "wrap", F.col("confidence"))).alias("confidence"), F.max(F.when(F.col("kind") != "wrap", F.col("kind"))).alias("kind"),
+    )
+    both = lambda a, b: F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+    cells = F.aggregate(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0))), F.col("ls")[0]["cells"], lambda acc, l: F.zip_with(acc, l["cells"], both))
+    return table_rows(rows.withColumn("cells", cells))
+
+
+def page_titles(words: DataFrame, keyword: str = "invoice|statement|order|settlement|inventory|receipt", lines: int = 16, least: int = 30) -> DataFrame:
+    """(doc, page, title): the best scored of the first lines: a keyword 50, height up to 30, upper case 15.
+
+    Lines with addresses of the web, dates or amounts, and lines of titles, are none.
+    """
+    grouped = group_lines(words).where(F.col("line_id") < lines).groupBy(*PAGE, "line_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("text"), F.avg("height").alias("height"), F.sum(F.col("text").rlike(TITLES).cast("int")).alias("hits")
+    )
+    text = F.col("text")
+    barred = (F.length(text) < 4) | text.rlike(r"(?i)www\.|https?:|@|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]\.[0-9]{2}\b") | (F.col("hits") >= LEAST_TITLES)
+    score = F.when(text.rlike(f"(?i)\\b(?:{keyword})\\b"), 50).otherwise(0) + F.least("height", F.lit(30.0)) + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 15).otherwise(0)
+    scored = grouped.where(~barred).withColumn("score", score).where(F.col("score") > least)
+    return scored.groupBy(*PAGE).agg(F.max_by("text", F.struct("score", -F.col("line_id"))).alias("title"))
+
+
+# Six marks of a weekly invoice, letters and digits only.
+WEEKLY_MARKS = ("netsales", "totalduebywed", "weeklyinvoice", "salescommission", "cashescommission", "packssettled")
+
+
+def weekly_invoices(words: DataFrame, least: int = 2) -> DataFrame:
+    """(doc, page) of the pages on which ``least`` marks of a weekly invoice are printed."""
+    page = group_lines(words).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "nth", "text"))), lambda s: s["text"]), " ").alias("text"))
+    marks = sum((F.contains(T.flat(F.col("text")), F.lit(m)).cast("int") for m in WEEKLY_MARKS), F.lit(0))
+    return page.where(marks >= least).select(*PAGE)
+
+
 def skipped_lines(lines: DataFrame) -> DataFrame:
     """(doc, page, reason, text, confidence, y, x): every line left out and why, and notes cut from items."""
     out = lines.where("kind IN ('furniture', 'repeated-header', 'summary', 'unplaced')").select(*PAGE, F.col("kind").alias("reason"), "text", "confidence", "y", "x")

@@ -553,3 +553,52 @@ def ink_gaps(spark, sf_dir):
     page = F.encode(F.repeat(row, 10), "ISO-8859-1")
     gaps = recogniser.ink_gaps_of(page, (F.col("r_regionkey") + 16).cast("int"), F.lit(10))
     return load(spark, sf_dir, "region").select("r_regionkey", gaps[0]["start"].alias("start"), gaps[0]["end"].alias("end"))
+
+
+WRAP_SQL = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc, o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)"
+
+
+@query(f"""WITH {WRAP_SQL} SELECT doc, CAST(n // 10 + 1 AS INT) AS page, CAST(n % 10 AS BIGINT) AS row_no, 'ORD' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS item,
+    'FINE GOODS' || CASE WHEN o_orderkey % 2 = 0 THEN ' MADE TO LAST' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN ' AND MORE' ELSE '' END AS description FROM o""")
+def read_wrapped_rows(spark, sf_dir):
+    """Descriptions that run on over one or two more lines come back in one cell."""
+    paged = number_pages(load(spark, sf_dir, "orders"), F.expr("cast(o_custkey as string)"), ["o_orderkey"], 10)
+    blank = F.lit("")
+    first = paged.select("doc", "page", (F.col("line") * 3).alias("line"), F.array(F.lit("1"), F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")), F.lit("FINE GOODS"), decimal_text("o_totalprice")).alias("cells"))
+    second = paged.where("o_orderkey % 2 = 0").select("doc", "page", (F.col("line") * 3 + 1).alias("line"), F.array(blank, blank, F.lit("MADE TO LAST"), blank).alias("cells"))
+    third = paged.where("o_orderkey % 4 = 0").select("doc", "page", (F.col("line") * 3 + 2).alias("line"), F.array(blank, blank, F.lit("AND MORE"), blank).alias("cells"))
+    words = print_table(first.unionByName(second).unionByName(third), ["QTY", "ITEM#", "DESCRIPTION", "PRICE"], [60.0, 200.0, 400.0, 900.0], F.lit(True))
+    rows = tables.wrapped_rows(tables.read_lines(words))
+    return rows.select("doc", "page", F.col("row").cast("long").alias("row_no"), F.element_at("cells", 2).alias("item"), F.element_at("cells", 3).alias("description"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc, 'WEEKLY INVOICE OF ' || c_mktsegment AS title, TRUE AS weekly FROM customer")
+def page_titles(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    texts = [F.lit("www.example.com"), F.concat(F.lit("WEEKLY INVOICE OF "), F.col("c_mktsegment")), F.lit("01/02/24 printed"), F.lit("Net Sales 12.00"), F.lit("QTY PRICE AMOUNT")]
+    lines = c.select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line", "text"))
+    words = print_lines(lines)
+    weekly = tables.weekly_invoices(words).withColumn("weekly", F.lit(True))
+    return tables.page_titles(words).join(weekly, ["doc", "page"], "left").select("doc", "title", F.coalesce("weekly", F.lit(False)).alias("weekly"))
+
+
+@query("SELECT doc_id AS doc, CAST(1 AS INT) AS page FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE trim(w) <> '' GROUP BY doc_id HAVING count(*) >= 8 AND sum(length(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))) >= 40")
+def usable_text_layers(spark, sf_dir):
+    """Pages of a text layer with enough words to be read without a recogniser."""
+    from tablewright.sources.pages import usable_pages
+
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.explode(F.split("text", " ")).alias("text")).where(F.trim("text") != "")
+    return usable_pages(words)
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY o_custkey")
+def posted_pages(spark, sf_dir):
+    """Pages posted as JSON come back as export pages."""
+    from tablewright.sources.pages import posted_pages as parse
+
+    page = order_pages(spark, sf_dir)
+    rows = F.transform("rows", lambda r: F.struct(r.alias("cells"), F.lit(1.0).alias("confidence")))
+    posts = page.select("doc", F.to_json(F.struct("page", "kind", "headers", rows.alias("rows"))).alias("body"))
+    cells = parse(posts).select("doc", "page", F.explode("rows").alias("cells"))
+    key = F.when(F.col("page") % 2 == 1, F.col("cells")[0]).otherwise(F.col("cells")[1])
+    return cells.groupBy("doc").agg(F.count("*").alias("n"), F.sum(key.cast("long")).alias("keys"))
