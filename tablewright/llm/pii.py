@@ -234,7 +234,8 @@ def fit_patterns(rows: list[tuple[tuple[int, ...], int]]) -> SpanModel:
 
 def learn_spans(candidates: DataFrame) -> SpanModel:
     """Fit on the votes of all candidates of all rows."""
-    s = candidates.select(F.explode("candidates").alias("s"))
+    # outer, so that no filter on the array is inferred: it would find all candidates a second time
+    s = candidates.select(F.explode_outer("candidates").alias("s")).where("s IS NOT NULL")
     counts = s.groupBy("s.kind", *(f"s.{x}" for x in LABELERS)).agg(F.count("*").alias("n")).collect()
     return fit_patterns(sorted((tuple(r[:-1]), r.n) for r in counts))
 
