@@ -7,7 +7,7 @@ rows array<array<string>>).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,9 +63,9 @@ def export_rows(pages: DataFrame) -> DataFrame:
 
 def page_key(layout: DataFrame) -> DataFrame:
     """(doc, page_title, page_key): names for the page column that no printed title takes."""
-    taken = layout.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    csv = F.when(F.array_contains("keys", "Page"), "Page (document)").otherwise("Page")
-    js = F.when(F.array_contains("keys", "page"), "page (document)").otherwise("page")
+    taken = layout.groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set("title").alias("titles"))
+    csv = F.when(F.array_contains("titles", "Page"), "PDF Page").otherwise("Page")
+    js = F.when(F.array_contains("keys", "page"), "pdfPage").otherwise("page")
     return taken.select("doc", csv.alias("page_title"), js.alias("page_key"))
 
 
@@ -108,3 +108,72 @@ def extra_tables(tables: DataFrame, dropped: DataFrame | None = None) -> DataFra
     merged = keyed.groupBy("doc", "key", "title", "headers").agg(F.min(F.struct("page", "pos")).alias("at"), rows.alias("rows"))
     out = merged.withColumn("ord", F.row_number().over(W.partitionBy("doc").orderBy("at")) - 1).withColumn("slug", T.slugify(F.col("title"))).drop("at")
     return out.join(dropped, ["doc", "key"], "left_anti") if dropped is not None else out
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    shown = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(shown, F.lit(2), F.length(shown) - 2))
+
+
+def _pairs(keys: Column, cells: Column) -> Column:
+    """Members of a JSON object, cells by place; of keys that repeat, the last one's cell."""
+    cell = lambda k: F.coalesce(F.try_element_at(cells, (F.size(keys) - F.array_position(F.reverse(keys), k) + 1).cast("int")), F.lit(""))
+    return F.array_join(F.transform(F.array_distinct(keys), lambda k: F.concat(_quoted(k), F.lit(":"), _quoted(cell(k)))), ",")
+
+
+def _member(name: str, value: Column) -> Column:
+    """A member with its comma, nothing where the value is null."""
+    return F.coalesce(F.concat(F.lit(f',"{name}":'), value), F.lit(""))
+
+
+def _fitted(headers: Column, cells: Column) -> Column:
+    return F.transform(headers, lambda _, i: F.coalesce(F.try_element_at(cells, i + 1), F.lit("")))
+
+
+def table_csv(extra: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc, key, csv): each of ``extra_tables`` by itself, with its pages in documents of several."""
+    paged = F.col("total") > 1
+    page = F.when(F.array_contains("headers", "Page"), "PDF Page").otherwise("Page")
+    line = lambda cells: F.array_join(F.transform(cells, T.csv_field), ",")
+    head = F.when(paged, F.concat(F.array(page), F.col("headers"))).otherwise(F.col("headers"))
+    row = lambda r: F.when(paged, F.concat(F.array(r["page"].cast("string")), _fitted(F.col("headers"), r["cells"]))).otherwise(_fitted(F.col("headers"), r["cells"]))
+    lines = F.concat(F.array(line(head)), F.transform("rows", lambda r: line(row(r))))
+    return extra.join(totals, "doc").select("doc", "key", F.array_join(lines, "\r\n").alias("csv"))
+
+
+def table_json(extra: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc, key, ord, json): the same as JSON; a column titled page takes the page's place."""
+    paged = (F.col("total") > 1) & ~F.array_contains("headers", "page")
+    row = lambda r: F.concat(F.lit("{"), F.when(paged, F.concat(F.lit('"page":'), r["page"].cast("string"), F.when(F.size("headers") > 0, ",").otherwise(""))).otherwise(""), _pairs(F.col("headers"), r["cells"]), F.lit("}"))
+    rows = F.concat(F.lit("["), F.array_join(F.transform("rows", row), ","), F.lit("]"))
+    json = F.concat(F.lit('{"title":'), _quoted(F.col("title")), _member("headers", F.to_json("headers")), _member("rows", rows), F.lit("}"))
+    return extra.join(totals, "doc").select("doc", "key", "ord", json.alias("json"))
+
+
+def document_json(pages: DataFrame, totals: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(doc, json): one page in its own shape, several under the document's columns.
+
+    pages have a ``title`` (null or blank where none is printed); ``extra`` is the result
+    of ``extra_tables``. Documents without a page have no row.
+    """
+    layout = document_layout(pages)
+    first = pages.groupBy("doc").agg(F.min_by(F.struct("kind", "headers", "rows"), "page").alias("p"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("page"))).alias("title"), F.min_by(F.nullif("title", F.lit("")), "page").alias("own"))
+    keys = layout.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda s: s["key"]).alias("keys")).join(page_key(layout), "doc")
+    line = F.concat(F.lit("{"), _quoted(F.col("page_key")), F.lit(":"), F.col("page").cast("string"), F.lit(","), _pairs(F.col("keys"), F.col("cells")), F.lit("}"))
+    body = export_rows(pages).join(keys, "doc").select("doc", "page", "row", line.alias("line")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "row", "line"))), lambda s: s["line"]), ",").alias("lines"))
+    missing = missing_pages(pages, totals).groupBy("doc").agg(F.to_json(F.array_sort(F.collect_list("page"))).alias("missing"))
+    whole = first.join(totals, "doc").join(document_kinds(pages), "doc").join(keys, "doc", "left").join(body, "doc", "left").join(missing, "doc", "left")
+    tables = F.lit(None).cast("string")
+    if extra is not None:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda t: t["json"]), ",")
+        whole = whole.join(table_json(extra, totals).groupBy("doc").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("_tables")), "doc", "left")
+        tables = F.col("_tables")
+    rows = F.array_join(F.transform("p.rows", lambda r: F.concat(F.lit("{"), _pairs(F.col("p.headers"), r), F.lit("}"))), ",")
+    listed = lambda c: F.concat(F.lit("["), F.coalesce(c, F.lit("")), F.lit("]"))
+    one = F.concat(F.lit('{"kind":'), _quoted(F.col("p.kind")), _member("title", _quoted(F.col("own"))), _member("headers", F.to_json("p.headers")), _member("rows", listed(rows)), _member("tables", tables), F.lit("}"))
+    many = F.concat(
+        F.lit('{"kind":'), _quoted(F.col("kind")), _member("title", _quoted(F.col("title"))), _member("pages", F.col("total").cast("string")), _member("missingPages", F.col("missing")),
+        _member("headers", F.coalesce(F.to_json("keys"), F.lit("[]"))), _member("rows", listed(F.col("lines"))), _member("tables", tables), F.lit("}"),
+    )
+    return whole.select("doc", F.when(F.col("total") > 1, many).otherwise(one).alias("json"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import text as T
 
 from .geometry import PAGE, group_lines
+from .words import with_lone_dates
 
 
 def _joined(when: Column) -> Column:
@@ -31,17 +32,17 @@ def _page_right(words: DataFrame) -> DataFrame:
 
 
 def settlements(words: DataFrame) -> DataFrame:
-    """(doc, page, row, cells, confidence): Game-Pack, Name, Date Settled."""
+    """(doc, page, row, cells, confidence): Game-Pack, Name, Date Settled; a lone date opens a row without a pack."""
     lines = _page_right(group_lines(words))
     pack = T.pack_token(F.col("text"))
     is_pack = pack.rlike("^[0-9]{3}-[0-9]{5,8}$") & (F.col("x") < 0.4 * F.col("page_right"))
     date = F.when(F.col("x") >= 0.4 * F.col("page_right"), T.settled_date(F.col("text")))
-    marked = lines.withColumns({"pack": F.when(is_pack, pack), "date": date})
+    marked = with_lone_dates(lines.withColumns({"pack": F.when(is_pack, pack), "date": date}))
     rows = marked.groupBy(*PAGE, "line_id").agg(
         F.min_by("pack", F.when(F.col("pack").isNotNull(), F.col("x"))).alias("pack"), F.max_by("date", F.when(F.col("date").isNotNull(), F.col("x"))).alias("date"),
-        _joined(F.col("pack").isNull() & F.col("date").isNull()).alias("name"), F.avg("confidence").alias("confidence"),
+        _joined(F.col("pack").isNull() & F.col("date").isNull()).alias("name"), F.avg("confidence").alias("confidence"), F.max("lone").alias("lone"),
     )
-    return _numbered(rows.where("pack IS NOT NULL"), [F.col("pack"), F.col("name"), F.coalesce("date", F.lit(""))])
+    return _numbered(rows.where("pack IS NOT NULL OR lone"), [F.coalesce("pack", F.lit("")), F.col("name"), F.coalesce("date", F.lit(""))])
 
 
 def stated_packs(words: DataFrame) -> DataFrame:

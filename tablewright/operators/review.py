@@ -44,3 +44,17 @@ def search(rows: DataFrame, query: str) -> DataFrame:
 def first_rows(rows: DataFrame, n: int = 12) -> DataFrame:
     """The first ``n`` rows of each document, as a viewer shows them."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("doc").orderBy("page", "row"))).where(F.col("_n") <= n).drop("_n")
+
+
+def moved_lines(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of two readings of the same columns that are not in both, with ``side`` - or +; repeats count."""
+    gone, new = before.exceptAll(after), after.exceptAll(before)
+    return gone.withColumn("side", F.lit("-")).unionByName(new.withColumn("side", F.lit("+")))
+
+
+def overlay(words: DataFrame, pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Words as percentages of their page's width and height, and whether they were read unsurely."""
+    size = pages.select("doc", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    at = words.join(size, ["doc", "page"])
+    share = lambda c, of: (100 * F.col(c) / F.col(of)).alias(c)
+    return at.select("doc", "page", "word_id", "text", share("x", "_w"), share("y", "_h"), share("width", "_w"), share("height", "_h"), (F.col("confidence") < threshold).alias("low"))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions import display
 from tablewright.operators import checks, export, geometry, readers, recogniser, review, skips, tables
+from tablewright.operators import words as finding
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
 
@@ -602,3 +604,134 @@ def posted_pages(spark, sf_dir):
     cells = parse(posts).select("doc", "page", F.explode("rows").alias("cells"))
     key = F.when(F.col("page") % 2 == 1, F.col("cells")[0]).otherwise(F.col("cells")[1])
     return cells.groupBy("doc").agg(F.count("*").alias("n"), F.sum(key.cast("long")).alias("keys"))
+
+
+GLUED_SQL = "w AS (SELECT l_orderkey, l_linenumber, [lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0'), lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0'), lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 3, '0'), '007'][1:l_linenumber % 3 + 2] AS counts FROM lineitem)"
+
+
+def glued_words(spark, sf_dir):
+    """Words of two to four glued counts, one a line item; some glued by dots."""
+    three = lambda c: F.lpad(c.cast("long").cast("string"), 3, "0")
+    counts = F.slice(F.array(three(F.col("l_partkey") % 1000), three(F.col("l_suppkey") % 1000), three(F.col("l_quantity")), F.lit("007")), 1, F.col("l_linenumber") % 3 + 2)
+    glue = F.when(F.col("l_orderkey") % 2 == 0, F.array_join(counts, "")).otherwise(F.array_join(counts, "."))
+    items = load(spark, sf_dir, "lineitem")
+    return items.select(
+        F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").cast("long").alias("line_id"), F.xxhash64("l_orderkey", "l_linenumber").alias("word_id"), glue.alias("text"),
+        F.lit(100.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(120.0).alias("width"), F.lit(20.0).alias("height"), F.lit(1.0).alias("confidence"),
+    )
+
+
+@query(f"WITH {GLUED_SQL} SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS line_id, counts[i] AS count_text, CAST(100 + 120.0 / len(counts) * (i - 1) AS DOUBLE) AS x FROM w, range(1, 5) t(i) WHERE i <= len(counts)")
+def split_counts(spark, sf_dir):
+    words = finding.split_counts(glued_words(spark, sf_dir))
+    return words.select("doc", "line_id", F.col("text").alias("count_text"), "x")
+
+
+@query("SELECT o_orderkey AS doc, lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' 040 007' AS counts FROM orders")
+def tight_counts(spark, sf_dir):
+    """Four glued counts lie closer than any run with the number that stands apart from them."""
+    three = lambda c: F.lpad((F.col(c) % 1000).cast("string"), 3, "0")
+    glued = F.struct(F.concat(three("o_custkey"), three("o_orderkey"), F.lit("040007")).alias("text"), F.lit(100.0).alias("x"), F.lit(120.0).alias("width"))
+    apart = F.struct(F.lit("12").alias("text"), F.lit(20.0).alias("x"), F.lit(20.0).alias("width"))
+    placed = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("line_id"), F.posexplode(F.array(apart, glued)).alias("word_id", "w"))
+    words = placed.select("doc", "page", "line_id", F.col("word_id").cast("long").alias("word_id"), "w.*")
+    return finding.tight_counts(words).select("doc", F.array_join("counts", " ").alias("counts"))
+
+
+@query("SELECT o_orderkey, lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS pack, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE 1 END AS INT) AS halves FROM orders")
+def find_packs(spark, sf_dir):
+    """Pack codes printed with a hyphen, without, and in two words."""
+    game, number = F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")
+    form = F.element_at(F.array(F.array(F.concat_ws("-", game, number)), F.array(F.concat(game, number)), F.array(game, number)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    cells = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("line_id"), F.posexplode(F.concat(form, F.array(F.lit("NAME")))).alias("i", "text"))
+    words = cells.select("doc", "page", "line_id", F.xxhash64("doc", "i").alias("word_id"), "text", (F.col("i") * 50.0).alias("x"), F.lit(0.0).alias("y"), F.lit(40.0).alias("width"), F.lit(20.0).alias("height"))
+    return finding.line_packs(words).select(F.col("doc").alias("o_orderkey"), "pack", "halves")
+
+
+@query("""WITH d AS (SELECT o_custkey // 8 AS doc, o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey // 8 ORDER BY o_orderkey) - 1 AS n FROM orders)
+    SELECT CAST(doc AS VARCHAR) AS doc, CAST(n // 25 + 1 AS INT) AS page, CAST(n % 25 AS BIGINT) AS row_no, CASE WHEN n % 25 % 6 = 4 THEN '' ELSE lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') END AS pack,
+        'GAME ' || CAST(o_custkey AS VARCHAR) AS name, strftime(o_orderdate, '%m/%d/%y') AS settled FROM d""")
+def read_lone_dates(spark, sf_dir):
+    """Settlements of which every sixth has no readable pack code keep their row by their date."""
+    paged = number_pages(load(spark, sf_dir, "orders"), F.expr("cast(o_custkey div 8 as string)"), ["o_orderkey"], 25)
+    pack = F.when(F.col("line") % 6 == 4, "").otherwise(F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")))
+    cells = F.array(pack, F.concat(F.lit("GAME "), F.col("o_custkey").cast("string")), F.date_format("o_orderdate", "MM/dd/yy"))
+    words = print_table(paged.select("doc", "page", "line", cells.alias("cells")), ["Game-Pack", "Name", "Date Settled"], [60.0, 300.0, 900.0], F.lit(True))
+    rows = readers.settlements(words)
+    return rows.select("doc", "page", F.col("row").cast("long").alias("row_no"), *named(rows, "pack", "name", "settled"))
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS doc, CAST((n // 10) + 1 AS INT) AS page, 'ORDERS OF ' || CAST(o_custkey AS VARCHAR) AS heading FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)")
+def table_headings(spark, sf_dir):
+    paged = number_pages(load(spark, sf_dir, "orders"), F.expr("cast(o_custkey as string)"), ["o_orderkey"], 10)
+    rows = paged.select("doc", "page", "line", F.array(F.lit("1"), F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")), decimal_text("o_totalprice")).alias("cells"))
+    body = print_table(rows, ["QTY", "ITEM#", "PRICE"], [60.0, 200.0, 900.0], F.lit(True))
+    heads = paged.select("doc", "page").distinct()
+    above = print_lines(heads.select("doc", "page", F.lit(-1).alias("line"), F.concat(F.lit("ORDERS OF "), F.col("doc")).alias("text")))
+    priced = print_lines(heads.select("doc", "page", F.lit(-2).alias("line"), F.lit("BALANCE 12.00").alias("text")))
+    return finding.table_headings(body.unionByName(above).unionByName(priced))
+
+
+@query(f"""WITH {ORDER_PAGES_SQL}, r AS (SELECT doc, n, pages, '{{' || CASE WHEN pages > 1 THEN '"page":' || CAST(n // 10 + 1 AS VARCHAR) || ',' ELSE '' END || '"KEY":"' || CAST(o_orderkey AS VARCHAR) || '","STATUS":"' || o_orderstatus || '","PRICE":"' || price || CASE WHEN pages = 1 THEN '' ELSE '","PRICE (2)":"' || CASE WHEN (n // 10) % 2 = 1 THEN price ELSE '' END END || '"}}' AS row FROM o JOIN d USING (doc))
+    SELECT doc, '{{"kind":"' || CASE WHEN pages > 1 THEN 'mixed","title":"Orders","pages":' || CAST(pages + 1 AS VARCHAR) || ',"missingPages":[' || CAST(pages + 1 AS VARCHAR) || '],"headers":["KEY","STATUS","PRICE","PRICE (2)"]' ELSE 'table","title":"Orders","headers":["KEY","STATUS","PRICE"]' END || ',"rows":[' || string_agg(row, ',' ORDER BY n) || '],"tables":[{{"title":"Sum","headers":["N"],"rows":[{{' || CASE WHEN pages > 1 THEN '"page":1,' ELSE '' END || '"N":"' || CAST(count(*) AS VARCHAR) || '"}}]}}]}}' AS json FROM r GROUP BY doc, pages""")
+def document_json(spark, sf_dir):
+    """Documents with a title, a page that was not read where they have several, and an extra table."""
+    pages = order_pages(spark, sf_dir).withColumn("title", F.when(F.col("page") == 1, "Orders"))
+    totals = pages.groupBy("doc").agg(F.max("page").alias("last")).select("doc", F.when(F.col("last") > 1, F.col("last") + 1).otherwise(1).alias("total"))
+    sums = pages.groupBy("doc").agg(F.sum(F.size("rows")).cast("string").alias("n")).select("doc", F.lit(1).alias("page"), F.lit(0).alias("pos"), F.lit("Sum").alias("title"), F.array(F.lit("N")).alias("headers"), F.array(F.array("n")).alias("rows"))
+    return export.document_json(pages, totals, export.extra_tables(sums))
+
+
+def nation_tables(spark, sf_dir):
+    """Extra tables: a region's nations on its page; the first page has a page of its own printed as Page."""
+    rows = F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.array(n, F.upper(n)))
+    nations = load(spark, sf_dir, "nation").groupBy((F.col("n_regionkey") + 1).cast("int").alias("page")).agg(rows.alias("rows"))
+    tables_ = nations.select(F.lit("d").alias("doc"), "page", F.lit(0).alias("pos"), F.lit("Nations").alias("title"), F.array(F.lit("NATION"), F.lit("Page")).alias("headers"), "rows")
+    return export.extra_tables(tables_), tables_.groupBy("doc").agg(F.max("page").alias("total"))
+
+
+@query("SELECT 'd' AS doc, 'PDF Page,NATION,Page' || chr(13) || chr(10) || string_agg(CAST(n_regionkey + 1 AS VARCHAR) || ',' || n_name || ',' || upper(n_name), chr(13) || chr(10) ORDER BY n_regionkey, n_name) AS csv FROM nation")
+def extra_table_csv(spark, sf_dir):
+    return export.table_csv(*nation_tables(spark, sf_dir)).select("doc", "csv")
+
+
+@query("""SELECT 'd' AS doc, '{"title":"Nations","headers":["NATION","Page"],"rows":[' || string_agg('{"page":' || CAST(n_regionkey + 1 AS VARCHAR) || ',"NATION":"' || n_name || '","Page":"' || upper(n_name) || '"}', ',' ORDER BY n_regionkey, n_name) || ']}' AS json FROM nation""")
+def extra_table_json(spark, sf_dir):
+    return export.table_json(*nation_tables(spark, sf_dir)).select("doc", "json")
+
+
+@query("""WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, (min(c_custkey % 3) = 0) AS first, bool_or(c_custkey % 3 = 1) AS second, bool_or(c_custkey % 3 = 2) AS third FROM customer GROUP BY ALL),
+    l AS (SELECT c_nationkey, c_mktsegment, 'yes,Not placed in a column,' || CASE WHEN first AND second AND third THEN '1-3' WHEN first AND second THEN '1-2' WHEN second AND third THEN '2-3' WHEN first AND third THEN '1, 3' WHEN first THEN '1' WHEN second THEN '2' ELSE '3' END AS a, n,
+        [x for x in [CASE WHEN first THEN 1 END, CASE WHEN second THEN 2 END, CASE WHEN third THEN 3 END] if x IS NOT NULL] AS pages FROM g)
+    SELECT CAST(c_nationkey AS VARCHAR) AS doc, 'Check,Kind,Pages,Times,Printed text,Confidence' || chr(13) || chr(10) || string_agg(CASE WHEN contains(a, ', ') THEN replace(a, '1, 3', '"1, 3"') ELSE a END || ',' || CAST(n AS VARCHAR) || ',' || c_mktsegment || ',0.50', chr(13) || chr(10) ORDER BY pages, c_mktsegment) AS csv FROM l GROUP BY c_nationkey""")
+def skip_log_csv(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").cast("string").alias("doc"), (F.col("c_custkey") % 3 + 1).cast("int").alias("page"), F.lit("unplaced").alias("reason"), F.col("c_mktsegment").alias("text"), F.lit(0.5).alias("confidence"))
+    return skips.log_csv(skips.log_groups(rows))
+
+
+@query("""SELECT n_nationkey, CAST(CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 1 END AS INT) AS wide, CASE n_nationkey % 4 WHEN 0 THEN 'true false true' WHEN 1 THEN 'false true true' ELSE 'true false true' END AS figures,
+    CASE WHEN n_regionkey = 0 THEN n_name ELSE ['Invoice', 'Invoice Breakdown', 'Pack Settlements', 'Inventory Summary'][n_nationkey % 4 + 1] END AS title, n_name || '.part' AS file FROM nation""")
+def shown_columns(spark, sf_dir):
+    """Which column is wide, which hold figures, and what a reading and its file are called."""
+    kind = F.element_at(F.array(*map(F.lit, ("table", "invoice", "settlements", "inventory"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    heads = F.array(F.lit("QTY"), F.concat(F.lit("Product "), F.col("n_name")), F.lit("EXT PRICE"))
+    title = F.when(F.col("n_regionkey") == 0, F.col("n_name")).otherwise("")
+    return load(spark, sf_dir, "nation").select(
+        "n_nationkey", display.wide_column(kind, heads).cast("int").alias("wide"), F.array_join(F.transform(display.figure_columns(kind, heads), lambda b: b.cast("string")), " ").alias("figures"),
+        display.shown_title(title, kind).alias("title"), display.base_name(F.concat("n_name", F.lit(".part.pdf"))).alias("file"),
+    )
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, '-' AS side FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_orderkey, 'X', '+' FROM orders WHERE o_orderkey % 50 = 0")
+def moved_lines(spark, sf_dir):
+    before = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    after = before.withColumn("status", F.when(F.col("o_orderkey") % 50 == 0, "X").otherwise(F.col("status")))
+    return review.moved_lines(before, after)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc, CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(25 AS DOUBLE) AS y, CAST(length(c_mktsegment) AS DOUBLE) AS width, c_custkey % 2 = 0 AS low FROM customer")
+def word_overlay(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.col("c_custkey").alias("word_id"), F.col("c_mktsegment").alias("text"), ((F.col("c_custkey") % 100) * 10.0).alias("x"), F.lit(500.0).alias("y"), (F.length("c_mktsegment") * 10.0).alias("width"), F.lit(20.0).alias("height"), F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(0.55).alias("confidence"))
+    pages = c.select("doc", "page", F.lit(1000).alias("width"), F.lit(2000).alias("height")).distinct()
+    return review.overlay(c, pages).select("doc", "x", "y", "width", "low")
