@@ -62,7 +62,7 @@ def test_export_shapes(spark):
     assert csv == "Page,QTY,PRICE,PRICE,qty,Column 3\r\n1,1,2,3,,\r\n2,,4,,5,x"
     assert [r.page for r in export.missing_pages(df, spark.createDataFrame([("d", 4)], "doc string, total int")).collect()] == [4]
     named = df.where("page = 1").withColumn("headers", F.array(F.lit("Page"), F.lit("page"), F.lit("x")))
-    assert export.page_key(export.document_layout(named)).first()[1:] == ("Page (document)", "page (document)")
+    assert export.page_key(export.document_layout(named)).first()[1:] == ("PDF Page", "pdfPage")
 
 
 def test_log_and_review(spark):
