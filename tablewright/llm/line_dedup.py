@@ -9,8 +9,10 @@ lines go from every document but the one with the smallest id.
 
 On Spark: a first pass counts documents by leaf; only lines of leaves that enough
 documents share can recur, so only they travel, once for each distinct line. Leaves
-cluster in groups; one that holds more than ``LEAF_LINES`` distinct lines is split by
-its next tokens, and if that does not help, each distinct line is its own template. The
+cluster in groups; one that holds more than ``LEAF_LINES`` distinct lines is dealt to
+chunks, whose templates cluster like lines in further rounds until one chunk holds the
+leaf. Rounds that hardly shrink a leaf double its chunks, so templates that differ
+meet in the end as well. The
 leaves are broadcast while they are few (their count is checked), else joined by a
 shuffle.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, blocks, cut, table
 
-DEPTH, DEEPER = 3, 6
+DEPTH = 3
 SIMILARITY = 0.7
 CONSTANT = 3
 MIN_DOCS = 3
@@ -75,7 +78,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["leaf"])
 
 
-LINES = "doc long, leaf long, deep long, line long, masked string"
+LINES = "doc long, leaf long, line long, masked string"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +88,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
                 for masked in {" ".join(t): t for t in map(mask, (text or "").split("\n")) if len(t) >= CONSTANT}.items():
-                    rows.append((doc, leaf_of(masked[1], DEPTH), leaf_of(masked[1], DEEPER), hash_of(masked[0]), masked[0]))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "leaf", "deep", "line", "masked"])
+                    rows.append((doc, leaf_of(masked[1], DEPTH), hash_of(masked[0]), masked[0]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = [pa.int64()] * 3 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "leaf", "line", "masked"])
 
 
 def templates(lines: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, list[list[str]]]:
@@ -112,19 +115,54 @@ def templates(lines: list[str], similarity: float = SIMILARITY) -> tuple[np.ndar
     return of, [[names[c] for c in row] for row in made[:n]]
 
 
+CLUSTERED = "line long, template long, constants long, made string"
+
+
 def _cluster(part: pa.Table) -> pa.Table:
-    """Templates of a leaf's distinct lines, most frequent lines first."""
+    """Templates of a chunk's distinct lines (or templates), most frequent lines first."""
     part = part.sort_by([("docs", "descending"), ("masked", "ascending")])
     masked = part["masked"].to_pylist()
     width = np.array([m.count(" ") for m in masked])
-    template, constants = np.zeros(len(masked), np.int64), np.zeros(len(masked), np.int64)
+    template, constants, text = np.zeros(len(masked), np.int64), np.zeros(len(masked), np.int64), np.empty(len(masked), object)
     for w in np.unique(width):  # one width, unless two leaves share a hash
         rows = np.flatnonzero(width == w)
         of, made = templates([masked[r] for r in rows])
         heads = np.array([hash_of(part["key"][0].as_py().__str__() + " " + masked[rows[int(np.argmax(of == t))]]) for t in range(len(made))])
         template[rows] = heads[of]
         constants[rows] = np.array([sum(x != WILD for x in t) for t in made])[of]
-    return pa.table({"line": part["line"], "template": pa.array(template), "constants": pa.array(constants)})
+        text[rows] = np.array([" ".join(t) for t in made], object)[of]
+    return pa.table({"line": part["line"], "template": pa.array(template), "constants": pa.array(constants), "made": pa.array(text, pa.string())})
+
+
+def _assigned(distinct: DataFrame) -> DataFrame:
+    """(line, template, constants) of distinct lines (leaf, line, masked, docs).
+
+    A round deals each leaf's items to chunks of about ``LEAF_LINES``; the templates of a
+    leaf of several chunks are the items of the next round.
+    """
+    done, chain = [], None  # chain: lines of the leaves that are open, and the item they are in
+    sizes = cut(distinct.groupBy("leaf").agg(F.count("*").alias("size")).withColumn("room", F.lit(LEAF_LINES).cast("long")))
+    items = distinct.select("leaf", F.col("line").alias("item"), "masked", "docs")
+    turn = 0
+    while True:
+        chunks = F.ceil(F.col("size") / F.col("room"))
+        dealt = items.join(sizes, "leaf").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(turn)), "chunks"))
+        key = F.when(F.col("chunks") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", "chunk", F.lit(turn)))
+        keyed = cut(dealt.select("leaf", "chunks", "room", "size", key.alias("key"), F.col("item").alias("line"), "masked", "docs"))
+        made = cut(keyed.select("key", "line", "masked", "docs").groupBy("key").applyInArrow(_cluster, CLUSTERED).withColumnRenamed("line", "item"))
+        known = keyed.select("leaf", "chunks", "room", "size", F.col("line").alias("item"), "docs").join(made, "item")
+        here = known.select("item", "template", "constants", "leaf", "chunks") if chain is None else known.select(F.col("item").alias("in_item"), "template", "constants", "leaf", "chunks").join(chain, "in_item")
+        line = F.col("item" if chain is None else "line").alias("line")
+        done.append(here.where("chunks = 1").select(line, "template", "constants"))
+        again = known.where("chunks > 1")
+        if again.isEmpty():
+            return cut(reduce(DataFrame.unionAll, done))
+        chain = cut(here.where("chunks > 1").select(line, F.col("template").alias("in_item")))
+        items = cut(again.groupBy("leaf", F.col("template").alias("item")).agg(F.min("made").alias("masked"), F.sum("docs").alias("docs"), F.min("size").alias("was"), F.min("room").alias("room")))
+        grow = F.when(F.col("size") * 2 > F.col("was"), F.col("room") * 2).otherwise(F.col("room"))
+        sizes = cut(items.groupBy("leaf").agg(F.count("*").alias("size"), F.min("was").alias("was"), F.min("room").alias("room")).select("leaf", "size", grow.alias("room")))
+        items = items.select("leaf", "item", "masked", "docs")
+        turn += 1
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -132,12 +170,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = cut(docs.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     shared = F.broadcast(leaves) if leaves.count() <= FEW_LEAVES else leaves
     lines = cut(docs.mapInArrow(_lines, LINES).join(shared, "leaf"))
-    distinct = lines.groupBy("leaf", "deep", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
-    by_leaf = lines.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("in_leaf"))
-    by_deep = lines.select("deep", "line").distinct().groupBy("deep").agg(F.count("*").alias("in_deep"))
-    key = F.when(F.col("in_leaf") <= LEAF_LINES, F.col("leaf")).when(F.col("in_deep") <= LEAF_LINES, F.col("deep")).otherwise(F.col("line"))
-    keyed = distinct.join(by_leaf, "leaf").join(by_deep, "deep").select(key.alias("key"), "line", "masked", "docs")
-    assigned = cut(keyed.groupBy("key").applyInArrow(_cluster, "line long, template long, constants long"))
+    distinct = lines.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
+    assigned = _assigned(distinct)
     held = lines.select("doc", "line").join(assigned.where(F.col("constants") >= CONSTANT), "line").select("doc", "line", "template")
     counted = held.select("doc", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
     keeper = cut(counted.where(F.col("n") >= min_docs))  # a table of its own, so that the join can split a common template's rows

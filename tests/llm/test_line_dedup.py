@@ -52,3 +52,12 @@ def test_edge_cases(spark):
         [(1, 2, 0, rows[0][1]), (2, 1, 1, ""), (2, 1, 0, "twice the id"), (3, 4, 1, "a b\n\na b"), (4, 0, 0, None), (5, 0, 0, ""), (None, 1, 1, ""), (6, 1, 0, "a b"), (7, 1, 0, "a b")], key=str
     )
     assert drop_recurring_lines(df.limit(0)).count() == 0
+
+
+def test_hot_leaf_keeps_the_template_rule(spark):
+    """One template with over 2000 variants of a field; each variant lies in one document."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"text of its own {letters(i)} q{letters(i)}\nthis message was sent to {letters(i)} by the office today") for i in range(4500)]
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hot = {r.doc_id for r in got if "office" in r.text}
+    assert hot == {0}
