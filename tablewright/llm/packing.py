@@ -277,6 +277,24 @@ def plan(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plan of a demand as rows: class, its first rank in a pattern, pieces a sequence, first sequence.
+
+    In a task, where numpy has one thread: with several, the linear algebra of a driver
+    may hang, and its last digits differ from machine to machine.
+    """
+    for batch in batches:
+        for demand in batch.column("demand").to_pylist():
+            rows, taken, base = [], [0] * len(demand), 0
+            for pattern, n in plan(np.array(demand, np.int64)):
+                for i in np.flatnonzero(pattern).tolist():
+                    rows.append((i + 1, taken[i], int(pattern[i]), base))
+                    taken[i] += int(pattern[i]) * n
+                base += n
+            cols = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["class", "first", "each", "base"])
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of ``cut_pieces`` with sequence_id and offset."""
     spark, grain = docs.sparkSession, math.gcd(capacity, GRAIN)
@@ -287,14 +305,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     demand = np.zeros(width, np.int64)
     for c, n in counted.items():
         demand[c - 1] = n
-    taken, base = np.zeros(width, np.int64), 0
-    rows: list[tuple[int, int, int, int]] = []  # under (width + 1)^2: class, first rank, pieces a sequence, first sequence
-    for pattern, n in plan(demand):
-        for i in np.flatnonzero(pattern).tolist():
-            rows.append((i + 1, int(taken[i]), int(pattern[i]), base))
-            taken[i] += int(pattern[i]) * n
-        base += n
-    by_rank = np.array(sorted(rows), np.int64).reshape(-1, 4)
+    asked = spark.createDataFrame([(demand.tolist(),)], "demand array<long>")
+    got = asked.mapInArrow(_solve, "class long, first long, each long, base long").toArrow()  # under (width + 1)^2 rows
+    by_rank = np.column_stack([got[c].to_numpy() for c in got.column_names]).reshape(-1, 4)
     bounds = np.searchsorted(by_rank[:, 0], np.arange(width + 2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
