@@ -1,53 +1,119 @@
 """Token counts: each distinct pre-token is counted once and joined to the documents' frequencies.
 
-The join runs inside the task: a block of documents gives (document, pre-token) rows,
-the library counts the distinct pre-tokens, and the counts meet the rows by key and sum
-by document. No ids are kept and nothing is shuffled; a global join would shuffle
-several times the input to save work that the worker's memo already saves.
-
-Null texts count as empty (0 tokens), empty texts have 0 tokens, repeated rows count
-each by itself, an empty table gives an empty table. Columns of the input that have a
-result column's name are replaced.
+1. Tasks tally the pre-tokens of their texts; the tallies meet by pre-token, and the
+   library tells once for each distinct pre-token how many pieces it has.
+2. Each document's own pre-token frequencies are joined to these counts and summed.
+   Frequent pre-tokens (a share of ``FREQUENT`` of all occurrences or more, so at most
+   1 / FREQUENT of them, and no longer than ``SHORT`` bytes) are joined where the
+   frequencies are made, from a table that every task has; the others travel, one row a
+   document and pre-token, to a join by pre-token. None of their keys is frequent, so
+   none is skewed.
+
+No ids of a document are ever made. Null texts count as empty (0 tokens), empty texts
+have 0 tokens, repeated rows count each by itself, texts of any length are tallied
+whole, an empty table gives an empty table. Columns of the input that have a result
+column's name are replaced; the texts themselves are not part of the result.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import Counter
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table, text_array
-from .pretokens import Memo, Pretokens, default_path, ids_of_words, load
+from .common import BLOCK_BYTES, append_columns, blocks, cut, table, text_array
+from .pretokens import MEMO, Pretokens, byte_letters, default_path, load
 
+FREQUENT = 1e-5
+SHORT = 64
+
+
+def tally_pretokens(texts: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(word, n): every distinct pre-token of the column ``text`` and its occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Pretokens(load(vocabulary or default_path("byte_bpe_50k.json"))[1])
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for part in blocks(batch, "text", BLOCK_BYTES):
+                for text in text_array(part.column("text")).to_pylist():
+                    seen.update(split(text))
+                if len(seen) > MEMO:
+                    yield flush()
+        yield flush()
+
+    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def count_tokens(df: DataFrame, vocabulary: str | None = None, limit: int = 512, text_col: str = "text") -> DataFrame:
-    """``df`` with n_bytes, n_tokens and over_limit (n_tokens > ``limit``)."""
+
+def count_pieces(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``words`` (word, n) with ``pieces``, the length that the library's merges leave."""
 
     def start():
         tokenizer, added = load(vocabulary or default_path("byte_bpe_50k.json"))
-        split = Pretokens(added)
-        ids_of = ids_of_words(tokenizer, added)
-        memo = Memo(lambda words: list(map(len, ids_of(words))))
+        letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        merge = tokenizer.model.tokenize
 
         def work(column: pa.Array) -> list[pa.Array]:
-            texts = text_array(column)
-            words, sizes = [], []
-            for text in texts.to_pylist():
-                got = split(text)
-                words += got
-                sizes.append(len(got))
-            counts = np.concatenate([[0], np.cumsum(np.asarray(memo.lookup(words), np.int64))])
-            ends = np.cumsum(np.asarray(sizes, np.int64))
-            n = counts[ends] - counts[ends - sizes] if sizes else np.zeros(0, np.int64)
-            return [pc.binary_length(texts).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(n > limit)]
+            return [pa.array([1 if w in added else len(merge(w.encode().decode("latin-1").translate(letters))) for w in column.to_pylist()], pa.int64())]
 
         return work
 
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return append_columns(df, start, fields, text_col)
+    return append_columns(words, start, [T.StructField("pieces", T.LongType())], "word")
+
+
+def frequencies(rows: DataFrame, frequent: dict[str, int], vocabulary: str | None = None) -> DataFrame:
+    """``rows`` without text, with n_bytes, ``known`` (tokens of frequent pre-tokens), and the others as lists ``words`` and ``times``."""
+    kept = [c for c in rows.columns if c != "text"]
+    made = T.StructType([*rows.select(*kept).schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "known")), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Pretokens(load(vocabulary or default_path("byte_bpe_50k.json"))[1])
+        pieces = frequent.get
+        for batch in batches:
+            for part in blocks(batch, "text", BLOCK_BYTES):
+                texts, known, words, times = text_array(part.column("text")), [], [], []
+                for text in texts.to_pylist():
+                    tally = Counter(split(text))
+                    total, rare = 0, []
+                    for (word, n), k in zip(tally.items(), map(pieces, tally)):
+                        if k is None:
+                            rare.append(word)
+                        else:
+                            total += n * k
+                    known.append(total)
+                    words.append(rare)
+                    times.append([tally[w] for w in rare])
+                cols = [part.column(c) for c in kept] + [pc.binary_length(texts).cast(pa.int64()), pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, made.names)
+
+    return rows.mapInArrow(run, made)
+
+
+def count_tokens(df: DataFrame, vocabulary: str | None = None, limit: int = 512, text_col: str = "text") -> DataFrame:
+    """``df`` without its texts, with n_bytes, n_tokens and over_limit (n_tokens > ``limit``)."""
+    taken = {"n_bytes", "n_tokens", "over_limit", text_col.lower()}
+    names = [c for c in df.columns if c.lower() not in taken]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(0)]).alias("kept"), F.col(f"`{text_col}`").alias("text"))
+    counted = cut(count_pieces(tally_pretokens(rows, vocabulary), vocabulary))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where((F.col("n") >= FREQUENT * total) & (F.octet_length("word") <= SHORT)).select("word", "pieces").toArrow()  # at most 1 / FREQUENT rows
+    frequent = dict(zip(hot["word"].to_pylist(), hot["pieces"].to_pylist(), strict=True))
+    held = cut(frequencies(rows.withColumn("row", F.monotonically_increasing_id()), frequent, vocabulary))
+    spread = held.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = spread.join(counted.select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    n = F.col("known") + F.coalesce("rest", F.lit(0))
+    return held.drop("words", "times").join(rare, "row", "left").select(*[F.col(f"kept.`{c}`") for c in names], "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
