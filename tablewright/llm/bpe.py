@@ -4,7 +4,7 @@ The distinct words of a block lie in one flat array of symbols. Each round looks
 neighbouring pairs up in the sorted array of pair keys by binary search, takes the
 lowest rank in each word, merges that pair everywhere in its word from left to right,
 and drops the words in which no pair is left. Words keep their ids in the worker's
-memo, and documents gather them.
+memo, and documents gather them. Decoding starts from a document's ids alone.
 
 Texts are prepared as the vocabulary's file says: NFC, white space folded, lower case
 by character, words by its pattern, the end-of-word suffix. Special strings become
@@ -69,9 +69,9 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        """An empty memo: ids of all known words end to end, where each starts, its text."""
+        """An empty memo: ids of all known words end to end, and where each starts."""
         self.ids.clear()
-        self.flat, self.starts, self.lengths, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def words(self, text: str) -> list[str]:
         """Words of a text; special strings come back as they are."""
@@ -132,24 +132,21 @@ class WordBpe:
         flat, n = self.merge([w.encode() for w in plain])
         flat = np.concatenate([flat, np.array([self.added[w] for w in special], np.int64)])
         n = np.concatenate([n, np.ones(len(special), np.int64)])
-        tokens = list(map(self.text_of.__getitem__, flat.tolist()))
         ends = np.cumsum(n)
-        self.texts += [" ".join(tokens[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
         self.ids.update(zip(plain + special, range(len(self.ids), len(self.ids) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, ends - n + len(self.flat)])
         self.lengths = np.concatenate([self.lengths, n])
         self.flat = np.concatenate([self.flat, flat])
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
-        """Ids of each text, and its words as places in the memo (valid until the next call)."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         split = [self.words(t) for t in texts]
         self.learn([w for words in split for w in words])
-        places = [list(map(self.ids.__getitem__, words)) for words in split]
         out = []
-        for p in places:
-            at = np.array(p, np.int64)
+        for words in split:
+            at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
             out.append(self.flat[spans_of(self.starts[at], self.lengths[at])])
-        return out, places
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.text_of.__getitem__, ids.tolist()))
@@ -175,8 +172,8 @@ def bpe_round_trip(df: DataFrame, vocabulary: str | None = None, outputs: tuple[
         bpe = WordBpe(vocabulary or default_path("word_bpe_49k.json"))
 
         def work(column: pa.Array) -> list[pa.Array]:
-            ids, places = bpe.encode(text_array(column).to_pylist())
-            texts = [" ".join(map(bpe.texts.__getitem__, p)) for p in places] if {"decoded", "decoded_sha256"} & set(outputs) else []
+            ids = bpe.encode(text_array(column).to_pylist())
+            texts = list(map(bpe.decode, ids)) if {"decoded", "decoded_sha256"} & set(outputs) else []
             made = {
                 "n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
                 "ids": lambda: pa.array(ids, pa.list_(pa.int32())),
