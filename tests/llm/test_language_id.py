@@ -1,7 +1,10 @@
+from collections import Counter, defaultdict
+
+import numpy as np
 import pyarrow as pa
 
 from tablewright.llm.common import held_out
-from tablewright.llm.language_id import LanguageModel, identify_languages, learn_languages, ngrams, op1_language_id
+from tablewright.llm.language_id import MIN_RATE, SHARE, LanguageModel, identify_languages, learn_languages, ngrams, op1_language_id
 
 
 def test_ngrams_stay_inside_their_text():
@@ -35,4 +38,48 @@ def test_edge_cases(spark, sf_dir):
 def test_masks_name_every_language_that_has_the_gram():
     a, b = ngrams(pa.array(["hello"]).cast(pa.large_string()))[0], ngrams(pa.array(["hello world"]).cast(pa.large_string()))[0]
     m = LanguageModel.build({"x": a, "y": b}, "x")
-    assert all(m.languages_of(a) & 1) and all(m.languages_of(b) & 2)
+    assert all(m.languages_of(a)[0] & 1) and all(m.languages_of(b)[0] & 2)
+
+
+def grams(text):
+    data = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in f" {text.lower()}  ".encode())
+    return [data[i : i + 4] for i in range(len(data) - 3)]
+
+
+def test_against_exact_sets(spark, sf_dir):
+    """Sets in place of filters, dictionaries in place of the plan: same languages, close scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learn = docs.where(~held_out()).where("text IS NOT NULL AND lang IS NOT NULL").collect()
+    counts = defaultdict(Counter)
+    for r in learn:
+        counts[r.lang].update(grams(r.text))
+    rates = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    top = Counter()
+    for r in rates.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    member = {k: {g for g, x in r.items() if x >= MIN_RATE and x >= SHARE * top[g]} for k, r in rates.items()}
+    off = 0
+    got = op1_language_id(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        own = grams(texts[r.doc_id] or "")
+        n = {k: sum(g in member[k] for g in own) for k in sorted(member)}
+        if r.lang_pred == "und":
+            continue
+        best = max(n, key=n.get)
+        off += best != r.lang_pred or abs(r.score - n[best] / max(1, sum(n.values()))) > 0.02
+    assert off <= 0.01 * len(got)
+
+
+def test_every_language_has_its_filter(spark):
+    """More languages than a 64-bit word holds, and a text longer than any block."""
+    rnd = np.random.default_rng(3)
+    words = {f"l{i:03}": ["".join(chr(97 + x) for x in rnd.integers(0, 26, 7)) for _ in range(30)] for i in range(150)}
+    rows = [(i * 10 + j, " ".join(rnd.choice(w, 40)), k) for i, (k, w) in enumerate(words.items()) for j in range(2)]
+    model = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150 and model.masks.shape[0] == 3
+    asked = [(i, " ".join(rnd.choice(w, 20)), k) for i, (k, w) in enumerate(words.items())] + [(999, " ".join(words["l149"] * 20_000), "l149")]
+    got = identify_languages(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang and r.coverage > 0.4 for r in got)
+    assert identify_languages(spark.createDataFrame([(1, "zzqx kkjw qqzx wwvk")], "doc_id long, text string"), model).first().coverage < 0.25
