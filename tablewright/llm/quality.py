@@ -7,9 +7,10 @@ appeared up to ``LAGS`` bytes earlier (repetition). The largest value of each fi
 over the whole text is kept, and a logistic layer combines them into one probability.
 
 Learning: Adam on the logistic loss; a gradient reaches the chunks that won the
-maximum. It reads at most about ``per_class`` rows a label, texts of at most
-``MAX_TRAIN_BYTES`` bytes, picked by a hash of the id, and runs in one task whose size
-this bounds. Half of each class would tilt the prior, so the bias is set back to the
+maximum. It reads about ``per_class`` documents a label, picked from the labels by a
+hash of the id, and of a text longer than ``EXCERPT`` characters ``WINDOWS`` equal windows from its first to its
+last; one task, whose size this bounds, does it. The picked ids are broadcast, so that no
+text but theirs moves; of an id whose texts differ the one with the smallest hash is read. Half of each class would tilt the prior, so the bias is set back to the
 class shares of all labelled rows. Scoring reads whole texts of any length.
 
 Null texts count as empty; an empty text is one chunk of padding and has a score.
@@ -36,7 +37,7 @@ from .common import append_columns, held_out, spans_of, string_buffers, table, t
 WIDTH, STRIDE, LAGS = 12, 4, 32
 EMBEDDING, FILTERS = 6, 24
 PER_CLASS = 2500
-MAX_TRAIN_BYTES = 6000
+EXCERPT, WINDOWS = 6000, 6
 EPOCHS, BATCH, RATE = 10, 32, 0.004
 SEED = 13
 #: Zeros before each text, so that no chunk looks back into another text.
@@ -102,7 +103,8 @@ class ByteNetwork:
         if not len(texts):
             return np.zeros(0)
         off, data = string_buffers(texts)
-        return 1 / (1 + np.exp(-(self.pooled(off, data).astype(np.float64) @ self.weights + self.bias)))
+        exact = 1 / (1 + np.exp(-(self.pooled(off, data).astype(np.float64) @ self.weights + self.bias)))
+        return np.round(exact, 6)  # single precision beyond that depends on what else is in the block
 
 
 def train(texts: list[bytes], labels: np.ndarray, prior: float) -> ByteNetwork:
@@ -151,16 +153,20 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float) -> ByteNetwork:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNetwork | float:
     """The network, or a constant score where a class is missing."""
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    short = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = short.where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(marks, "doc_id")
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").distinct()
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
         return sizes.get(1, 0) / total if total else 0.5
     share = [int(min(1.0, per_class / sizes[y]) * (1 << 30)) for y in (0, 1)]
-    picked = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.when(F.col("y") == 0, share[0]).otherwise(share[1])
+    picked = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.when(F.col("y") == 0, share[0]).otherwise(share[1]))
     prior = min(max(sizes[1] / total, 1e-3), 1 - 1e-3)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    width = EXCERPT // WINDOWS
+    windows = [F.substr(text, (1 + F.floor((F.length(text) - width) * i / (WINDOWS - 1))).cast("int"), F.lit(width)) for i in range(WINDOWS)]
+    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.when(F.length(text) > EXCERPT, F.concat(*windows)).otherwise(text).alias("excerpt"))
+    rows = read.join(F.broadcast(picked), "doc_id")  # about 2 x per_class ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "excerpt"))["excerpt"].alias("text"))
 
     def fit(part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
@@ -168,7 +174,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         made = train([t.encode() for t in part["text"].to_pylist()], y, prior) if 0 < y.mean() < 1 else prior
         return pa.table({"model": pa.array([pickle.dumps(made)], pa.binary())})
 
-    got = rows.where(picked).groupBy(F.lit(0).alias("one")).applyInArrow(fit, "model binary").collect()
+    got = rows.groupBy(F.lit(0).alias("one")).applyInArrow(fit, "model binary").collect()
     return pickle.loads(got[0].model) if got else prior
 
 

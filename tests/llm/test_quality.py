@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -45,3 +46,35 @@ def test_edge_cases(spark):
     got = score_quality(docs, model).collect()
     assert len(got) == 5 and got[0].score == got[1].score and len({r.score for r in got[2:]}) == 1
     assert score_quality(docs.limit(0), model).count() == 0
+
+
+def slow_score(net, text):
+    """The network's definition, one number at a time."""
+    data = text.encode()
+    chunks = max(1, -(-(len(data) - WIDTH) // STRIDE) + 1)
+    laid = bytes(64) + data + bytes(WIDTH * 2)
+    best = [0.0] * net.filters.shape[1]
+    for c in range(chunks):
+        at = 64 + c * STRIDE
+        gram = laid[at : at + 8]
+        again = any(gram) and any(laid[at - lag : at - lag + 8] == gram for lag in range(2, 33))
+        x = [float(v) for b in laid[at : at + WIDTH] for v in net.embedding[b]] + [float(again)]
+        for f in range(len(best)):
+            best[f] = max(best[f], sum(a * float(w) for a, w in zip(x, net.filters[:, f], strict=True)) + float(net.filter_bias[f]))
+    return 1 / (1 + math.exp(-(sum(b * float(w) for b, w in zip(best, net.weights, strict=True)) + net.bias)))
+
+
+def test_scores_against_brute_force():
+    net = ByteNetwork.fresh(5)
+    texts = ["", "a", "abcabcabcabcabcabcabcabc", "plain words, and some more of them", "Ünïcode — ok", "x" * 301]
+    assert np.allclose(net.scores(pa.array(texts, pa.large_string())), [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    """One id with very many rows teaches once; long texts teach by windows and are scored to the end."""
+    rows = [(1, f"good plain text {i}") for i in range(3000)] + [(i, "good plain text" if i % 2 else "@@## !!" * 5) for i in range(2, 60)] + [(60, "good plain text " * 40_000), (61, "@@## !!" * 90_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if 1 < i < 60 else int(i != 61)) for i in range(1, 62)] * 2, "doc_id long, quality int")
+    model = learn_quality(docs, labels)
+    got = {r.doc_id: r.predicted for r in score_quality(docs, model).collect()}
+    assert got[1] == 1 and got[60] == 1 and got[61] == 0
