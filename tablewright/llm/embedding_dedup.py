@@ -8,7 +8,8 @@ into intervals of bounded length. Two intervals can only hold a link if the boxe
 around their projections (with the length of what the projection leaves out as one
 more dimension) come within epsilon. Interval pairs meet by an equality join on the
 first two grid dimensions, widened by epsilon, and are skipped if their boxes are too
-far apart. A pair of intervals is joined recursively: halves that are provably distant
+far apart. ``RUN`` consecutive intervals travel together, so that an interval goes once
+to each run it has a partner in, not once to each partner. A pair of intervals is joined recursively: halves that are provably distant
 are skipped, small blocks are compared exactly by cosine in double precision on the
 original vectors.
 
@@ -19,7 +20,8 @@ links, never all pairs.
 Null labels and vectors that are null, zero, of another dimension than the table's or
 hold null or non-finite components link with nothing: n_links 0, component_id their
 own id. Repeated rows count as different vectors; rows with a null id come back with
-null component and kept and take no part. An empty table gives an empty table.
+null component and kept and take no part. Other columns of the input, of whatever name,
+are left out. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ SAMPLE = 20_000
 #: Vectors in an interval of the sequence.
 INTERVAL = 1024
 LEAF = 64
+#: Consecutive intervals that meet those of another run in one task.
+RUN = 8
 
 
 def usable(vector: str) -> Column:
@@ -119,11 +123,15 @@ def join_intervals(a: np.ndarray, b: np.ndarray, same: bool, unit_rows: np.ndarr
 def near_duplicate_embeddings(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", dimensions: int = DIMENSIONS, interval: int = INTERVAL, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     epsilon = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # compared in double precision either way
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     width = rows.where(usable("vector")).groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     taking_part = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector") & (F.size("vector") == (width[0].w if width else -1))
+    # 128 bits of hash name a class of equal vectors, so that vectors themselves need not travel as keys
+    key = F.struct(F.xxhash64("label", "vector").alias("h"), F.xxhash64(F.lit(1), "vector", "label").alias("g"))
     keyed = rows.select("id", F.when(taking_part, F.col("label")).alias("label"), F.when(taking_part, F.col("vector")).alias("vector"))
-    classes = cut(keyed.where("vector IS NOT NULL").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    inside = keyed.where("vector IS NOT NULL").select("id", "label", "vector", key.alias("key"))
+    classes = cut(inside.groupBy("key").agg(F.min(F.struct("id", "label", "vector")).alias("x"), F.count("*").alias("n")).select("key", "x.label", "x.vector", F.col("x.id").alias("rep"), "n"))
     n = classes.count()
     means, axes = fit_axes(classes, n, dimensions, sample)
     names = [f"p{i}" for i in range(axes.shape[1] + 1)]
@@ -133,7 +141,7 @@ def near_duplicate_embeddings(df: DataFrame, cosine: float = COSINE, id_col: str
             coords = project(matrix(batch.column("vector")), batch.column("label").to_numpy(), means, axes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coords.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "coords"])
 
-    placed = classes.mapInArrow(place, "label long, vector array<double>, rep long, n long, coords array<double>")
+    placed = classes.select("label", "vector", "rep", "n").mapInArrow(place, f"label long, vector {kind}, rep long, n long, coords array<double>")
     cells = [F.floor(F.col("coords")[i] / epsilon) for i in range(len(names))]
     parts = max(1, -(-n // (16 * interval)))
     order = ["label", *(f"c{i}" for i in range(len(names))), "rep"]
@@ -153,7 +161,7 @@ def near_duplicate_embeddings(df: DataFrame, cosine: float = COSINE, id_col: str
                 ids.append(nth)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(batch.column(c) for c in ("label", "rep", "n", "vector", "coords"))], ["block", "label", "rep", "n", "vector", "coords"])
 
-    members = cut(in_order.mapInArrow(number, "block long, label long, rep long, n long, vector array<double>, coords array<double>"))
+    members = cut(in_order.mapInArrow(number, f"block long, label long, rep long, n long, vector {kind}, coords array<double>"))
     lows = [F.min(F.col("coords")[i]).alias(f"lo{i}") for i in range(len(names))]
     highs = [F.max(F.col("coords")[i]).alias(f"hi{i}") for i in range(len(names))]
     boxes = members.groupBy("label", "block").agg(*lows, *highs)
@@ -172,20 +180,21 @@ def near_duplicate_embeddings(df: DataFrame, cosine: float = COSINE, id_col: str
     left = keyed_by_cells(0.0)
     right = keyed_by_cells(epsilon).select(*on, F.col("block").alias("other"), *(F.col(f"{e}{i}").alias(f"{e}{i}_") for e in ("lo", "hi") for i in range(len(names))))
     gap2 = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{i}_") - F.col(f"hi{i}"), F.col(f"lo{i}") - F.col(f"hi{i}_")), 2) for i in range(len(names))), F.lit(0.0))
-    block_pairs = cut(left.join(right, on).where((F.col("block") <= F.col("other")) & (gap2 <= epsilon * epsilon)).select("block", "other").distinct().withColumn("task", F.monotonically_increasing_id()))
-
-    sides = block_pairs.select("task", F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    dealt = sides.join(members, "block").select("task", "block", "rep", "n", "vector", "coords")
-
-    def compare(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("block", "ascending"), ("rep", "ascending")])
-        rep, block = part["rep"].to_numpy(), part["block"].to_numpy()
-        x, coords, weight = unit(matrix(part["vector"])), matrix(part["coords"]), part["n"].to_numpy()
-        order_ = np.lexsort((*(np.floor(coords[:, i] / epsilon) for i in reversed(range(coords.shape[1]))), block))
-        first = order_[block[order_] == block[order_[0]]]
-        second = order_[len(first) :]
+    block_pairs = cut(left.join(right, on).where((F.col("block") <= F.col("other")) & (gap2 <= epsilon * epsilon)).select("block", "other").distinct().select("block", "other", F.expr(f"block div {RUN}").alias("run"), F.expr(f"other div {RUN}").alias("with")))
+
+    sides = block_pairs.select("run", "with", F.explode(F.array_distinct(F.array("block", "other"))).alias("block")).distinct()
+    dealt = sides.join(members, "block").select("run", "with", "block", "label", "rep", "n", "vector")
+
+    def compare(part: pa.Table, pairs: pa.Table) -> pa.Table:
+        rep, block, weight = (part[c].to_numpy() for c in ("rep", "block", "n"))
+        x = matrix(part["vector"])
+        coords, x = project(x, part["label"].to_numpy(), means, axes), unit(x)
+        order_ = np.lexsort((rep, *(np.floor(coords[:, i] / epsilon) for i in reversed(range(coords.shape[1]))), block))
+        of = block[order_]
         links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
-        join_intervals(first, second if len(second) else first, not len(second), x, coords, weight, cosine, links, forest)
+        for one, other in sorted(zip(pairs["block"].to_pylist(), pairs["other"].to_pylist(), strict=True)):
+            a, b = (order_[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")] for k in (one, other))
+            join_intervals(a, b, one == other, x, coords, weight, cosine, links, forest)
         child, parent = forest.links()
         hit = np.flatnonzero(links)
         none = np.full(len(hit), None)
@@ -197,13 +206,15 @@ def near_duplicate_embeddings(df: DataFrame, cosine: float = COSINE, id_col: str
             }
         )
 
-    found = cut(dealt.groupBy("task").applyInArrow(compare, "rep long, links long, other long"))
+    met = dealt.groupBy("run", "with").cogroup(block_pairs.select((F.col("run") + 0).alias("run"), (F.col("with") + 0).alias("with"), "block", "other").groupBy("run", "with"))
+    found = cut(met.applyInArrow(compare, "rep long, links long, other long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    answers = classes.join(counts, "rep", "left").join(components, "rep", "left").select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    answers = classes.select("key", "rep", "n").join(counts, "rep", "left").join(components, "rep", "left").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    out = keyed.join(answers, ["label", "vector"], "left")
+    alone = keyed.where("vector IS NULL").select("id", F.lit(0).alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = inside.select("id", "key").join(answers, "key", "left").select("id", "n_links", "component_id").unionAll(alone)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
