@@ -6,10 +6,12 @@ row. A shallow vantage-point tree, fitted on a bounded sample, deals the distinc
 fingerprints to shards; a fingerprint also visits every other shard that its ball of
 ``radius`` bits overlaps by the triangle bounds. Inside a shard, a vantage-point tree
 joins residents with residents and visitors: a branch is walked only with the queries
-whose bounds reach it, and leaves compare exactly. A task returns a spanning forest of
+whose bounds reach it, and leaves compare exactly. A shard's visitors come in salted groups of bounded size, each
+with all residents. A task returns a spanning forest of
 its links rather than all pairs, and the forests meet in connected_components.
 
-Null and empty texts have fingerprint 0, linked like any other. Rows with a null id
+Null and empty texts have fingerprint 0, linked like any other; texts of any length are
+read whole. Other columns of the input, of whatever name, are left out. Rows with a null id
 get their fingerprint's component but join nothing on their own. Repeated rows come
 back repeated; an empty table gives an empty table.
 """
@@ -35,6 +37,8 @@ SEED = 42
 #: Distinct fingerprints that a shard is at home to, and the least depth of the tree of shards.
 SHARD = 100_000
 LEAST_DEPTH = 3
+#: Visitors that one group of a shard holds, about.
+VISITORS = 50_000
 #: Fingerprints from which the tree of shards is fitted.
 SAMPLE = 4096
 LEAF = 256
@@ -122,10 +126,10 @@ def route(fps: np.ndarray, nodes: list[tuple[np.uint64, int]], depth: int, radiu
     return rows, np.repeat(np.arange(len(at)), [len(x[1]) for x in at]), home
 
 
-def link_within(fps: np.ndarray, home: np.ndarray, radius: int) -> Forest:
-    """Links of the residents with residents and visitors, found by a vantage-point tree."""
+def link_within(fps: np.ndarray, home: np.ndarray, radius: int, asks: np.ndarray | None = None) -> Forest:
+    """Links of the residents with those that ask (all, unless said), found by a vantage-point tree."""
     forest = Forest(len(fps))
-    stack = [(np.flatnonzero(home), np.arange(len(fps)))]
+    stack = [(np.flatnonzero(home), np.arange(len(fps)) if asks is None else np.flatnonzero(asks))]
     while stack:
         x, q = stack.pop()
         if not len(x) or not len(q) or forest.joined(x, q):
@@ -168,11 +172,16 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def join(part: pa.Table) -> pa.Table:
         fps, rep = part["fp"].to_numpy().view(np.uint64), part["rep"].to_numpy()
-        child, parent = link_within(fps, part["home"].to_numpy(), radius).links()
+        home = part["home"].to_numpy()
+        first = bool(len(part)) and part["salt"][0].as_py() == 0  # residents meet each other in one group
+        child, parent = link_within(fps, home, radius, None if first else ~home).links()
         return pa.table({"a": pa.array(rep[child]), "b": pa.array(rep[parent])})
 
     dealt = reps.where("rep IS NOT NULL").select("fp", "rep").mapInArrow(deal, "shard int, fp long, rep long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
+    groups = dealt.groupBy("shard").agg((F.count_if(~F.col("home")) / VISITORS).cast("int").alias("last"))  # a row a shard
+    dealt = dealt.join(groups, "shard")
+    salts = F.when(F.col("home"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.pmod(F.xxhash64("fp", F.lit(9)), F.col("last") + 1).cast("int")))
+    return dealt.select("shard", "fp", "rep", "home", F.explode(salts).alias("salt")).groupBy("shard", "salt").applyInArrow(join, "a long, b long")
 
 
 def simhash_components(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
