@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,30 +113,32 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "leaf", "line", "masked"])
 
 
-def line_templates(distinct: DataFrame) -> DataFrame:
-    """(line, level, template) of distinct lines (leaf, line, masked, docs); templates that keep too little are left out."""
-    sizes = cut(distinct.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")))
-    placed = distinct.select("leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    counted = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"))
-    levels = range(1, len(LEVELS))
-    seen = counted.join(sizes, "leaf").select("leaf", "place", F.when((F.col("n") >= F.col("all") * LEVELS[1]) & (F.col("token") != WILD), F.struct("token", (F.col("n") / F.col("all")).alias("share"))).alias("x"))
+def line_templates(distinct: DataFrame, min_docs: int) -> DataFrame:
+    """(line, level, template, need) of distinct lines (leaf, line, masked, docs); templates that keep too little are left out.
+
+    A leaf of one line, or of lines in fewer than ``min_docs`` documents together, has
+    nothing to generalise: there only the lines themselves can recur.
+    """
+    sizes = distinct.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines"))
+    sizes = cut(sizes.where((F.col("lines") > 1) & (F.col("all") >= min_docs)).withColumn("groups", (F.col("lines") / DEALT).cast("int") + 1))
+    open_ = cut(distinct.join(sizes, "leaf"))
+    counted = open_.select("leaf", "docs", "all", F.posexplode(F.split("masked", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("all").alias("all"))
+    seen = counted.select("leaf", "place", F.when((F.col("n") >= F.col("all") * LEVELS[1]) & (F.col("token") != WILD), F.struct("token", (F.col("n") / F.col("all")).alias("share"))).alias("x"))
     known = seen.groupBy("leaf", "place").agg(F.collect_list("x").alias("fixed"))  # at most 1 / share a place
     profile = known.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "fixed"))), lambda x: x["fixed"]).alias("profile"))
-    groups = (F.col("lines") / DEALT).cast("int") + 1
-    dealt = profile.join(sizes.select("leaf", groups.alias("groups")), "leaf").select("leaf", "profile", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-    lines = distinct.join(sizes.select("leaf", groups.alias("groups")), "leaf").withColumn("group", F.pmod("line", "groups").cast("int"))
-    met = lines.join(dealt, ["leaf", "group"]).select("leaf", "line", F.split("masked", " ").alias("tokens"), "profile")
-
-    def form(level: int):
-        if not level:
-            return F.col("tokens")
+    dealt = profile.join(sizes.select("leaf", "groups"), "leaf").select("leaf", "profile", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    met = open_.withColumn("group", F.pmod("line", "groups").cast("int")).join(dealt, ["leaf", "group"]).select("leaf", "line", F.split("masked", " ").alias("tokens"), "profile")
+
+    def form(level: int) -> Column:
         fixed = lambda i: F.filter(F.col("profile")[i], lambda x: x["share"] >= LEVELS[level])["token"]
         return F.transform("tokens", lambda t, i: F.when((t == WILD) | F.array_contains(fixed(i), t), t).otherwise(WILD))
 
-    forms = F.array(*(F.struct(F.lit(k).alias("level"), form(k).alias("made")) for k in (0, *levels)))
-    each = met.select("leaf", "line", "tokens", F.explode(forms).alias("x")).select("leaf", "line", "x.level", "x.made", F.size("tokens").alias("size"), F.size(F.filter("tokens", lambda t: t != WILD)).alias("before"))
-    constants = F.size(F.filter("made", lambda t: t != WILD))
-    keeps = (constants >= CONSTANT) & ((F.col("before") - constants) <= (1 - SIMILARITY) * F.col("size"))
+    forms = F.array(*(F.struct(F.lit(k).alias("level"), form(k).alias("made")) for k in range(1, len(LEVELS))))
+    general = met.select("leaf", "line", "tokens", F.explode(forms).alias("x")).select("leaf", "line", "x.level", "x.made", "tokens")
+    exact = distinct.select("leaf", "line", F.lit(0).alias("level"), F.split("masked", " ").alias("made")).withColumn("tokens", F.col("made"))
+    named = lambda c: F.size(F.filter(c, lambda t: t != WILD))
+    each = exact.unionAll(general).select("leaf", "line", "level", "made", F.size("tokens").alias("size"), named("tokens").alias("before"), named("made").alias("constants"))
+    keeps = (F.col("constants") >= CONSTANT) & ((F.col("before") - F.col("constants")) <= (1 - SIMILARITY) * F.col("size"))
     need = F.when((F.col("level") == 0) & (F.col("size") > LONG), 2)
     return cut(each.where(keeps).select("line", "level", F.xxhash64("leaf", "level", F.array_join("made", " ")).alias("template"), need.alias("need")))
 
@@ -148,7 +150,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_one: bool =
     shared = F.broadcast(leaves) if leaves.count() <= FEW_LEAVES else leaves
     lines = cut(docs.mapInArrow(_lines, LINES).join(shared, "leaf"))
     distinct = cut(lines.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs")))
-    forms = line_templates(distinct)
+    forms = line_templates(distinct, min_docs)
     held = lines.select("doc", "line").join(forms, "line").select("doc", "level", "template", "need").distinct()
     counted = held.groupBy("level", "template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"), F.min("need").alias("need"))
     found = cut(counted.where(F.col("n") >= F.coalesce("need", F.lit(min_docs))))  # a table of its own, so that the join can split a common template's rows
