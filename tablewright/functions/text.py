@@ -145,10 +145,11 @@ SUMMARY_TOTALS = "sub-?totals?|totals?|grand|balance|due"
 
 
 def is_line_item(cells: Column) -> Column:
-    """Quantity with money or code, or money with code, in two filled cells or more."""
-    filled = F.filter(cells, lambda c: F.trim(c) != "")
-    quantity = F.exists(filled, lambda c: is_quantity(F.trim(c)))
-    money, code = F.exists(filled, has_money), F.exists(filled, lambda c: is_code(F.trim(c)))
+    """Quantity with money or code, or money with code, in two filled cells or more; stars that flag
+    an item aside, and no money in cells with words."""
+    filled = F.filter(F.transform(cells, lambda c: F.trim(_sub(F.trim(c), r"^\*+|\*+$"))), lambda c: c != "")
+    quantity, code = F.exists(filled, is_quantity), F.exists(filled, is_code)
+    money = F.exists(filled, lambda c: has_money(c) & ~c.rlike("[A-Za-z]{2,}"))
     return (F.size(filled) >= 2) & ((quantity & (money | code)) | (money & code))
 
 

@@ -14,9 +14,10 @@ from tablewright.functions import text as T
 from .geometry import PAGE
 
 COUNTS = ("Int", "Rec", "Act", "Set")
-# The lines that add up to a weekly invoice's total.
-PARTS = ("netsales", "commission", "cashes", "adjustments", "fees", "priorbalance")
-TOTAL = "totaldue"
+# The lines that add up to a weekly invoice's total, the total, and the lines a section restates; letters and digits only.
+PARTS = ("fwdbalance", "onlinenetdue", "instantnetdue", "nongameadjustments", "systemfee", "otherretailerincentives")
+TOTAL = "totalduebywed"
+RESTATED = ("onlinenetdue", "instantnetdue")
 
 
 def count_columns(rows: DataFrame) -> DataFrame:
@@ -62,19 +63,22 @@ def settlement_issues(rows: DataFrame, stated: DataFrame) -> DataFrame:
     return count.unionByName(n.where(F.size("blank") > 0).select(*PAGE, F.lit("settlements-unread").alias("code"), F.col("blank").alias("rows")))
 
 
-def invoice_issues(fields: DataFrame, parts: tuple[str, ...] = PARTS, total: str = TOTAL) -> DataFrame:
-    """invoice-total where all parts are read and do not add up, invoice-section-total where a label is restated differently.
+def invoice_issues(fields: DataFrame, parts: tuple[str, ...] = PARTS, total: str = TOTAL, restated: tuple[str, ...] = RESTATED) -> DataFrame:
+    """invoice-total where all parts are read and do not add up, invoice-section-total where one of ``restated`` ends on another figure.
 
-    fields: (doc, page, row, label, value); the first row of a label counts.
+    fields: (doc, page, row, label, value); the first row of a label counts, a section is
+    held against the last. Rows come in the order of the parts, the total's last.
     """
     keyed = fields.select(*PAGE, F.col("row").cast("int").alias("row"), T.flat(F.col("label")).alias("key"), T.cents(F.col("value")).alias("cents"))
     named = keyed.where(F.col("key").isin(*parts, total)).groupBy(*PAGE, "key").agg(F.min_by("cents", "row").alias("cents"), F.min("row").alias("row"))
     part = F.col("key") != total
+    place = F.array_position(F.array(*map(F.lit, (*parts, total))), F.col("key"))
     added = named.groupBy(*PAGE).agg(
-        F.sum(F.when(part, F.col("cents"))).alias("sum"), F.count(F.when(part, F.col("cents"))).alias("n"), F.max(F.when(~part, F.col("cents"))).alias("stated"), F.array_sort(F.collect_list("row")).alias("rows")
+        F.sum(F.when(part, F.col("cents"))).alias("sum"), F.count(F.when(part, F.col("cents"))).alias("n"), F.max(F.when(~part, F.col("cents"))).alias("stated"),
+        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "row"))), lambda x: x["row"]).alias("rows"),
     )
     off = added.where((F.col("n") == len(parts)) & (F.col("stated") != F.col("sum"))).select(*PAGE, F.lit("invoice-total").alias("code"), "rows")
-    twice = keyed.where("key <> ''").groupBy(*PAGE, "key").agg(F.count("*").alias("n"), F.min_by("cents", "row").alias("a"), F.max_by("cents", "row").alias("b"), F.array(F.min("row"), F.max("row")).alias("rows"))
+    twice = keyed.where(F.col("key").isin(*restated)).groupBy(*PAGE, "key").agg(F.count("*").alias("n"), F.min_by("cents", "row").alias("a"), F.max_by("cents", "row").alias("b"), F.array(F.min("row"), F.max("row")).alias("rows"))
     again = twice.where((F.col("n") > 1) & (F.col("a") != F.col("b"))).select(*PAGE, F.lit("invoice-section-total").alias("code"), "rows")
     return off.unionByName(again)
 

@@ -41,8 +41,9 @@ def document_layout(pages: DataFrame) -> DataFrame:
 
 
 def document_kinds(pages: DataFrame) -> DataFrame:
-    """(doc, kind): the pages' kind, ``mixed`` where they differ."""
-    return pages.groupBy("doc").agg(F.when(F.count_distinct("kind") > 1, "mixed").otherwise(F.min("kind")).alias("kind"))
+    """(doc, kind): the kind of the pages with rows (of all, where none has any), ``mixed`` where they differ."""
+    full = F.max((F.size("rows") > 0).cast("int")).over(W.partitionBy("doc"))
+    return pages.withColumn("_any", full).where((F.size("rows") > 0) | (F.col("_any") == 0)).groupBy("doc").agg(F.when(F.count_distinct("kind") > 1, "mixed").otherwise(F.min("kind")).alias("kind"))
 
 
 def export_cells(pages: DataFrame) -> DataFrame:

@@ -17,12 +17,13 @@ BEFORE = (W.unboundedPreceding, -1)
 def group_lines(words: DataFrame, overlap: float = 0.5) -> DataFrame:
     """Words with line_id (from 0, top to bottom) and nth (left to right).
 
-    A word opens a line if it overlaps what is above by less than ``overlap`` of its
-    height. Exact for lines that do not interleave vertically; see group_lines_exact.
+    A word opens a line if it overlaps the lowest reaching word before it by less than
+    ``overlap`` of the smaller of both heights. Exact for lines that do not interleave vertically; see group_lines_exact.
     """
     order = W.partitionBy(*PAGE).orderBy(F.col("y") + F.col("height") / 2, "x", "word_id")
-    reach = F.max(F.col("y") + F.col("height")).over(order.rowsBetween(*BEFORE))
-    opens = F.coalesce((reach - F.col("y") < overlap * F.col("height")).cast("int"), F.lit(1))
+    reach = F.max(F.struct((F.col("y") + F.col("height")).alias("bottom"), "height")).over(order.rowsBetween(*BEFORE))
+    shared = F.least(reach["bottom"], F.col("y") + F.col("height")) - F.col("y")
+    opens = F.when(reach.isNull(), 1).otherwise((shared < overlap * F.least(F.col("height"), reach["height"])).cast("int"))
     lines = words.withColumn("_o", opens).withColumn("line_id", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_o")
     return lines.withColumn("nth", F.row_number().over(W.partitionBy(*PAGE, "line_id").orderBy("x", "word_id")) - 1)
 
@@ -76,7 +77,7 @@ def character_width(words: DataFrame) -> DataFrame:
 def fields(lines: DataFrame, gap: float = 0.8) -> DataFrame:
     """Fields of each line: words closer than ``gap`` of a line's height belong together.
 
-    (doc, page, line_id, field, text, x, right, top, bottom, height, confidence). A lone
+    (doc, page, line_id, field, text, x, right, top, bottom, height, confidence, n_words). A lone
     currency sign stays with what follows it.
     """
     order = W.partitionBy(*PAGE, "line_id").orderBy("nth")
@@ -88,7 +89,7 @@ def fields(lines: DataFrame, gap: float = 0.8) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ")
     return split.groupBy(*PAGE, "line_id", "field").agg(
         text.alias("text"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.min("y").alias("top"),
-        F.max(F.col("y") + F.col("height")).alias("bottom"), F.max("height").alias("height"), F.avg("confidence").alias("confidence"),
+        F.max(F.col("y") + F.col("height")).alias("bottom"), F.max("height").alias("height"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"),
     )
 
 
@@ -171,12 +172,26 @@ def row_pitch(anchors: DataFrame, keys: list[str], default: float) -> DataFrame:
     return anchors.withColumn("gap", gap).groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("gap") > 4, F.col("gap"))), F.lit(default)).alias("pitch"))
 
 
-def repeated_edges(lefts: DataFrame, keys: list[str], tolerance: float, least: int = 2) -> DataFrame:
-    """(keys, edge, n): left edges that recur; a gap over ``tolerance`` between neighbours parts them."""
-    order = W.partitionBy(*keys).orderBy("x")
-    opens = F.coalesce((F.col("x") - F.lag("x").over(order) > tolerance).cast("int"), F.lit(1))
-    marked = lefts.withColumn("_o", opens).withColumn("_g", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_g").agg(F.avg("x").alias("edge"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_g")
+def repeated_edges(words: DataFrame, keys: list[str], lines: int = 8) -> DataFrame:
+    """(keys, edge, n): left edges on at least half of the first ``lines`` lines, two at least.
+
+    words: (keys, line_id, x, height). An edge joins the edges before it while it lies
+    within a tolerance (10, or 0.8 of the mean height) of their mean so far, which no
+    window frame holds: a fold over the at most ``lines`` lines' sorted edges.
+    """
+    nth = F.dense_rank().over(W.partitionBy(*keys).orderBy("line_id"))
+    used = words.withColumn("_n", nth).where(F.col("_n") <= lines).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.avg("height").alias("height"), F.max("_n").alias("lines"))
+    cluster = "array<struct<sum: double, n: bigint>>"
+    tolerance = F.greatest(F.lit(10.0), F.col("height") * 0.8)
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = F.coalesce(x - last["sum"] / last["n"] <= tolerance, F.lit(False))
+        grown = F.struct((last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(F.struct(x.cast("double").alias("sum"), F.lit(1).cast("long").alias("n"))))).cast(cluster)
+
+    folded = used.where("lines >= 2").select(*keys, F.greatest(F.lit(2), F.ceil(F.col("lines") * 0.5)).alias("least"), F.explode(F.aggregate("xs", F.array().cast(cluster), add)).alias("c"))
+    return folded.where("c.n >= least").select(*keys, (F.col("c.sum") / F.col("c.n")).alias("edge"), F.col("c.n").alias("n"))
 
 
 def column_index(centre: Column, bounds: Column) -> Column:

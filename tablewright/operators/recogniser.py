@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 def modal_pack_digits(tokens: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
@@ -16,25 +19,50 @@ def modal_pack_digits(tokens: DataFrame, keys: list[str], least: int = 3) -> Dat
     return counted.groupBy(*keys).agg(F.max_by(F.struct("digits", "n"), F.struct("n", (-F.col("first")).alias("f"))).alias("m")).where(F.col("m.n") >= least).select(*keys, "m.digits")
 
 
-def cut_pack(token: Column, digits: Column) -> Column:
-    """A token in which a pack code of ``digits`` digits is glued to what follows, as its pieces."""
-    code = F.regexp_extract(token, "^([0-9]{3}-)([0-9]*)", 0)
-    n = digits + 4
-    glued = (F.length(code) >= n) & (F.length(token) > n)
-    return F.when(glued, F.array(F.substring(token, F.lit(1), n), F.substring(token, n + 1, F.length(token)))).otherwise(F.array(token))
+def structural_cuts(token: Column, digits: Column) -> Column:
+    """A token cut behind a leading pack code (of ``digits`` digits where a page's length is known and shorter) and around dates.
 
+    A code takes five to eight digits; where what follows starts with digits it would take
+    too many of them.
+    """
+    code = F.length(F.regexp_extract(token, "^[0-9]{3}-[0-9]{5,8}", 0))
+    end = F.when(code > 0, F.least(code, F.coalesce(digits + 4, code)))
+    parts = F.filter(F.split(F.regexp_replace(token, "([0-9]{2}/[0-9]{2}/[0-9]{2,4})", "\x00$1\x00"), "\x00"), lambda p: p != "")
 
-def vote_characters(original: Column, readings: Column) -> Column:
-    """The original with each character replaced on which all rereadings (of the same length) agree, case aside."""
-    usable = F.filter(readings, lambda r: F.length(r) == F.length(original))
-    at = lambda i: F.transform(usable, lambda r: F.substring(r, i + 1, F.lit(1)))
-    chars = F.split(original, "")
+    def add(acc: Column, p: Column) -> Column:
+        inside = end - acc["at"]
+        halves = F.array(F.substring(p, F.lit(1), inside.cast("int")), F.substring(p, (inside + 1).cast("int"), F.length(p)))
+        cut = F.when((inside > 0) & (inside < F.length(p)), halves).otherwise(F.array(p))
+        return F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], cut).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, lambda acc: acc["out"])
 
-    def choose(c: Column, i: Column) -> Column:
-        votes = F.array_distinct(at(i))
-        return F.when((F.size(votes) == 1) & (F.lower(votes[0]) != F.lower(c)), votes[0]).otherwise(c)
 
-    return F.when(F.size(usable) == 0, original).otherwise(F.array_join(F.transform(F.filter(chars, lambda c: c != ""), choose), ""))
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def compatible(readings: pd.Series) -> pd.Series:
+    """Readings with look-alike characters (wide letters, ligatures) in their plain form."""
+    return readings.map(lambda rs: None if rs is None else [unicodedata.normalize("NFKC", r) for r in rs])
+
+
+def vote_characters(original: Column, readings: Column) -> Column:
+    """The original with each character replaced on which all rereadings agree, case aside.
+
+    ``readings`` are in compatible form (see above, as a column of its own). Blanks are not voted on. A rereading of another number of characters cannot be lined
+    up: then, and without rereadings, the original stays as it is.
+    """
+    solid = lambda t: F.filter(F.split(t, ""), lambda c: (c != "") & ~c.rlike(r"(?U)^\s$"))
+    read = F.transform(readings, solid)
+    usable = (F.size(read) > 0) & F.forall(read, lambda r: F.size(r) == F.size(solid(original)))
+    chars = F.filter(F.split(original, ""), lambda c: c != "")
+
+    def add(acc: Column, c: Column) -> Column:
+        votes = F.array_distinct(F.transform(read, lambda r: F.get(r, acc["at"])))
+        blank = c.rlike(r"(?U)^\s$")
+        won = F.when(~blank & (F.size(votes) == 1) & (F.lower(votes[0]) != F.lower(c)), votes[0]).otherwise(c)
+        return F.struct((acc["at"] + F.when(blank, 0).otherwise(1)).alias("at"), F.concat(acc["out"], won).alias("out"))
+
+    voted = F.aggregate(chars, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: acc["out"])
+    return F.when(usable, voted).otherwise(original)
 
 
 def ink_level(grey: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ the document's pages, so pages stay independent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from tablewright.functions import text as T
 from .geometry import PAGE, column_index, fields, group_lines
 
 # Words that title a column.
-TITLES = r"(?i)^(?:qty|quantity|ordered|shipped|ship|item|item#|item\s*no\.?|code|sku|upc|product|description|desc|size|pack|uom|unit|price|cost|amount|extended|extension|ext|total|date|invoice|balance|name|game|game-pack|number|no\.?|retail|discount|disc|tax|weight|set|int|rec|act|date settled|key|nation|region)$"
+TITLES = r"(?i)^(?:qty|quantity|case|unt|unit|item#?|items?|part#?|upc|sku|description|pack|prc|price|extended|amount|total|ordered|shipped|customer|tax|per|oos|qos|sub-?|code|date|dated|invoice#?|balance|charge|credit|debit|category|lines?|units?|cost)$"
 LEAST_TITLES = 3
 
 
@@ -64,11 +64,11 @@ def read_lines(words: DataFrame) -> DataFrame:
     placed = placed.withColumn("col", F.least("col", column_index(F.col("x") + 1, F.col("bounds"))))
     by_col = placed.groupBy(*PAGE, "line_id", "col").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("cell"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
+        F.sum(F.col("confidence") * F.col("n_words")).alias("confidence"), F.sum("n_words").alias("n_words"), F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
     )
     lines = by_col.groupBy(*PAGE, "line_id").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
+        (F.sum("confidence") / F.sum("n_words")).alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
     )
     cut = F.transform("headers", lambda _, i: F.coalesce(F.try_element_at("m", i), F.lit("")))
     lines = lines.withColumn("cells", cut).withColumn("text", F.array_join(F.filter("cells", lambda c: c != ""), " "))
@@ -121,29 +121,52 @@ def wrapped_rows(lines: DataFrame) -> DataFrame:
     return table_rows(rows.withColumn("cells", cells))
 
 
-def page_titles(words: DataFrame, keyword: str = "invoice|statement|order|settlement|inventory|receipt", lines: int = 16, least: int = 30) -> DataFrame:
-    """(doc, page, title): the best scored of the first lines: a keyword 50, height up to 30, upper case 15.
+# Words of a title, by the kind of page, and of any kind; what begins a line that is none; what is less likely one.
+KIND_WORDS = {"settlements": "settlements?", "inventory": "inventory", "invoice": "invoice", "table": "invoice|statement|bill|order"}
+ANY_WORDS = r"pack\s+settlements?|weekly\s+pack|instant\s+inventory|inventory\s+summary|weekly\s+invoice|settlement\s+report"
+NO_TITLE = r"(?i)^https?://|www\.|^(?:retailer|store|terminal)\b|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|^(?:game|name|int|rec|act|set|game-pack|date settled)"
+UNLIKELY = "(?i)scholarship|lottery"
+#: Titles that are recognised without their blank.
+GLUED = (("(?i)WEEKLYINVOICE", "WEEKLY INVOICE"), ("(?i)PACKSETTLEMENTS?", "PACK SETTLEMENTS"), ("(?i)INVENTORYSUMMARY", "INVENTORY SUMMARY"))
 
-    Lines with addresses of the web, dates or amounts, and lines of titles, are none.
-    """
+
+def clean_title(text: Column) -> Column:
+    """Glued titles parted, marks at the ends and blank runs removed."""
+    for glued, parted in GLUED:
+        text = F.regexp_replace(text, f"^(.*?){glued}", f"$1{parted}")
+    return T.squeeze(T.strip_edges(text))
+
+
+def invoice_heading(text: Column) -> Column:
+    """The heading alone where a line holds much more than it: weekly invoice, or an invoice's number; null for other lines."""
+    number = F.regexp_extract(text, r"(?i)\binvoice\s*#?\s*:?\s*([0-9]{4,})", 1)
+    weekly = text.rlike(r"(?i)\bweekly\s+invoice\b") & (F.length(text) > len("WEEKLY INVOICE") + 4)
+    return F.when(weekly, "WEEKLY INVOICE").when((number != "") & (F.length(text) > F.length(number) + len("Invoice # ") + 4), F.concat(F.lit("Invoice # "), number))
+
+
+def page_titles(words: DataFrame, kind: str = "invoice", lines: int = 16, least: int = 30) -> DataFrame:
+    """(doc, page, title): the best scored of the first lines: a word of the kind 50, of any kind 40,
+    height up to 30, upper case 15, an unlikely one -20; of equals the first."""
     grouped = group_lines(words).where(F.col("line_id") < lines).groupBy(*PAGE, "line_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("text"), F.avg("height").alias("height"), F.sum(F.col("text").rlike(TITLES).cast("int")).alias("hits")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("raw"), F.avg("height").alias("height")
     )
     text = F.col("text")
-    barred = (F.length(text) < 4) | text.rlike(r"(?i)www\.|https?:|@|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]\.[0-9]{2}\b") | (F.col("hits") >= LEAST_TITLES)
-    score = F.when(text.rlike(f"(?i)\\b(?:{keyword})\\b"), 50).otherwise(0) + F.least("height", F.lit(30.0)) + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 15).otherwise(0)
-    scored = grouped.where(~barred).withColumn("score", score).where(F.col("score") > least)
-    return scored.groupBy(*PAGE).agg(F.max_by("text", F.struct("score", -F.col("line_id"))).alias("title"))
+    own = text.rlike(rf"(?i)\b(?:{KIND_WORDS[kind]})\b")
+    score = F.when(own, 50).otherwise(0) + F.when(text.rlike(rf"(?i)\b(?:{ANY_WORDS})\b"), 40).otherwise(0) + F.least("height", F.lit(30.0))
+    score = score + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 15).otherwise(0) - F.when(text.rlike(UNLIKELY) & ~own, 20).otherwise(0)
+    scored = grouped.withColumn("text", clean_title(F.trim("raw"))).where((F.length(text) >= 3) & ~text.rlike(NO_TITLE)).withColumn("score", score).where(F.col("score") > least)
+    best = scored.groupBy(*PAGE).agg(F.max_by("text", F.struct("score", -F.col("line_id"))).alias("title"))
+    return best.select(*PAGE, F.coalesce(invoice_heading(F.col("title")), "title").alias("title"))
 
 
 # Six marks of a weekly invoice, letters and digits only.
-WEEKLY_MARKS = ("netsales", "totalduebywed", "weeklyinvoice", "salescommission", "cashescommission", "packssettled")
+WEEKLY_MARKS = ("fwdbalance", "onlinenetdue", "instantnetdue", "totalduebywed", "systemfee", "nongameadjustments")
 
 
 def weekly_invoices(words: DataFrame, least: int = 2) -> DataFrame:
-    """(doc, page) of the pages on which ``least`` marks of a weekly invoice are printed."""
-    page = group_lines(words).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "nth", "text"))), lambda s: s["text"]), " ").alias("text"))
-    marks = sum((F.contains(T.flat(F.col("text")), F.lit(m)).cast("int") for m in WEEKLY_MARKS), F.lit(0))
+    """(doc, page) of the pages on which ``least`` marks of a weekly invoice are printed, blanks and marks between words aside."""
+    page = words.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda s: T.flat(s["text"])), "").alias("text"))
+    marks = sum((F.contains("text", F.lit(m)).cast("int") for m in WEEKLY_MARKS), F.lit(0))
     return page.where(marks >= least).select(*PAGE)
 
 

@@ -6,6 +6,7 @@ Each entry has its SQL beside it: (query, SQL over the same tables).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
@@ -106,7 +107,7 @@ PAGES_SQL = "pages AS (SELECT o_custkey, (row_number() OVER (PARTITION BY o_cust
     SELECT reason, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY reason""")
 def read_skip_log(spark, sf_dir):
     lines = tables.read_lines(noisy_words(spark, sf_dir))
-    found = skips.refine(tables.skipped_lines(lines), tables.body_left(lines).withColumn("body_left", F.least("body_left", F.lit(60.0))))
+    found = skips.refine(tables.skipped_lines(lines), tables.body_left(lines))
     # what is left unplaced lies right of the items; alone in its document it has no shared indent
     return found.groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -187,11 +188,11 @@ def validate_inventory(spark, sf_dir):
 def invoice_fields(spark, sf_dir):
     """(doc, page, row, label, value): six parts and a total, off by a cent for every third customer."""
     cust = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), (F.floor(F.abs("c_acctbal") * 100 + 0.5)).cast("long").alias("b"), (F.col("c_custkey") % 3 == 0).alias("off"))
-    labels = ["NET SALES", "COMMISSION", "CASHES", "ADJUSTMENTS", "FEES", "PRIOR BALANCE"]
+    labels = ["FWD BALANCE", "ON-LINE NET DUE", "INSTANT NET DUE", "NON-GAME ADJUSTMENTS", "SYSTEM FEE", "OTHER RETAILER INCENTIVES"]
     signs = [1, -1, -1, 1, 1, 1]
     parts = [F.floor(F.col("b") * (i + 1) / 7).cast("long") * s for i, s in enumerate(signs)]
     total = sum(parts[1:], parts[0]) + F.when(F.col("off"), 1).otherwise(0)
-    fields = [F.struct(F.lit(i).alias("row"), F.lit(n).alias("label"), v.alias("cents")) for i, (n, v) in enumerate([*zip(labels, parts, strict=True), ("TOTAL DUE", total)])]
+    fields = [F.struct(F.lit(i).alias("row"), F.lit(n).alias("label"), v.alias("cents")) for i, (n, v) in enumerate([*zip(labels, parts, strict=True), ("TOTAL DUE BY WED", total)])]
     rows = cust.select("doc", "page", F.explode(F.array(*fields)).alias("f")).select("doc", "page", "f.*")
     return rows.withColumn("value", F.concat(T.money(F.abs("cents")), F.when(F.col("cents") < 0, "C").otherwise("")))
 
@@ -202,10 +203,12 @@ def validate_invoice(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_custkey, CAST(floor(abs(c_acctbal) * 100 + 0.5) AS BIGINT) AS b FROM customer)
-    SELECT CAST(c_custkey AS VARCHAR) AS doc, CAST(0 AS BIGINT) AS row_no, 'NET SALES' AS label, CAST(floor(b / 7) AS BIGINT) AS cents FROM c
-    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, 'COMMISSION', -CAST(floor(b * 2 / 7) AS BIGINT) FROM c""")
+, p AS (SELECT c_custkey, i AS row_no, ['FWD BALANCE', 'ON-LINE NET DUE', 'INSTANT NET DUE', 'NON-GAME ADJUSTMENTS', 'SYSTEM FEE', 'OTHER RETAILER INCENTIVES'][i + 1] AS label,
+        CAST(floor(b * (i + 1) / 7) AS BIGINT) * [1, -1, -1, 1, 1, 1][i + 1] AS cents FROM c, range(6) t(i))
+    SELECT CAST(c_custkey AS VARCHAR) AS doc, CAST(row_no AS BIGINT) AS row_no, label, CAST(cents AS BIGINT) AS cents FROM p
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 6, 'TOTAL DUE BY WED', CAST(sum(cents) + max(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM p GROUP BY c_custkey""")
 def read_weekly_invoice(spark, sf_dir):
-    lines = invoice_fields(spark, sf_dir).where("row < 2").select("doc", "page", (F.lit(100.0) + F.col("row") * 30).alias("y"), F.array("label", "value").alias("cells"))
+    lines = invoice_fields(spark, sf_dir).select("doc", "page", (F.lit(100.0) + F.col("row") * 30).alias("y"), F.array("label", "value").alias("cells"))
     rows = readers.invoice(print_fields(lines, [60.0, 700.0]))
     return rows.select("doc", F.col("row").cast("long").alias("row_no"), F.element_at("cells", 1).alias("label"), T.cents(F.element_at("cells", 2)).alias("cents"))
 
@@ -296,12 +299,17 @@ def char_width(spark, sf_dir):
     return geometry.character_width(customer_words(spark, sf_dir)).groupBy("char_width").agg(F.count("*").alias("pages"))
 
 
-@query("""WITH x AS (SELECT l_suppkey, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS DOUBLE) AS x FROM lineitem), o AS (SELECT *, CASE WHEN x - lag(x) OVER w > 10 THEN 1 ELSE 0 END AS o FROM x WINDOW w AS (PARTITION BY l_suppkey ORDER BY x)),
-    g AS (SELECT *, sum(o) OVER (PARTITION BY l_suppkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM o)
-    SELECT l_suppkey, CAST(round(avg(x) * 1000) AS BIGINT) AS edge, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY l_suppkey, g HAVING count(*) >= 2""")
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 60 AS DOUBLE) AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS line FROM lineitem),
+    s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS i, count(*) OVER (PARTITION BY l_suppkey) AS lines FROM l WHERE line <= 8),
+    f AS (SELECT l_suppkey, i, 1 AS g, x AS total, 1 AS n, lines FROM s WHERE i = 1
+        UNION ALL SELECT s.l_suppkey, s.i, CASE WHEN s.x - f.total / f.n <= 16 THEN f.g ELSE f.g + 1 END, CASE WHEN s.x - f.total / f.n <= 16 THEN f.total + s.x ELSE s.x END, CASE WHEN s.x - f.total / f.n <= 16 THEN f.n + 1 ELSE 1 END, s.lines
+        FROM f JOIN s ON s.l_suppkey = f.l_suppkey AND s.i = f.i + 1),
+    e AS (SELECT l_suppkey, g, max(n) AS n, arg_max(total, n) AS total, any_value(lines) AS lines FROM f GROUP BY l_suppkey, g)
+    SELECT l_suppkey, CAST(round(total / n * 1000) AS BIGINT) AS edge, CAST(n AS BIGINT) AS n FROM e WHERE lines >= 2 AND n >= greatest(2, ceil(lines * 0.5))""")
 def repeated_edges(spark, sf_dir):
-    lefts = load(spark, sf_dir, "lineitem").select("l_suppkey", (F.floor("l_extendedprice").cast("long") % 1000).cast("double").alias("x"))
-    return geometry.repeated_edges(lefts, ["l_suppkey"], 10.0).select("l_suppkey", F.round(F.col("edge") * 1000).cast("long").alias("edge"), "n")
+    line = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
+    words = load(spark, sf_dir, "lineitem").select("l_suppkey", line.alias("line_id"), (F.floor("l_extendedprice").cast("long") % 60).cast("double").alias("x"), F.lit(20.0).alias("height"))
+    return geometry.repeated_edges(words, ["l_suppkey"]).select("l_suppkey", F.round(F.col("edge") * 1000).cast("long").alias("edge"), "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity >= 35 THEN 3 WHEN l_quantity >= 20 THEN 2 WHEN l_quantity >= 10 THEN 1 ELSE 0 END AS INT) AS col FROM lineitem")
@@ -375,9 +383,9 @@ def money_to_cents(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", T.cents(shown).alias("cents"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE '' END AS amount FROM orders WHERE o_totalprice >= 10")
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE '' END AS amount FROM orders")
 def invoice_amount(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").where("o_totalprice >= 10")
+    orders = load(spark, sf_dir, "orders")
     shown = F.concat(F.lit("“"), decimal_text("o_totalprice"), F.when(F.col("o_orderkey") % 3 == 0, "¢").otherwise(""), F.lit("|"))
     return orders.select("o_orderkey", T.invoice_amount(shown).alias("amount"))
 
@@ -408,11 +416,13 @@ def count_digits(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", T.count_digits(damaged).alias("digits"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS cell, TRUE AS quantity, TRUE AS figure, l_tax > 0.04 AS item FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS cell, TRUE AS quantity, TRUE AS figure, l_tax > 0.04 AS item, TRUE AS starred, FALSE AS worded FROM lineitem""")
 def line_item_predicates(spark, sf_dir):
     q, price = F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_tax") > 0.04, decimal_text("l_extendedprice")).otherwise("note only")
     cells = F.array(q, F.lit("plain words"), price)
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("cell"), T.is_quantity(q).alias("quantity"), T.is_figure(q).alias("figure"), T.is_line_item(cells).alias("item"))
+    starred = F.array(F.concat(F.lit("*"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")), F.lit("WIDGET"), decimal_text("l_extendedprice"))
+    worded = F.array(q, F.concat(F.lit("SUB TOTAL "), decimal_text("l_extendedprice")))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.is_line_item(starred).alias("starred"), T.is_line_item(worded).alias("worded"), q.alias("cell"), T.is_quantity(q).alias("quantity"), T.is_figure(q).alias("figure"), T.is_line_item(cells).alias("item"))
 
 
 @query("SELECT p_partkey, regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g') AS slug FROM part")
@@ -464,9 +474,11 @@ def document_json_rows(spark, sf_dir):
     return export.row_json(order_pages(spark, sf_dir)).select("doc", "page", F.col("row").alias("row_no"), "json")
 
 
-@query(f"WITH {ORDER_PAGES_SQL} SELECT doc, CASE WHEN pages > 1 THEN 'mixed' ELSE 'table' END AS kind FROM d")
+@query(f"WITH {ORDER_PAGES_SQL} SELECT doc, CASE WHEN pages > 1 THEN 'mixed' ELSE 'table' END AS kind FROM d")  # a blank page of another kind stands before each document's own
 def document_kinds(spark, sf_dir):
-    return export.document_kinds(order_pages(spark, sf_dir))
+    pages = order_pages(spark, sf_dir)
+    blank = pages.where("page = 1").withColumn("page", F.lit(0).cast(pages.schema["page"].dataType)).withColumn("kind", F.lit("settlements")).withColumn("rows", F.slice("rows", 1, 0))
+    return export.document_kinds(pages.unionByName(blank))
 
 
 @query(f"WITH {ORDER_PAGES_SQL} SELECT doc, CAST(p AS INT) AS page FROM d, range(1, 100) t(p) WHERE p <= pages + 2 AND p % 2 = 0")
@@ -535,17 +547,19 @@ def modal_pack_digits(spark, sf_dir):
     return recogniser.modal_pack_digits(tokens, ["o_custkey"]).select("o_custkey", F.col("digits").cast("int").alias("digits"))
 
 
-@query("SELECT o_orderkey, '123-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS pack, 'GAME' AS rest FROM orders")
+@query("SELECT o_orderkey, '123-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS pack, '20X GAME' AS rest, strftime(o_orderdate, '%m/%d/%y') AS settled FROM orders")
 def cut_glued_tokens(spark, sf_dir):
-    token = F.concat(F.lit("123-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("GAME"))
-    pieces = recogniser.cut_pack(token, F.lit(6))
-    return load(spark, sf_dir, "orders").select("o_orderkey", pieces[0].alias("pack"), pieces[1].alias("rest"))
+    token = F.concat(F.lit("123-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("20X GAME"), F.date_format("o_orderdate", "MM/dd/yy"))
+    pieces = recogniser.structural_cuts(token, F.lit(6))
+    return load(spark, sf_dir, "orders").select("o_orderkey", pieces[0].alias("pack"), pieces[1].alias("rest"), pieces[2].alias("settled"))
 
 
-@query("SELECT p_partkey, p_name AS name FROM part")
+@query("SELECT p_partkey, p_name AS name, translate(p_name, 'oi', '01') AS kept FROM part")
 def vote_characters(spark, sf_dir):
     damaged = F.translate(F.col("p_name"), "oi", "01")
-    return load(spark, sf_dir, "part").select("p_partkey", recogniser.vote_characters(damaged, F.array("p_name", "p_name", F.lit("short"))).alias("name"))
+    wide = F.translate(F.col("p_name"), "ae", "ａｅ")
+    read = load(spark, sf_dir, "part").withColumn("readings", recogniser.compatible(F.array("p_name", wide, F.regexp_replace("p_name", " ", ""))))
+    return read.select("p_partkey", recogniser.vote_characters(damaged, F.col("readings")).alias("name"), recogniser.vote_characters(damaged, F.array("p_name", F.lit("short"))).alias("kept"))
 
 
 @query()
@@ -574,10 +588,10 @@ def read_wrapped_rows(spark, sf_dir):
     return rows.select("doc", "page", F.col("row").cast("long").alias("row_no"), F.element_at("cells", 2).alias("item"), F.element_at("cells", 3).alias("description"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS doc, 'WEEKLY INVOICE OF ' || c_mktsegment AS title, TRUE AS weekly FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc, 'WEEKLY INVOICE' AS title, TRUE AS weekly FROM customer")
 def page_titles(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
-    texts = [F.lit("www.example.com"), F.concat(F.lit("WEEKLY INVOICE OF "), F.col("c_mktsegment")), F.lit("01/02/24 printed"), F.lit("Net Sales 12.00"), F.lit("QTY PRICE AMOUNT")]
+    texts = [F.lit("www.example.com"), F.concat(F.lit("WEEKLY INVOICE OF "), F.col("c_mktsegment")), F.lit("01/02/24 printed"), F.lit("Fwd Balance 12.00"), F.lit("System Fee 1.00"), F.lit("QTY PRICE AMOUNT")]
     lines = c.select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line", "text"))
     words = print_lines(lines)
     weekly = tables.weekly_invoices(words).withColumn("weekly", F.lit(True))

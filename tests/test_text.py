@@ -23,6 +23,7 @@ CASES = [
     (T.is_document_total, "TOTAL: 12.00 TAX: $1.10", True), (T.is_document_total, "TOTAL: 12.00", False), (T.is_legend, "* DENOTES A CHANGE", True), (T.is_legend, "T = TAXED", True), (T.is_legend, "PLAIN LINE", False),
     (T.page_range, [1, 2, 3, 5], "1-3, 5"), (T.page_range, [], ""), (T.page_range, [4], "4"), (T.csv_field, 'x"y', '"x""y"'), (T.csv_field, "plain", "plain"),
     (T.is_lead_in, ["AB", "CD", ""], True), (T.is_lead_in, ["AB", "", "x"], False), (T.is_lead_in, ["12", ""], False),
+    (T.is_line_item, ["*10234", "WIDGET", "5.00"], True), (T.is_line_item, ["*2", "WIDGET", "5.00"], True), (T.is_line_item, ["2", "SUB TOTAL 12.00"], False),
     (T.is_line_item, ["2", "LEAF BAG", "17.35"], True), (T.is_line_item, ["", "LEAF BAG", ""], False), (T.is_totals, " Totals ", True),
 ]
 
