@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import BLOCK_BYTES, append_columns, blocks, cut, table, text_array
 from .pretokens import MEMO, Pretokens, byte_letters, default_path, load
 
-FREQUENT = 1e-6
+FREQUENT = 5e-7
 SHORT = 64
 
 
