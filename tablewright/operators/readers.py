@@ -63,6 +63,20 @@ def invoice(words: DataFrame) -> DataFrame:
     return _numbered(rows, [F.col("label"), F.col("value")])
 
 
+def _count_titles(lines: DataFrame, titles: tuple[str, ...]) -> DataFrame:
+    """(doc, page, line_id, centres): each page's first line with all ``titles``; of one that repeats the last place."""
+    which = [F.when(T.looks_like(F.col("text"), t), i) for i, t in enumerate(titles)]
+    spots = lines.withColumn("pos", F.coalesce(*which)).where("pos IS NOT NULL").groupBy(*PAGE, "line_id", "pos").agg(F.max("centre").alias("centre"))
+    heads = spots.groupBy(*PAGE, "line_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "centre"))).alias("centres"))
+    first = W.partitionBy(*PAGE).orderBy("line_id")
+    return heads.where(F.size("centres") == len(titles)).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def inventory_pages(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act", "Set")) -> DataFrame:
+    """(doc, page) of the pages that print the titles of counts."""
+    return _count_titles(group_lines(words).withColumn("centre", F.col("x") + F.col("width") / 2), titles).select(*PAGE)
+
+
 def inventory(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act", "Set")) -> DataFrame:
     """(doc, page, row, cells, confidence): Game, Name and four counts under their titles.
 
@@ -70,10 +84,7 @@ def inventory(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act",
     of fewer than three digits is padded with zeros, an unreadable one is empty.
     """
     lines = _page_right(group_lines(words)).withColumn("centre", F.col("x") + F.col("width") / 2)
-    which = [F.when(T.looks_like(F.col("text"), t), i) for i, t in enumerate(titles)]
-    heads = lines.withColumn("pos", F.coalesce(*which)).where("pos IS NOT NULL").groupBy(*PAGE, "line_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "centre")))).alias("centres"), F.count_distinct("pos").alias("n"))
-    first = W.partitionBy(*PAGE).orderBy("line_id")
-    heads = heads.where(F.col("n") == len(titles)).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*PAGE, F.col("line_id").alias("header"), F.transform(F.sequence(F.lit(0), F.lit(len(titles) - 1)), lambda i: F.element_at("centres", i)).alias("centres"))
+    heads = _count_titles(lines, titles).select(*PAGE, F.col("line_id").alias("header"), F.transform(F.sequence(F.lit(0), F.lit(len(titles) - 1)), lambda i: F.element_at("centres", i)).alias("centres"))
     body = lines.join(heads, PAGE).where("line_id > header").withColumn("pitch", (F.element_at("centres", -1) - F.element_at("centres", 1)) / (len(titles) - 1))
     pairs = F.transform("centres", lambda c, i: F.struct(F.abs(F.col("centre") - c).alias("d"), (-i).alias("later")))
     best = F.array_min(pairs)

@@ -28,6 +28,25 @@ def valid_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("doc").agg(F.count("*").alias("total"), F.count_if(~F.col("review")).alias("valid"))
 
 
+def grid_stats(status: DataFrame, edited: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, total, flagged, edited, valid): counts over the rows of ``row_status``; edited: (doc, page, row)."""
+    marks = edited.select("doc", "page", "row").distinct().withColumn("_e", F.lit(True))
+    keys = scope or ["doc"]
+    return status.join(marks, ["doc", "page", "row"], "left").groupBy(*keys).agg(
+        F.count("*").alias("total"), F.count_if("review").alias("flagged"), F.count_if(F.col("_e")).alias("edited"), F.count_if(~F.col("review")).alias("valid")
+    )
+
+
+def matched_pages(found: DataFrame) -> DataFrame:
+    """(doc, pages): on how many pages a search found rows."""
+    return found.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
+
+
+def tables_on_page(tables: DataFrame) -> DataFrame:
+    """Extra tables (doc, page, pos, title, headers, rows) of each page that hold a row."""
+    return tables.where(F.size("rows") > 0)
+
+
 def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """Rows with the last edit (doc, page, row, cell, value, seq) of each cell, and ``edited``."""
     last = edits.groupBy("doc", "page", "row", "cell").agg(F.max_by("value", "seq").alias("value"))

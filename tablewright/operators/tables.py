@@ -144,14 +144,15 @@ def invoice_heading(text: Column) -> Column:
     return F.when(weekly, "WEEKLY INVOICE").when((number != "") & (F.length(text) > F.length(number) + len("Invoice # ") + 4), F.concat(F.lit("Invoice # "), number))
 
 
-def page_titles(words: DataFrame, kind: str = "invoice", lines: int = 16, least: int = 30) -> DataFrame:
+def page_titles(words: DataFrame, kind: str | DataFrame = "invoice", lines: int = 16, least: int = 30) -> DataFrame:
     """(doc, page, title): the best scored of the first lines: a word of the kind 50, of any kind 40,
-    height up to 30, upper case 15, an unlikely one -20; of equals the first."""
+    height up to 30, upper case 15, an unlikely one -20; of equals the first. ``kind``: one of all pages, or (doc, page, kind)."""
     grouped = group_lines(words).where(F.col("line_id") < lines).groupBy(*PAGE, "line_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("raw"), F.avg("height").alias("height")
     )
     text = F.col("text")
-    own = text.rlike(rf"(?i)\b(?:{KIND_WORDS[kind]})\b")
+    grouped = grouped.withColumn("kind", F.lit(kind)) if isinstance(kind, str) else grouped.join(kind, PAGE)
+    own = F.coalesce(*(F.when(F.col("kind") == k, text.rlike(rf"(?i)\b(?:{v})\b")) for k, v in KIND_WORDS.items()), F.lit(False))
     score = F.when(own, 50).otherwise(0) + F.when(text.rlike(rf"(?i)\b(?:{ANY_WORDS})\b"), 40).otherwise(0) + F.least("height", F.lit(30.0))
     score = score + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 15).otherwise(0) - F.when(text.rlike(UNLIKELY) & ~own, 20).otherwise(0)
     scored = grouped.withColumn("text", clean_title(F.trim("raw"))).where((F.length(text) >= 3) & ~text.rlike(NO_TITLE)).withColumn("score", score).where(F.col("score") > least)
