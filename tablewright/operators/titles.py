@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions.arrays import at, let, round_half_up
 
 from .geometry import PAGE, union_spans
 
@@ -126,22 +127,67 @@ def stacked_titles(words: Column, height: Column) -> Column:
     return F.array_sort(F.transform(F.aggregate(ordered, F.array().cast(kind), lambda a, w: add(a, w).cast(kind)), lambda s: F.array_sort(s)))
 
 
-def title_columns(words: Column, height: Column) -> Column:
-    """(x, right, label) of each column title: stacks, and neighbours on one baseline at most 0.7 of the height apart."""
-    stack = "array<struct<x: double, y: double, text: string, width: double, height: double>>"
+def both_carry_values(left: Column, right: Column, below: Column, height: Column) -> Column:
+    """Whether two lines below, or more, fill both of two spans with words of their own, and no word straddles the gap between."""
+    gutter = (left["right"] + right["x"]) / 2
+    inked = F.filter(below, lambda w: F.trim(w["text"]) != "")
+    straddles = F.exists(inked, lambda w: (w["x"] < gutter - 1) & (w["x"] + w["width"] > gutter + 1))
+    line = lambda w: round_half_up(_centre(w) / F.greatest(height * 0.8, F.lit(1.0)))
+    under = lambda w, span: sits_under(w["x"], w["x"] + w["width"], span)
+    one = F.transform(F.filter(inked, lambda w: under(w, left) & ~under(w, right)), line)
+    two = F.transform(F.filter(inked, lambda w: under(w, right) & ~under(w, left)), line)
+    return ~straddles & (F.size(F.array_intersect(one, two)) >= 2)
+
+
+def split_by_body(stacks: Column, below: Column, height: Column) -> Column:
+    """A run of stacks parted wherever the lines below fill both sides, widest gap first, the parts parted again: an array of runs."""
+    word = "struct<x: double, y: double, text: string, width: double, height: double>"
+    span = lambda ws: F.struct(F.array_min(F.transform(ws, lambda w: w["x"])).alias("x"), F.array_max(F.transform(ws, lambda w: w["x"] + w["width"])).alias("right"))
+
+    def part(run: Column) -> Column:
+        def cut(i: Column) -> Column:
+            return let(F.struct(span(F.flatten(F.slice(run, 1, i))).alias("l"), span(F.flatten(F.slice(run, i + 1, F.size(run)))).alias("r"), span(at(run, i)).alias("own")), lambda s: F.struct(
+                (s["l"]["right"] - s["own"]["x"]).alias("minus_gap"), i.alias("i"), both_carry_values(s["l"], s["r"], below, height).alias("carries")))
+
+        good = F.array_sort(F.filter(F.transform(F.sequence(F.lit(1), F.size(run) - 1), cut), lambda c: c["carries"]))
+        return let(at(good, 0)["i"], lambda i: F.when(i.isNull(), F.array(run)).otherwise(F.array(F.slice(run, 1, i), F.slice(run, i + 1, F.size(run)))))
+
+    kind = f"array<array<array<{word}>>>"
+    parted = F.aggregate(F.sequence(F.lit(2), F.size(stacks)), F.array(stacks).cast(kind), lambda acc, _: F.flatten(F.transform(acc, lambda r: F.when(F.size(r) < 2, F.array(r)).otherwise(part(r)))).cast(kind))
+    return F.when((F.size(stacks) < 2) | (F.size(below) == 0), F.array(stacks).cast(kind)).otherwise(parted)
+
+
+STACK = "array<struct<x: double, y: double, text: string, width: double, height: double>>"
+
+
+def beside(stacks: Column, height: Column) -> Column:
+    """Runs of stacks: neighbours on one baseline at most 0.7 of the height apart, a wrapped title alone."""
     right = lambda ws: F.array_max(F.transform(ws, lambda w: w["x"] + w["width"]))
     left = lambda ws: F.array_min(F.transform(ws, lambda w: w["x"]))
 
     def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        gap = left(s) - right(last)
-        joins = F.coalesce(one_baseline(last, height) & one_baseline(s, height) & (gap > 0) & (gap <= height * 0.7), F.lit(False))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, s)))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(s))).cast(f"array<{stack}>")
-
-    groups = F.aggregate(stacked_titles(words, height), F.array().cast(f"array<{stack}>"), add)
-    named = F.transform(groups, lambda g: F.struct(left(g).alias("x"), right(g).alias("right"), joined_label(g).alias("label")))
-    return F.filter(named, lambda c: c["label"] != "")
+        def joined(last: Column) -> Column:
+            ws = F.flatten(last)
+            gap = left(s) - right(ws)
+            joins = F.coalesce(one_baseline(ws, height) & one_baseline(s, height) & (gap > 0) & (gap <= height * 0.7), F.lit(False))
+            grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.array(s))))
+            return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.array(s)))).cast(f"array<array<{STACK}>>")
+
+        return let(F.try_element_at(acc, F.lit(-1)), joined)
+
+    return F.aggregate(stacks, F.array().cast(f"array<array<{STACK}>>"), add)
+
+
+def named(runs: Column) -> Column:
+    """(x, right, label) of each run of stacks that says anything."""
+    made = F.transform(F.transform(runs, F.flatten), lambda g: F.struct(
+        F.array_min(F.transform(g, lambda w: w["x"])).alias("x"), F.array_max(F.transform(g, lambda w: w["x"] + w["width"])).alias("right"), joined_label(g).alias("label")))
+    return F.filter(made, lambda c: c["label"] != "")
+
+
+def title_columns(words: Column, height: Column) -> Column:
+    """(x, right, label) of each column title: stacks, and neighbours on one baseline at most 0.7 of the height apart."""
+    return named(beside(stacked_titles(words, height), height))
 
 
 def label_tokens(words: Column) -> Column:
