@@ -175,9 +175,9 @@ def is_repeated_header(cells: Column, headers: Column) -> Column:
 
 
 def is_lead_in(cells: Column) -> Column:
-    """One or two filled cells, all in the first two columns, without figures."""
+    """One or two filled cells, all in the first two columns, none a count or beginning with an amount."""
     at = F.filter(F.transform(cells, lambda c, i: F.when(F.trim(c) != "", i)), lambda i: i.isNotNull())
-    figures = F.exists(cells, lambda c: F.trim(c).rlike("^[0-9]{1,5}$") | has_money(c))
+    figures = F.exists(cells, lambda c: F.trim(c).rlike(r"^[0-9]{1,5}$|^\$?[0-9,]+\.[0-9]{2}\b"))
     return F.size(at).between(1, 2) & F.forall(at, lambda i: i < 2) & ~figures
 
 

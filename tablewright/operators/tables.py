@@ -124,7 +124,7 @@ def wrapped_rows(lines: DataFrame) -> DataFrame:
 # Words of a title, by the kind of page, and of any kind; what begins a line that is none; what is less likely one.
 KIND_WORDS = {"settlements": "settlements?", "inventory": "inventory", "invoice": "invoice", "table": "invoice|statement|bill|order"}
 ANY_WORDS = r"pack\s+settlements?|weekly\s+pack|instant\s+inventory|inventory\s+summary|weekly\s+invoice|settlement\s+report"
-NO_TITLE = r"(?i)^https?://|www\.|^(?:retailer|store|terminal)\b|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|^(?:game|name|int|rec|act|set|game-pack|date settled)"
+NO_TITLE = r"(?i)^https?://|^www\.|^(?:retailer|store|terminal)\b|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|^(?:game|name|int|rec|act|set|game-pack|date settled)"
 UNLIKELY = "(?i)scholarship|lottery"
 #: Titles that are recognised without their blank.
 GLUED = (("(?i)WEEKLYINVOICE", "WEEKLY INVOICE"), ("(?i)PACKSETTLEMENTS?", "PACK SETTLEMENTS"), ("(?i)INVENTORYSUMMARY", "INVENTORY SUMMARY"))

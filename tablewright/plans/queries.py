@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
 from tablewright.functions import display
-from tablewright.operators import checks, export, geometry, readers, recogniser, review, skips, tables
+from tablewright.operators import checks, column_tables, export, geometry, readers, recogniser, review, skips, tables
 from tablewright.operators import words as finding
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
@@ -749,3 +749,80 @@ def word_overlay(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.col("c_custkey").alias("word_id"), F.col("c_mktsegment").alias("text"), ((F.col("c_custkey") % 100) * 10.0).alias("x"), F.lit(500.0).alias("y"), (F.length("c_mktsegment") * 10.0).alias("width"), F.lit(20.0).alias("height"), F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(0.55).alias("confidence"))
     pages = c.select("doc", "page", F.lit(1000).alias("width"), F.lit(2000).alias("height")).distinct()
     return review.overlay(c, pages).select("doc", "x", "y", "width", "low")
+
+
+# Goods printed with all that a column table can carry: stacked titles, names on lines of their own, a second table.
+GOODS_XS = [0.0, 100.0, 460.0, 640.0, 840.0]
+GOODS_SQL = """
+    goods AS (
+        SELECT p_partkey // 60 AS doc, p_partkey, row_number() OVER (PARTITION BY p_partkey // 60 ORDER BY p_partkey) - 1 AS n, CAST(p_size AS VARCHAR) AS qty, upper(p_name) AS name, lower(p_type) AS kind,
+            'P' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS price, CAST(CAST(p_retailprice * p_size AS DECIMAL(18,2)) AS VARCHAR) AS total
+        FROM part
+    ), placed AS (SELECT *, CAST(n // 12 + 1 AS INT) AS page, n % 12 AS line FROM goods)"""
+
+
+def goods_words(spark, sf_dir):
+    """Twelve parts a page, sixty a document. Every third prints its kind on a line below, every fifth its name on the line above.
+
+    Titles stand on one line, or on two in even documents; from page 2 on, documents
+    divisible by three print none. Pages close with a subtotal and a second table of three suppliers' balances.
+    """
+    paged = number_pages(load(spark, sf_dir, "part"), F.expr("cast(p_partkey div 60 as string)"), ["p_partkey"], 12)
+    text = lambda c: F.col(c).cast("string")
+    code, name = F.concat(F.lit("P"), F.lpad(text("p_partkey"), 7, "0")), F.upper("p_name")
+    above, below = F.col("line") % 5 == 4, F.col("line") % 3 == 1
+    blank = F.lit("")
+    row = F.array(text("p_size"), F.when(above, "").otherwise(name), code, decimal_text("p_retailprice"), decimal_text(F.col("p_retailprice") * F.col("p_size")))
+    lines = F.array(
+        F.when(above, F.struct((F.col("line") * 120).alias("y"), F.array(blank, name, blank, blank, blank).alias("cells"))), F.struct((F.col("line") * 120 + 24).alias("y"), row.alias("cells")),
+        F.when(below, F.struct((F.col("line") * 120 + 48).alias("y"), F.array(blank, F.lower("p_type"), blank, blank, blank).alias("cells"))))
+    body = paged.select("doc", "page", F.explode(F.filter(lines, lambda l: l.isNotNull())).alias("l")).select("doc", "page", (F.col("l.y") + 200.0).alias("y"), "l.cells")
+    pages = paged.select("doc", "page").distinct()
+    titled = pages.where("page = 1 OR cast(doc as bigint) % 3 <> 0")
+    one = F.struct(F.lit(160.0).alias("y"), F.array(*map(F.lit, ("CASE QTY", "DESCRIPTION", "ITEM CODE", "UNIT PRICE", "AMOUNT"))).alias("cells"))
+    two = F.array(F.struct(F.lit(136.0).alias("y"), F.array(*map(F.lit, ("CASE", "", "ITEM", "UNIT", ""))).alias("cells")), F.struct(F.lit(160.0).alias("y"), F.array(*map(F.lit, ("QTY", "DESCRIPTION", "CODE", "PRICE", "AMOUNT"))).alias("cells")))
+    heads = titled.select("doc", "page", F.explode(F.when(F.col("doc").cast("long") % 2 == 0, two).otherwise(F.array(one))).alias("l")).select("doc", "page", "l.*")
+    sums = pages.select("doc", "page", F.lit(1700.0).alias("y"), F.array(blank, F.lit("SUB TOTAL"), blank, blank, F.lit("99.00")).alias("cells"))
+    return print_fields(body.unionByName(heads).unionByName(sums), GOODS_XS).unionByName(balance_words(spark, sf_dir, titled))
+
+
+def balance_words(spark, sf_dir, pages):
+    """Under each page: the balances of the three suppliers that follow its document's number."""
+    many = load(spark, sf_dir, "supplier").agg(F.count("*").alias("many"))
+    picks = pages.join(F.broadcast(many)).select("doc", "page", "many", F.posexplode(F.array(*map(F.lit, (0, 1, 2)))).alias("i", "k")).select("doc", "page", "i", ((F.col("doc").cast("long") + F.col("page") + F.col("k")) % F.col("many") + 1).alias("s_suppkey"))
+    owed = picks.join(load(spark, sf_dir, "supplier"), "s_suppkey").select("doc", "page", (F.lit(1960.0) + F.col("i") * 24).alias("y"), F.array(F.lit("01/15"), F.lpad(F.col("s_suppkey").cast("string"), 6, "7"), decimal_text(F.abs("s_acctbal"))).alias("cells"))
+    heads = pages.select("doc", "page", F.explode(F.array(
+        F.struct(F.lit(1900.0).alias("y"), F.array(F.lit("Previous Balances"), F.lit(""), F.lit("")).alias("cells")), F.struct(F.lit(1930.0).alias("y"), F.array(F.lit("DATE"), F.lit("INVOICE#"), F.lit("BALANCE")).alias("cells")))).alias("l")).select("doc", "page", "l.*")
+    return print_fields(owed.unionByName(heads), [0.0, 300.0, 700.0])
+
+
+@query(f"""WITH {GOODS_SQL} SELECT CAST(doc AS VARCHAR) AS doc, page, CAST(line AS INT) AS row_no, 'CASE QTY, DESCRIPTION, ITEM CODE, UNIT PRICE, AMOUNT' AS titles, qty,
+        name || CASE WHEN line % 3 = 1 THEN ' ' || kind ELSE '' END AS name, code, price, total FROM placed""")
+def read_column_tables(spark, sf_dir):
+    rows = column_tables.read_rows(column_tables.read_tables(goods_words(spark, sf_dir))).where("nth = 0")
+    return rows.select("doc", "page", F.col("row").alias("row_no"), F.array_join("headers", ", ").alias("titles"), *named(rows, "qty", "name", "code", "price", "total"))
+
+
+@query(f"""WITH {GOODS_SQL}, pages AS (SELECT DISTINCT doc, page FROM placed WHERE page = 1 OR doc % 3 <> 0), picks AS (SELECT doc, page, i, (doc + page + i) % (SELECT count(*) FROM supplier) + 1 AS s FROM pages, range(3) r(i))
+    SELECT CAST(doc AS VARCHAR) AS doc, page, CAST(i AS INT) AS row_no, 'Previous Balances' AS title, '01/15' AS day, lpad(CAST(s_suppkey AS VARCHAR), 6, '7') AS invoice, CAST(CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS balance
+    FROM picks JOIN supplier ON s_suppkey = s""")
+def read_further_tables(spark, sf_dir):
+    tables = column_tables.read_tables(goods_words(spark, sf_dir)).where("nth = 1")
+    rows = tables.select("doc", "page", "title", F.explode("rows").alias("r")).select("doc", "page", "title", "r.*")
+    return rows.select("doc", "page", F.col("row").alias("row_no"), "title", *named(rows, "day", "invoice", "balance"))
+
+
+@query(f"""WITH {GOODS_SQL} SELECT CAST(doc AS VARCHAR) AS doc, page, 'summary' AS reason, 'SUB TOTAL  99.00' AS text, CAST(1700 AS DOUBLE) AS y FROM placed GROUP BY ALL
+    UNION ALL SELECT CAST(doc AS VARCHAR), page, 'unplaced', 'Previous  Balances', 1900 FROM placed WHERE page = 1 OR doc % 3 <> 0 GROUP BY ALL""")
+def left_out_lines(spark, sf_dir):
+    """Totals, and the heading of the second table, which lies under the first."""
+    return column_tables.left_out(column_tables.read_tables(goods_words(spark, sf_dir))).select("doc", "page", "reason", "text", "y")
+
+
+@query(f"""WITH {GOODS_SQL}, titled AS (SELECT * FROM placed WHERE page = 1 OR doc % 3 <> 0),
+    ink AS (SELECT doc, page, max(100 + 10 * greatest(length(name), CASE WHEN line % 5 = 4 THEN 0 ELSE length(name) END)) FILTER (line % 5 <> 4) AS names FROM titled GROUP BY ALL)
+    SELECT CAST(doc AS VARCHAR) AS doc, page, 460 - least((460 - names) / 2.0, 30.0) AS code_edge FROM ink""")
+def settled_edges(spark, sf_dir):
+    """The edge between names and codes: three characters in front of the codes, or half way where the names come nearer."""
+    tables = column_tables.read_tables(goods_words(spark, sf_dir)).where("nth = 0 AND titled")
+    return tables.select("doc", "page", F.element_at("bounds", 3).alias("code_edge"))
