@@ -15,7 +15,9 @@ reaching ``THRESHOLD`` become spans, base spans always stay.
 
 Positions are code points, ends exclusive. Null texts count as empty and have no
 spans. Repeated rows are searched one by one, an empty table gives an empty table.
-Input columns named like a result column are replaced.
+Very long texts are searched whole; the cost of a text grows with the square of its
+spans. Spans that begin at one place are ordered by kind. Input columns named
+candidates or spans are replaced, all other names are free.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A wider span that overlaps a base span is no candidate.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    given, text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     none = F.filter(_found(F.lit(""), "x", 0, True), lambda s: F.lit(False))
     may = (
         F.contains(text, F.lit("@")),
@@ -156,20 +158,17 @@ def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
         None,
         text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
     )
-    gate = text.rlike(GATE)  # one scan spares most texts the others
+    gate = given.rlike(GATE)  # one scan spares most texts the others
     columns = [F.when(F.col("_gate") & m, _found(text, BASE[k], k, True)).otherwise(none).alias(f"_base{k}") for k, m in enumerate(may)]
     columns += [F.when(F.col("_gate") & m, _found(text, WIDER[k], k, False)).otherwise(none).alias(f"_wider{k}") for k, m in enumerate(wider_may) if m is not None]
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != "candidates"]
-    names = [c.lower() for c in df.columns]
-    if own := set(names) & {"_gate", *(f"_{x}{k}" for x in ("base", "wider") for k in range(4))}:
-        raise ValueError(f"columns of these names are taken: {sorted(own)}")
-    found = df.select(*kept, gate.alias("_gate")).select(*kept, *columns)
+    kept = [c for c in df.columns if c.lower() != "candidates"]
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text"), gate.alias("_gate")).select("row", *columns)  # callers' names stay inside the row
     base = F.concat(*(F.col(f"_base{k}") for k in range(4)))
     sure = F.filter(base, lambda s: s["base"])
     rest = F.concat(F.filter(base, lambda s: ~s["base"]), *(F.col(f"_wider{k}") for k in (0, 1, 3)))
     found = found.withColumn("_base0", sure).withColumn("_wider0", rest)
     free = F.filter("_wider0", lambda s: ~F.exists("_base0", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select(*kept, F.concat("_base0", free).alias("candidates"))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], F.concat("_base0", free).alias("candidates"))
 
 
 @dataclass(frozen=True)
@@ -249,8 +248,9 @@ def with_spans(candidates: DataFrame, model: SpanModel, threshold: float = THRES
 
 
 def find_personal_data(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the array ``spans`` of struct(start, kind, end, base); kind indexes KINDS."""
-    return with_spans(with_candidates(df, text_col), learn_spans(with_candidates(df.select(text_col), text_col)), threshold)
+    """``df`` with the array ``spans`` of struct(start, kind, end, base); kind indexes KINDS. Candidates are found once and kept at rest."""
+    candidates = cut(with_candidates(df, text_col))
+    return with_spans(candidates, learn_spans(candidates), threshold)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
