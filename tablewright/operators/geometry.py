@@ -198,3 +198,38 @@ def column_index(centre: Column, bounds: Column) -> Column:
     """The last bound at or before the centre, the first column if none is."""
     return F.greatest(F.size(F.filter(bounds, lambda b: b <= centre)) - 1, F.lit(0))
 
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Pairs of intervals (lo, hi) of one key that share more than an end: all columns of both sides, ``right``'s lo and hi as other_lo, other_hi.
+
+    Both sides go to every cell of width ``cell`` that they touch, so the range join is an
+    equality join on (keys, cell), which a hot key does not skew beyond its cells; a pair
+    counts in the cell of its later start alone, so none comes twice. Take ``cell`` near
+    the usual length: an interval has one row a cell. Intervals without extent or with nulls meet none.
+    Other columns must differ in name.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell)))
+    a = left.where("lo < hi").withColumn("_cell", cells)
+    b = right.where("lo < hi").withColumn("_cell", cells).withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"})
+    met = a.join(b, [*keys, "_cell"]).where((F.col("lo") < F.col("other_hi")) & (F.col("other_lo") < F.col("hi")))
+    return met.where(F.col("_cell") == F.floor(F.greatest("lo", "other_lo") / cell)).drop("_cell")
+
+
+def assign_rows(items: DataFrame, anchors: DataFrame, keys: list[str], default_pitch: float, overlap: float = 0.5, below: float = 0.6) -> DataFrame:
+    """Items (keys, item, at) with the row they belong to, of anchors (keys, anchor, at, nth).
+
+    Reach follows from the pitch of the key's own rows: ``below`` of it downwards, 0.1 + 0.4 x ``overlap``
+    of it (0.35 at most) upwards. In the upper half of that upward reach a row costs 0.75 of a pitch more, so a word between two
+    rows stays with the row above; of equals the first by ``nth``. Places are cut into cells as wide as the key's
+    reach, so the join is on (keys, cell). Items without a row in reach are left out.
+    """
+    pitch = row_pitch(anchors, keys, default_pitch)
+    up = min(0.35, 0.1 + overlap * 0.4)
+    reach = F.col("pitch") * max(up, below)
+    cell = F.floor(F.col("at") / reach)
+    spots = anchors.join(pitch, keys).select(*keys, "anchor", "nth", "pitch", F.col("at").alias("anchor_at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = items.join(pitch, keys).withColumn("cell", cell).drop("pitch").join(spots, [*keys, "cell"]).withColumn("delta", F.col("at") - F.col("anchor_at"))
+    near = near.where((F.col("delta") >= -F.col("pitch") * up) & (F.col("delta") <= F.col("pitch") * below))
+    distance = F.abs("delta") + F.when(F.col("delta") >= -F.col("pitch") * up * 0.5, 0.0).otherwise(F.col("pitch") * 0.75)
+    return near.groupBy(*keys, "item", "at").agg(F.min_by("anchor", F.struct(distance, F.col("nth"))).alias("anchor"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
+from tablewright.functions.arrays import at, let
+
 
 def modal_pack_digits(tokens: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, digits): the most frequent suffix length of clean pack codes, from ``least`` sightings;
@@ -110,3 +112,45 @@ def ink_gaps_of(pixels: Column, width: Column, height: Column) -> Column:
         return pd.Series([[{"start": int(a), "end": int(b)} for a, b in ink_gaps(np.frombuffer(x, np.uint8).reshape(n, m))] for x, m, n in zip(p, w, h, strict=True)])
 
     return find(pixels, width, height)
+
+
+SPACED = "struct<text: string, spans: array<struct<lo: double, hi: double>>>"
+
+
+def restore_spaces(text: Column, spans: Column, gaps: Column, glyphs: Column) -> Column:
+    """struct<text, spans>: a blank back at each white run that the print shows.
+
+    ``spans`` are struct<lo, hi> of each character, ``gaps`` the middles of white runs, ``glyphs`` the counts of
+    glyphs between them. Where the counts are whole and add up to the characters read, words are cut by their
+    lengths; else each run goes between the two neighbours whose middles enclose it, the
+    nearest of several. Text stays as it is if spans and characters differ in number or nothing fits.
+    """
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    each = F.transform(F.arrays_zip(chars.alias("c"), spans.alias("s")), lambda e: F.struct(e["c"].alias("c"), e["s"]["lo"].alias("lo"), e["s"]["hi"].alias("hi")))
+    piece = "array<struct<c: string, lo: double, hi: double>>"
+    blank = lambda a, b: F.struct(F.lit(" ").alias("c"), F.least(a["hi"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["lo"]).alias("hi"))
+
+    def spread(each: Column, breaks: Column) -> Column:
+        """Characters with a blank after those whose index is in ``breaks``."""
+        return F.flatten(F.transform(each, lambda e, i: F.when(F.array_contains(breaks, i), F.array(e, blank(e, at(each, i + 1)))).otherwise(F.array(e)).cast(piece)))
+
+    def by_counts(each: Column) -> Column:
+        kept = F.filter(each, lambda e: ~e["c"].rlike(r"^\s$"))
+        ends = F.transform(F.slice(glyphs, 1, F.greatest(F.size(glyphs) - 1, F.lit(0))), lambda _, i: F.aggregate(F.slice(glyphs, 1, i + 1), F.lit(0), lambda a, n: a + n) - 1)
+        return let(kept, lambda k: F.when((F.size(glyphs) == F.size(gaps) + 1) & F.forall(glyphs, lambda n: n > 0) & (F.aggregate(glyphs, F.lit(0), lambda a, n: a + n) == F.size(k)), spread(k, ends)))
+
+    def by_spans(each: Column) -> Column:
+        middles = F.transform(each, lambda e: (e["lo"] + e["hi"]) / 2)
+        inked = lambda i: ~at(each, i)["c"].rlike(r"^\s$")
+
+        def place(gap: Column, m: Column) -> Column:
+            fit = F.transform(F.sequence(F.lit(0), F.size(each) - 2), lambda i: F.when(inked(i) & inked(i + 1) & gap.between(at(m, i), at(m, i + 1)), F.struct(F.abs(gap - (at(m, i) + at(m, i + 1)) / 2).alias("far"), i.alias("i"))))
+            return F.array_min(fit)["i"]
+
+        breaks = let(middles, lambda m: F.filter(F.transform(gaps, lambda g: place(g, m)), lambda i: i.isNotNull()))
+        return let(breaks, lambda b: spread(each, b))
+
+    usable = (F.size(spans) == F.length(text)) & (F.length(text) >= 2) & (F.size(gaps) > 0)
+    parted = let(each, lambda e: F.coalesce(by_counts(e), by_spans(e)))
+    made = let(parted, lambda p: F.struct(F.array_join(F.transform(p, lambda e: e["c"]), "").alias("text"), F.transform(p, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"))).alias("spans")))
+    return F.when(usable, made).otherwise(F.struct(text.alias("text"), spans.alias("spans"))).cast(SPACED)

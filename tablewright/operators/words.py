@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions.arrays import at, largest, let
 
 from .geometry import PAGE, fields, group_lines
 from .tables import header_lines
@@ -92,3 +93,43 @@ def table_headings(words: DataFrame, reach: float = 3.0, most: int = 5) -> DataF
     near = (F.col("bottom") <= F.col("at") - 1) & (F.col("bottom") >= F.col("at") - reach * F.col("line"))
     short = F.col("text").rlike("[A-Za-z]") & (F.col("n") <= most) & ~F.col("text").rlike(r"[0-9][.,][0-9]{2}|[$€£]")
     return placed.where(near & short).groupBy(*PAGE).agg(F.max_by("text", "line_id").alias("heading"))
+
+
+def label_words(words: Column) -> Column:
+    """A row's label of the words between its number and its counts, without stray fragments at either end.
+
+    Short words (3 characters) far from the rest go: at the left, beyond 1.5 heights and three times the usual gap;
+    at the right, beyond 1.5 heights of its neighbour. Then lone letters go unless set at
+    word spacing (1.2 heights), marks at the ends of words, and what lies left of 0.45 of the middle start.
+    """
+    inked = F.array_sort(F.filter(words, lambda w: w["text"].rlike("[A-Za-z0-9&$]")))
+    right = lambda w: w["x"] + w["width"]
+    short = lambda w: F.length(F.trim(w["text"])) <= 3
+    gap = lambda ws, i: at(ws, i)["x"] - right(at(ws, i - 1))
+
+    def from_left(ws: Column, _: Column) -> Column:
+        rest = F.array_sort(F.transform(F.sequence(F.lit(2), F.size(ws) - 1), lambda i: gap(ws, i)))
+        usual = F.when(F.size(ws) >= 4, let(rest, lambda r: at(r, F.floor(F.size(r) / 2)))).otherwise(0.0)
+        far = gap(ws, F.lit(1)) > F.greatest(largest(ws, lambda w: w["height"]) * 1.5, usual * 3)
+        return F.when((F.size(ws) >= 2) & short(at(ws, 0)) & far, F.slice(ws, 2, F.size(ws))).otherwise(ws)
+
+    def from_right(ws: Column, _: Column) -> Column:
+        n = F.size(ws)
+        far = gap(ws, n - 1) > F.greatest(at(ws, n - 1)["height"], at(ws, n - 2)["height"]) * 1.5
+        return F.when((n >= 2) & short(at(ws, n - 1)) & far, F.slice(ws, 1, n - 1)).otherwise(ws)
+
+    def said(ws: Column) -> Column:
+        starts = F.array_sort(F.transform(ws, lambda w: w["x"]))
+        margin = F.coalesce(at(starts, F.floor(F.size(ws) / 2)), F.lit(0.0)) * 0.45
+        near = lambda w, i: F.coalesce(gap(ws, i).between(0.0, w["height"] * 1.2), F.lit(False))
+
+        def token(w: Column, i: Column) -> Column:
+            bare = F.regexp_replace(F.trim(w["text"]), "^[^A-Za-z0-9&$/]+|[^A-Za-z0-9&$/!?]+$", "")
+            spaced = F.trim(w["text"]).rlike("^[A-Za-z]$") & (near(w, i) | F.coalesce(gap(ws, i + 1).between(0.0, w["height"] * 1.2), F.lit(False)))
+            lone = (F.length(bare) == 1) & ~bare.rlike("[0-9&]") & ~spaced
+            return F.when(~((F.size(ws) >= 3) & (right(w) < margin)) & ~lone & bare.rlike("[A-Za-z0-9&$]"), bare)
+
+        return F.array_join(F.filter(F.transform(ws, token), lambda t: t.isNotNull()), " ")
+
+    turns = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    return let(F.aggregate(turns, F.aggregate(turns, inked, from_left), from_right), said)

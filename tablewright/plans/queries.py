@@ -826,3 +826,68 @@ def settled_edges(spark, sf_dir):
     """The edge between names and codes: three characters in front of the codes, or half way where the names come nearer."""
     tables = column_tables.read_tables(goods_words(spark, sf_dir)).where("nth = 0 AND titled")
     return tables.select("doc", "page", F.element_at("bounds", 3).alias("code_edge"))
+
+
+# Intervals: returned and kept lines of a supplier, from order key modulo 1000, as long as their quantity.
+SPANS_SQL = "iv AS (SELECT l_suppkey, l_returnflag, CAST(l_orderkey % 1000 AS DOUBLE) AS lo, CAST(l_orderkey % 1000 AS DOUBLE) + l_quantity AS hi FROM lineitem)"
+
+
+@query(f"WITH {SPANS_SQL} SELECT a.l_suppkey, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS DOUBLE) AS shared FROM iv a JOIN iv b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R' AND a.lo < b.hi AND b.lo < a.hi GROUP BY ALL")
+def overlapping_intervals(spark, sf_dir):
+    lo = (F.col("l_orderkey") % 1000).cast("double")
+    iv = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", lo.alias("lo"), (lo + F.col("l_quantity")).alias("hi"))
+    pairs = geometry.overlap_join(iv.where("l_returnflag = 'A'").drop("l_returnflag"), iv.where("l_returnflag = 'R'").drop("l_returnflag"), ["l_suppkey"], 25.0)
+    return pairs.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.least("hi", "other_hi") - F.greatest("lo", "other_lo")).alias("shared"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)) / 1000000.0 AS sec FROM events),
+    a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS nth, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS gap FROM e WHERE event_type = 'click'),
+    p AS (SELECT user_id, coalesce(median(gap) FILTER (gap > 4), 3600) AS pitch FROM a GROUP BY user_id),
+    m AS (SELECT e.user_id, e.event_id AS item, a.event_id AS anchor, row_number() OVER (PARTITION BY e.user_id, e.event_id ORDER BY abs(e.sec - a.sec) + CASE WHEN e.sec - a.sec >= -pitch * 0.3 * 0.5 THEN 0 ELSE pitch * 0.75 END, a.nth) AS r
+        FROM e JOIN p USING (user_id) JOIN a USING (user_id) WHERE e.event_type <> 'click' AND e.sec - a.sec BETWEEN -pitch * 0.3 AND pitch * 0.6)
+    SELECT user_id, item, anchor FROM m WHERE r = 1""")
+def assign_rows(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1000000).alias("at"))
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("at", "event_id"))
+    anchors = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("anchor"), "at", nth.alias("nth"))
+    return geometry.assign_rows(e.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("item"), "at"), anchors, ["user_id"], 3600.0).select("user_id", "item", "anchor")
+
+
+@query("SELECT p_partkey, upper(p_name) || ' ' || p_brand AS text, CAST(length(p_name || p_brand) + 1 AS INT) AS n_spans FROM part")
+def restore_spaces(spark, sf_dir):
+    """Names glued by a recogniser, ten pixels a character: parted by glyph counts, every third by spans alone as its counts are off."""
+    named_ = load(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws(" ", F.upper("p_name"), "p_brand"), " ").alias("ws"))
+    sized = named_.withColumn("n", F.transform("ws", F.length))
+    start = F.transform("n", lambda _, i: F.aggregate(F.slice("n", 1, i), F.lit(0), lambda a, k: a + k + 1))
+    placed = sized.withColumn("at", start)
+    spans = F.flatten(F.zip_with("at", "n", lambda a, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(((a + i) * 10.0).cast("double").alias("lo"), ((a + i) * 10.0 + 9).cast("double").alias("hi")))))
+    gaps = F.transform(F.slice("at", 2, F.size("at") - 1), lambda a: (a * 10.0 - 5).cast("double"))
+    counts = F.transform("n", lambda k, i: F.when((F.col("p_partkey") % 3 == 0) & (i == 0), k + 1).otherwise(k))
+    made = placed.select("p_partkey", recogniser.restore_spaces(F.array_join("ws", ""), spans, gaps, counts).alias("r"))
+    return made.select("p_partkey", "r.text", F.size("r.spans").alias("n_spans"))
+
+
+@query("SELECT p_partkey, upper(p_name) || ' A B ' || p_size AS label FROM part")
+def clean_labels(spark, sf_dir):
+    """Names with two spaced letters and a size, a fragment far left of them and another far right, and a lone mark between."""
+    p = load(spark, sf_dir, "part")
+    ws = F.split(F.upper("p_name"), " ")
+    n = F.length("p_name")
+    word = lambda x, text: F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"), text.alias("text"), (F.length(text) * 10.0).cast("double").alias("width"), F.lit(20.0).alias("height"))
+    named_ = F.transform(ws, lambda w, i: word(300 + F.length(F.array_join(F.slice(ws, 1, i), " ")) * 10.0 + F.when(i > 0, 10).otherwise(0), w))
+    end = 300 + n * 10.0 + 10
+    rest = F.array(word(F.lit(10.0), F.lit("ii")), word(end, F.lit("A")), word(end + 20, F.lit("B")), word(end + 40, F.lit("|")), word(end + 60, F.col("p_size").cast("string")), word(end + 300, F.lit("zz")))
+    return p.select("p_partkey", finding.label_words(F.concat(named_, rest)).alias("label"))
+
+
+@query(f"WITH {REVIEW_SQL} SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (review) AS BIGINT) AS flagged, CAST(count(*) FILTER (o_orderkey % 4 = 0) AS BIGINT) AS edited, CAST(count(*) FILTER (NOT review) AS BIGINT) AS valid FROM s GROUP BY o_custkey")
+def grid_stats(spark, sf_dir):
+    rows = review_rows(spark, sf_dir).where("row % 4 = 0").select("doc", "page", "row")
+    return review.grid_stats(_status(spark, sf_dir), rows.unionAll(rows))
+
+
+@query("""WITH l AS (SELECT l_suppkey, l_linenumber, l_shipinstruct FROM (SELECT l_suppkey, l_linenumber, l_linestatus || l_returnflag AS l_shipinstruct FROM lineitem))
+    SELECT CAST(l_suppkey AS VARCHAR) AS doc, CAST(count(DISTINCT l_linenumber) AS BIGINT) AS pages FROM l WHERE contains(lower(l_shipinstruct), 'fr') GROUP BY l_suppkey""")
+def matched_pages(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc"), F.col("l_linenumber").alias("page"), F.array(F.concat("l_linestatus", "l_returnflag")).alias("cells"))
+    return review.matched_pages(review.search(rows, "FR"))
