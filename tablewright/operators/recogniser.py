@@ -154,3 +154,51 @@ def restore_spaces(text: Column, spans: Column, gaps: Column, glyphs: Column) ->
     parted = let(each, lambda e: F.coalesce(by_counts(e), by_spans(e)))
     made = let(parted, lambda p: F.struct(F.array_join(F.transform(p, lambda e: e["c"]), "").alias("text"), F.transform(p, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"))).alias("spans")))
     return F.when(usable, made).otherwise(F.struct(text.alias("text"), spans.alias("spans"))).cast(SPACED)
+
+
+def line_words(text: Column, x: Column, y: Column, width: Column, height: Column, digits: Column, spans: Column | None = None) -> Column:
+    """A recognised line as words: array of struct<text, x, y, width, height>, cut at blanks, behind pack codes and around dates.
+
+    A piece gets the share of the line's box that its characters have, blanks counted; with
+    ``spans`` (struct<lo, hi> of each character of ``text``, as many of them) it lies where
+    they were read. Null and blank texts and boxes without extent give no word.
+    """
+    word = "array<struct<text: string, x: double, y: double, width: double, height: double>>"
+    said = F.regexp_replace(text, r"^\s+|\s+$", "")
+    lead = F.length(text) - F.length(F.regexp_replace(text, r"^\s+", ""))
+    before = lambda parts, i, blanks: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p) + blanks)
+
+    def cut(parts: Column) -> Column:
+        pieces = F.transform(parts, lambda t, i: let(structural_cuts(t, digits), lambda ps: F.transform(ps, lambda p, j: F.struct(p.alias("p"), (before(parts, i, 1) + before(ps, j, 0)).alias("at")))))
+        return F.filter(F.flatten(pieces), lambda e: e["p"] != "")
+
+    def place(k: Column) -> Column:
+        n = F.length(k["said"])
+
+        def of(e: Column) -> Column:
+            left, wide = x + width * e["at"] / n, width * F.length(e["p"]) / n
+            if spans is not None:
+                whole, first = F.size(spans) == F.length(text), k["lead"] + e["at"]
+                low, high = at(spans, first)["lo"], at(spans, first + F.length(e["p"]) - 1)["hi"]
+                left, wide = F.when(whole, low).otherwise(left), F.when(whole, F.greatest(high - low, F.lit(1e-3))).otherwise(wide)
+            return F.struct(e["p"].alias("text"), left.alias("x"), y.alias("y"), wide.alias("width"), height.alias("height"))
+
+        return F.transform(cut(F.split(k["said"], r"\s")), of)
+
+    some = (said != "") & (width > 0) & (height > 0)
+    return F.when(some, let(F.struct(said.alias("said"), lead.alias("lead")), place).cast(word)).otherwise(F.array().cast(word))
+
+
+def page_words(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Recognised lines (keys, line, text, x, y, width, height, confidence, and spans or none) as words with word_id, in two passes.
+
+    The first finds each page's usual length of pack codes from its whole tokens; the
+    second cuts every line by it, as glued lines cannot tell it themselves. One exchange by page for the
+    counts, which are small; lines meet them by page.
+    """
+    tokens = lines.select(*keys, "line", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "text")).withColumn("seq", F.col("line").cast("long") * 100_000 + F.col("i"))
+    usual = modal_pack_digits(tokens, keys)
+    spans = F.col("spans") if "spans" in lines.columns else None
+    cut = line_words(F.col("text"), F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("digits"), spans)
+    words = lines.join(usual, keys, "left").select(*keys, "line", "confidence", F.posexplode(cut).alias("nth", "w"))
+    return words.select(*keys, (F.col("line").cast("long") * 100_000 + F.col("nth")).alias("word_id"), "w.*", "confidence")

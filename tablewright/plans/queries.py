@@ -891,3 +891,19 @@ def grid_stats(spark, sf_dir):
 def matched_pages(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc"), F.col("l_linenumber").alias("page"), F.array(F.concat("l_linestatus", "l_returnflag")).alias("cells"))
     return review.matched_pages(review.search(rows, "FR"))
+
+
+@query("""WITH l AS (SELECT o_custkey // 8 AS doc, o_orderkey, row_number() OVER (PARTITION BY o_custkey // 8 ORDER BY o_orderkey) - 1 AS n, lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS pack, strftime(o_orderdate, '%m/%d/%y') AS day FROM orders),
+    p AS (SELECT *, n // 25 + 1 AS page, count(*) FILTER (o_orderkey % 3 <> 0) OVER (PARTITION BY doc, n // 25) >= 3 AS known FROM l),
+    w AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN [pack, '7UP', day] WHEN known THEN [pack, '7UP', day] ELSE [pack || '7', 'UP', day] END AS ws,
+        CASE WHEN o_orderkey % 3 <> 0 THEN [0, 12, 16] WHEN known THEN [0, 11, 14] ELSE [0, 12, 14] END AS places FROM p)
+    SELECT CAST(doc AS VARCHAR) AS doc, CAST(page AS INT) AS page, CAST((n % 25) * 100000 + i AS BIGINT) AS word_id, ws[i + 1] AS text, CAST(60 + 10 * places[i + 1] AS DOUBLE) AS x FROM w, range(3) r(i)""")
+def page_words(spark, sf_dir):
+    """Lines of packs, every third glued: the length of a pack code is known from the page's other lines, or from none where they are too few."""
+    paged = number_pages(load(spark, sf_dir, "orders"), F.expr("cast(o_custkey div 8 as string)"), ["o_orderkey"], 25)
+    pack = F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"))
+    text = F.array_join(F.array(pack, F.lit("7UP"), F.date_format("o_orderdate", "MM/dd/yy")), "")
+    spaced = F.array_join(F.array(pack, F.lit("7UP"), F.date_format("o_orderdate", "MM/dd/yy")), " ")
+    lines = paged.select("doc", "page", "line", F.when(F.col("o_orderkey") % 3 == 0, text).otherwise(spaced).alias("text"), F.lit(60.0).alias("x"), (F.col("line") * 30.0).alias("y"), F.lit(20.0).alias("height"), F.lit(1.0).alias("confidence"))
+    lines = lines.withColumn("width", (F.length("text") * 10.0).cast("double"))
+    return recogniser.page_words(lines, ["doc", "page"]).select("doc", "page", "word_id", "text", "x")

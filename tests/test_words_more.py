@@ -52,3 +52,21 @@ def test_restored_spaces_by_counts_spans_and_neither(spark):
     got = spark.range(1).select(*[recogniser.restore_spaces(F.lit(t), s.cast(empty), g, k).alias(f"c{i}") for i, ((t, s, g, k), _) in enumerate(cases)]).first()
     assert [r.text for r in got] == [w for _, w in cases]
     assert [(s.lo, s.hi) for s in got[0].spans][3] == (29.0, 40.0)
+
+
+def test_lines_become_words_in_two_passes(spark):
+    rows = [
+        ("d", 1, 0, "815-445566 LUCKY 01/02/24"), ("d", 1, 1, "815-445567 RED"), ("d", 1, 2, "816-445568 BLUE"), ("d", 1, 3, " 817-4455697 UP01/03/24 "), ("d", 1, 4, "   "), ("d", 1, 5, None),
+        ("d", 2, 0, "817-4455697UP"),
+    ]
+    lines = spark.createDataFrame(rows, "doc string, page int, line int, text string").withColumn("width", F.length("text") * 10.0)
+    lines = lines.selectExpr("*", "100D AS x", "0D AS y", "20D AS height", "0.9D AS confidence").withColumn("width", F.coalesce("width", F.lit(1.0)).cast("double"))
+    got = {}
+    for w in sorted(recogniser.page_words(lines, ["doc", "page"]).collect(), key=lambda w: (w.page, w.word_id)):
+        got.setdefault((w.page, w.word_id // 100_000), []).append((w.text, round(w.x, 6), round(w.width, 6)))
+    assert got[1, 0] == [("815-445566", 100.0, 100.0), ("LUCKY", 210.0, 50.0), ("01/02/24", 270.0, 80.0)]
+    assert [w[0] for w in got[1, 3]] == ["817-445569", "7", "UP", "01/03/24"]  # six digits, as the page's others have
+    assert [w[0] for w in got[2, 0]] == ["817-4455697", "UP"] and set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)}
+    spans = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.struct((i * 7.0).cast("double").alias("lo"), (i * 7.0 + 6).cast("double").alias("hi")))
+    read = {(w.text, w.x, w.width) for w in recogniser.page_words(lines.where("line = 3").withColumn("spans", spans), ["doc", "page"]).collect()}
+    assert ("UP", 13 * 7.0, 13.0) in read
