@@ -96,7 +96,7 @@ def is_rule(text: Column) -> Column:
     return _sub(text, r"\s").rlike(r"^[-_=.*]{4,}$")
 
 
-#: Words by which a document points to another of its pages, letters only.
+#: Words by which a document points to another of its pages, letters only.
 _POINTS = r"(?:continu(?:e|es|ed|ing)|contd|cont)(?:on|to|from)?(?:the)?(?:next|following|previous|prior|last)?page|(?:on|to|from)(?:the)?(?:next|following|previous|prior)page"
 
 
@@ -126,6 +126,7 @@ def is_furniture(text: Column) -> Column:
     return (line == "") | number | banner | is_page_continuation(line)
 
 
+#: Notes that an item is not in stock.
 STOCK_NOTE = r"(?i)\bout\s*of\s*stock\b|\bno\s*stock\b"
 
 
@@ -263,16 +264,19 @@ def slugify(text: Column) -> Column:
     return F.when(slug == "", "table").otherwise(slug)
 
 
+# A key with its figure, and what a key to marks looks like: definitions, words that explain, marks.
+KEYED_FIGURE = r"[A-Za-z][A-Za-z.\s]*:\s*\$?-?[0-9,]+(?:\.[0-9]+)?"
+DEFINES, EXPLAINS, MARKS = r"[A-Za-z0-9]\s*=\s*[A-Za-z0-9]", r"(?i)\b(?:denotes?|means?|indicates?|abbreviat\w*|legend|key)\b", r"[*+#†‡]|\b[A-Z]\b"
+
+
 def is_document_total(text: Column) -> Column:
     """Two keyed figures or more on one line."""
-    return F.regexp_count(text, _(r"[A-Za-z][A-Za-z.\s]*:\s*\$?-?[0-9,]+(?:\.[0-9]+)?")) >= 2
+    return F.regexp_count(text, _(KEYED_FIGURE)) >= 2
 
 
 def is_legend(text: Column) -> Column:
     """A key to the document's marks; text is upper case."""
-    defines = text.rlike(r"[A-Za-z0-9]\s*=\s*[A-Za-z0-9]")
-    explains = text.rlike(r"(?i)\b(?:denotes?|means?|indicates?|abbreviat\w*|legend|key)\b")
-    return defines | (explains & text.rlike(r"[*+#†‡]|\b[A-Z]\b"))
+    return text.rlike(DEFINES) | (text.rlike(EXPLAINS) & text.rlike(MARKS))
 
 
 def page_range(pages: Column) -> Column:

@@ -18,7 +18,7 @@ from .geometry import PAGE
 
 CELLS = "array<struct<row: int, cells: array<string>, confidence: double>>"
 KEPT = StorageLevel.MEMORY_AND_DISK
-#: What a page reads as when it holds no words.
+#: What a page reads as when it holds no words.
 BLANK, NO_READER = "No words were read. The page may be blank after watermark removal.", "This page is a scan and no recogniser is available to read it."
 
 

@@ -21,6 +21,11 @@ HEADERS = {"inventory": ("Game", "Name", "Int", "Rec", "Act", "Set"), "settlemen
 KEYWORDS = r"(?i)\b(?:qty|quantity|description|name|unit|price|amount|total|date|item|code|number|pack|cost|order|upc|sku|part|extended|prc|case)\b"
 
 
+# What no line of titles holds (figures alone, addresses, telephone numbers), and what makes one less likely (documents' names, long numbers).
+FIGURES, ADDRESS, TELEPHONE = r"^\$?[\d.,]+%?$", r"https?://|www\.|\.com\b|@", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"
+DOCUMENTS, LONG_NUMBER = r"(?i)\b(?:invoice|statement|receipt|summary|report)\b", r"\d{3,}[-/]\d{3,}"
+
+
 def default_headers(kind: Column) -> Column:
     """The titles of a kind of page that prints none."""
     out = F.array(F.lit("Column"))
@@ -63,10 +68,10 @@ def header_score(labels: Column, following: Column, line: Column) -> Column:
         F.lit(18.0) * n_text / n + F.when(n >= 6, 34).when(n >= 4, 28).otherwise(16) + F.when(upper >= n_text * 0.5, 12).otherwise(0)
         + F.when(keywords >= 3, 26).when(keywords == 2, 16).when(keywords == 1, 8).otherwise(0) + F.when(line.between(2, 24), 4).otherwise(0)
         + F.when((F.size(following) < 2) | (numeric < 2) | following.isNull(), 0).when(F.exists(below, lambda c: c.rlike("[A-Za-z]")), 18).otherwise(12)
-        - F.when((n <= 3) & joined.rlike(r"(?i)\b(?:invoice|statement|receipt|summary|report)\b"), 24).otherwise(0)
-        - F.when((F.length(joined) > 140) & (n <= 3), 12).otherwise(0) - F.when(F.exists(labels, lambda c: c.rlike(r"\d{3,}[-/]\d{3,}")), 30).otherwise(0)
+        - F.when((n <= 3) & joined.rlike(DOCUMENTS), 24).otherwise(0)
+        - F.when((F.length(joined) > 140) & (n <= 3), 12).otherwise(0) - F.when(F.exists(labels, lambda c: c.rlike(LONG_NUMBER)), 30).otherwise(0)
     )
-    out = F.forall(labels, lambda c: c.rlike(r"^\$?[\d.,]+%?$")) | joined.rlike(r"https?://|www\.|\.com\b|@") | joined.rlike(r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b") | (n_text < n * 0.6)
+    out = F.forall(labels, lambda c: c.rlike(FIGURES)) | joined.rlike(ADDRESS) | joined.rlike(TELEPHONE) | (n_text < n * 0.6)
     return F.when((n == 0) | out, 0.0).otherwise(score)
 
 

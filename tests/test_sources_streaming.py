@@ -16,9 +16,9 @@ def test_files_by_first_bytes(spark, tmp_path):
 
 
 def test_posted_pages_and_text_layer(spark):
-    body = {"page": 1, "headers": ["QTY", "PRICE"], "rows": [{"cells": ["1", "31.20"], "confidence": 0.9}]}
+    body = {"page": 1, "headers": ["QTY", "PRICE"], "rows": [{"cells": ["1", "18.40"], "confidence": 0.9}]}
     got = pages.posted_pages(spark.createDataFrame([("d", json.dumps(body)), ("e", "{}")], "doc string, body string")).orderBy("doc").collect()
-    assert (got[0].kind, got[0].rows, got[1].kind, got[1].rows) == ("table", [["1", "31.20"]], "table", [])
+    assert (got[0].kind, got[0].rows, got[1].kind, got[1].rows) == ("table", [["1", "18.40"]], "table", [])
     boxes = spark.createDataFrame([("d", 1, "abcdef", 7.2, 0.0, 36.0, 0.1)] * 8 + [("d", 2, "x", 0.0, 0.0, 1.0, 1.0), ("d", 1, " ", 0.0, 0.0, 1.0, 1.0)], "doc string, page int, text string, x double, y double, width double, height double")
     words = pages.scaled_words(boxes)
     assert words.count() == 9 and words.where("page = 1").first().height == 1.0
@@ -26,13 +26,13 @@ def test_posted_pages_and_text_layer(spark):
 
 
 def test_word_stream_reads_tables(spark, tmp_path):
-    rows = spark.createDataFrame([("d", 1, 0, ["1", "MINT SNUFF", "31.20"]), ("d", 1, 1, ["2", "LEAF BAG", "17.35"])], "doc string, page int, line int, cells array<string>")
+    rows = spark.createDataFrame([("d", 1, 0, ["1", "GREEN KETTLE", "18.40"]), ("d", 1, 1, ["2", "WOOL SOCKS", "6.15"])], "doc string, page int, line int, cells array<string>")
     words = printer.print_table(rows, ["QTY", "DESCRIPTION", "PRICE"], [60.0, 200.0, 700.0], F.lit(True))
     words.coalesce(1).write.parquet(str(tmp_path / "in"))
     schema = ", ".join(f"{n} {t}" for n, t in words.dtypes)
     query = ingest.stream_rows(ingest.word_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
-    assert sorted(r.cells[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["LEAF BAG", "MINT SNUFF"]
+    assert sorted(r.cells[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["GREEN KETTLE", "WOOL SOCKS"]
 
 
 def test_event_windows_stream(spark, sf_dir, tmp_path):
