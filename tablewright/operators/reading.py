@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tablewright.functions import text as T
+from tablewright.sources.rest import at_rest
 
-from . import checks, export, readers, skips, tables, titles
+from . import checks, column_tables, export, readers, skips, tables, titles
 from .geometry import PAGE
 
 CELLS = "array<struct<row: int, cells: array<string>, confidence: double>>"
-KEPT = StorageLevel.MEMORY_AND_DISK
 #: What a page reads as when it holds no words.
 BLANK, NO_READER = "No words were read. The page may be blank after watermark removal.", "This page is a scan and no recogniser is available to read it."
 
@@ -43,47 +42,52 @@ def _gathered(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy(*PAGE).agg(cells.cast(CELLS).alias(name))
 
 
-def read_pages(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """(doc, page, kind, title, headers, rows, confidences, warnings): one row a page of ``pages``, else of ``words``.
+def read_all(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, their further tables, and the lines left out.
+
+    Pages: (doc, page, kind, title, headers, rows, confidences, warnings), one row a page of
+    ``pages``, else of ``words``. Further tables: (doc, page, pos, title, headers, rows).
+    Left out: (doc, page, reason, text, confidence, y, x) of the pages that read as tables.
 
     A column table wins on a page with its own titles, or with an item under inherited
     ones, unless the titles or marks are those of an inventory, of settlements or of a
-    weekly invoice; then the numbers of rows decide (``checks.choose_kind``). Words and
-    lines are persisted, as five readers use them; a lost block is computed again.
+    weekly invoice; then the numbers of rows decide (``checks.choose_kind``). Words are
+    dealt by page once; each reader works on them where they lie, and what it found is put
+    to rest, so that the last plan joins one row a page of each.
     """
-    usable = words.where(F.trim("text") != "").persist(KEPT)
-    lines = tables.read_lines(usable).persist(KEPT)
-    items = tables.wrapped_rows(lines)
-    table = _gathered(items, "table")
-    head = lines.groupBy(*PAGE).agg(F.first("headers").alias("printed"), F.max((F.col("kind") == "header").cast("int")).alias("own"), F.max((F.col("kind") == "item").cast("int")).alias("priced"))
-    stock = readers.inventory(usable)
+    usable = at_rest(words.where(F.trim("text") != "").repartition(*PAGE))
+    found = at_rest(column_tables.read_tables(usable))
+    slim = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), r["cells"].alias("cells"), r["confidence"].alias("confidence")))
+    table = found.where("nth = 0").select(*PAGE, F.col("headers").alias("printed"), slim.cast(CELLS).alias("table"))
+    stock = at_rest(readers.inventory(usable))
     some = F.exists(F.slice("cells", 3, 4), lambda c: c != "")
     counted = stock.where(some).groupBy(*PAGE).agg(F.count("*").alias("n_stock"), F.max(T.is_totals(F.element_at("cells", 2)).cast("int")).alias("n_totals"))
     weekly = tables.weekly_invoices(usable).withColumn("weekly", F.lit(True))
     titled = readers.inventory_pages(usable).withColumn("stocked", F.lit(True))
     every = (words if pages is None else pages).select(*PAGE).distinct()
-    for part in (head, table, counted, _gathered(stock, "stock"), _gathered(readers.settlements(usable), "packs"), _gathered(readers.invoice(usable), "amounts"), weekly, titled):
-        every = every.join(part, PAGE, "left")
+    read = usable.select(*PAGE).distinct().withColumn("_read", F.lit(True))
+    for part in (table, counted, _gathered(stock, "stock"), _gathered(readers.settlements(usable), "packs"), _gathered(readers.invoice(usable), "amounts"), weekly, titled, read):
+        every = every.join(at_rest(part), PAGE, "left")
     size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast(CELLS))), F.lit(0))
-    is_table = (F.coalesce(F.col("own"), F.lit(0)) + F.coalesce(F.col("priced"), F.lit(0)) > 0) & ~titles.lottery_titles(F.col("printed")) & F.col("stocked").isNull() & F.col("weekly").isNull()
+    is_table = F.col("printed").isNotNull() & ~titles.lottery_titles(F.col("printed")) & F.col("stocked").isNull() & F.col("weekly").isNull()
     other = checks.choose_kind(F.coalesce("n_stock", F.lit(0)), F.coalesce("n_totals", F.lit(0)) > 0, size(F.col("packs")), size(F.col("amounts")))
-    kinds = every.withColumn("kind", F.when(F.coalesce(is_table, F.lit(False)), "table").otherwise(other))
+    kinds = at_rest(every.withColumn("kind", F.when(F.coalesce(is_table, F.lit(False)), "table").otherwise(other)))
     rows = F.when(F.col("kind") == "table", F.col("table")).when(F.col("kind") == "inventory", F.col("stock")).when(F.col("kind") == "settlements", F.col("packs")).otherwise(F.col("amounts"))
-    read = kinds.withColumn("_rows", F.coalesce(rows, F.array().cast(CELLS)))
-    named = read.join(tables.page_titles(usable, read.select(*PAGE, "kind")), PAGE, "left")
-    counts = usable.select(*PAGE).distinct().withColumn("_read", F.lit(True))
     headers = F.when(F.col("kind") == "table", F.col("printed")).otherwise(titles.default_headers(F.col("kind")))
-    return named.join(counts, PAGE, "left").select(
+    named = kinds.withColumn("_rows", F.coalesce(rows, F.array().cast(CELLS))).join(at_rest(tables.page_titles(usable, kinds.select(*PAGE, "kind"))), PAGE, "left")
+    made = named.select(
         *PAGE, "kind", "title", headers.alias("headers"), F.transform("_rows", lambda r: r["cells"]).alias("rows"), F.transform("_rows", lambda r: r["confidence"]).alias("confidences"),
         F.when(F.col("_read").isNull(), F.array(F.lit(BLANK))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
+    tabled = found.join(kinds.where("kind = 'table'").select(*PAGE), PAGE, "left_semi")
+    extra = tabled.where("nth > 0").select(*PAGE, (F.col("nth") - 1).alias("pos"), F.coalesce("title", F.lit("")).alias("title"), "headers", F.transform("rows", lambda r: r["cells"]).alias("rows"))
+    body = tabled.where("nth = 0").select(*PAGE, "body_left")
+    return made, extra, skips.refine(column_tables.left_out(tabled), body)
 
 
-def left_out(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc, page, reason, text, confidence, y, x) of the pages that read as a table: only their reader keeps a log."""
-    lines = tables.with_wraps(tables.read_lines(words.where(F.trim("text") != "")))  # those that read_pages keeps
-    found = skips.refine(tables.skipped_lines(lines), tables.body_left(lines))
-    return found.join(pages.where("kind = 'table'").select(*PAGE), PAGE, "left_semi")
+def read_pages(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The pages of ``read_all``."""
+    return read_all(words, pages)[0]
 
 
 def failures(pages: DataFrame, totals: DataFrame) -> DataFrame:
@@ -122,8 +126,10 @@ def skip_totals(skipped: DataFrame, totals: DataFrame, failed: DataFrame | None
 
 
 def read_document(words: DataFrame, totals: DataFrame, form: str = "json", pages: DataFrame | None = None) -> DataFrame:
-    """(doc, json) or (doc, csv) straight from words. totals: (doc, total), pages in the document."""
-    return export_pages(read_pages(words, pages), totals, form=form)
+    """(doc, json) or (doc, csv) straight from words, further tables included. totals: (doc, total), pages in the document."""
+    made, extra, _ = read_all(words, pages)
+    gone = extra.sparkSession.createDataFrame([], "doc string, key string")
+    return export_pages(made, totals, form=form, extra=export.extra_tables(extra, gone))
 
 
 def export_pages(

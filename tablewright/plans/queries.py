@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
 from tablewright.functions import display
-from tablewright.operators import checks, column_tables, export, geometry, readers, recogniser, review, skips, tables
+from tablewright.operators import checks, column_tables, export, geometry, readers, reading, recogniser, review, skips, tables
 from tablewright.operators import words as finding
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
@@ -907,3 +907,13 @@ def page_words(spark, sf_dir):
     lines = paged.select("doc", "page", "line", F.when(F.col("o_orderkey") % 3 == 0, text).otherwise(spaced).alias("text"), F.lit(60.0).alias("x"), (F.col("line") * 30.0).alias("y"), F.lit(20.0).alias("height"), F.lit(1.0).alias("confidence"))
     lines = lines.withColumn("width", (F.length("text") * 10.0).cast("double"))
     return recogniser.page_words(lines, ["doc", "page"]).select("doc", "page", "word_id", "text", "x")
+
+
+@query(f"""WITH {GOODS_SQL}, packs AS (SELECT o_custkey // 8 AS doc, (row_number() OVER (PARTITION BY o_custkey // 8 ORDER BY o_orderkey) - 1) // 25 + 1 AS page FROM orders)
+    SELECT 'goods ' || doc AS doc, page, 'table' AS kind, CAST(count(*) AS INT) AS n_rows, 'CASE QTY' AS first_title FROM placed GROUP BY ALL
+    UNION ALL SELECT 'packs ' || doc, CAST(page AS INT), 'settlements', count(*), 'Game-Pack' FROM packs GROUP BY ALL""")
+def read_pages(spark, sf_dir):
+    """Documents of two kinds, read by what their pages turn out to be."""
+    marked = lambda words, kind: words.withColumn("doc", F.concat(F.lit(f"{kind} "), "doc"))
+    words = marked(goods_words(spark, sf_dir), "goods").unionByName(marked(settlement_words(spark, sf_dir), "packs"))
+    return reading.read_pages(words).select("doc", "page", "kind", F.size("rows").alias("n_rows"), F.element_at("headers", 1).alias("first_title"))
