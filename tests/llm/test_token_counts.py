@@ -3,8 +3,9 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
+from tablewright.llm import token_counts
 from tablewright.llm.pretokens import Pretokens, default_path, is_narrow
-from tablewright.llm.token_counts import count_tokens, op6_token_counts
+from tablewright.llm.token_counts import count_tokens, number_blocks, op6_token_counts, packed, unpacked
 
 ODD = [
     "", " ", "  ", "a", " a  b ", "'s don't 're''s", "x<|endoftext|>y", "<|endoftext|>", "<|endoftext|> <|endo", "\x1c\x1d a\x1f", "\x85  a",
@@ -47,6 +48,30 @@ def test_empty_table_and_repeated_rows(spark):
     assert [r.n_tokens for r in count_tokens(df).collect()] == [2, 2, 2]
 
 
+def test_rare_frequent_and_long_pretokens_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", 4000)
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 1000)
+    rnd = random.Random(3)
+    texts = [" ".join(["the", "-" * 80, f"rare{i}x", *(rnd.choice(["of", "and", "z" * 300]) for _ in range(i % 90))]) for i in range(400)] + ["the " * 20000, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = number_blocks(df.selectExpr("struct(doc_id) as kept", "text"))
+    assert held.count() > 10
+    t = library()
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()} == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_frequencies_come_back_as_they_were():
+    sizes, slots, times = unpacked(packed([2, 0, 3], [7, 0, 70000, 1, 2], [1, 300, 5, 1, 2**31 - 1]), 3)
+    assert (list(sizes), list(slots), list(times)) == ([2, 0, 3], [0, 7, 1, 2, 70000], [300, 1, 1, 2**31 - 1, 5])
+    assert [len(x) for x in unpacked(packed([0], [], []), 1)] == [1, 0, 0]
+
+
+def test_columns_with_names_of_its_own(spark):
+    df = spark.createDataFrame([(1, "a b", "k", 5, "w", "m", 9)], "doc_id long, text string, kept string, pieces int, words string, tallies string, n_bytes int")
+    row = count_tokens(df).first()
+    assert (row.kept, row.pieces, row.words, row.tallies, row.n_bytes, row.n_tokens) == ("k", 5, "w", "m", 3, 2)
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_narrow_pattern_is_the_same_split(text):
     p = Pretokens({})
