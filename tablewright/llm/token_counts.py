@@ -137,12 +137,12 @@ def count_tokens(df: DataFrame, vocabulary: str | None = None, limit: int = 512,
     names = [c for c in df.columns if c.lower() not in taken]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(0)]).alias("kept"), F.col(f"`{text_col}`").alias("text"))
     held = written(number_blocks(rows, vocabulary).withColumn("block", F.monotonically_increasing_id()))
-    sent = held.select("block", F.posexplode("words").alias("slot", "word")).repartition("word")
-    # The least places are read so that both sides of the join want the same columns of one shuffle.
+    # Both sides of the join stand on one shuffle: the filters and the least places, which say nothing new, keep their plans alike.
+    sent = held.select("block", F.posexplode("words").alias("slot", "word")).where("block is not null and word is not null").repartition("word")
     distinct = sent.groupBy("word").agg(F.min("block").alias("block"), F.min("slot").alias("slot"))
     counted = count_pieces(distinct, vocabulary).select("word", "pieces")
     place = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("pieces"))
-    back = sent.join(counted, "word").groupBy("block").agg(F.collect_list(place).alias("pieces"))
+    back = sent.join(counted.hint("merge"), "word").groupBy("block").agg(F.collect_list(place).alias("pieces"))
     pieces = F.coalesce("pieces", F.array().cast("array<long>")).alias("pieces")
     sums = sum_blocks(held.drop("words").join(back, "block", "left").select("kept", "n_bytes", "tallies", pieces))
     n = F.col("n_tokens")
