@@ -166,8 +166,8 @@ def assign_to_anchors(items: DataFrame, anchors: DataFrame, keys: list[str], abo
     return near.groupBy(*keys, "item", "at").agg(nearest.alias("n")).select(*keys, "item", "at", "n.anchor", "n.anchor_at")
 
 
-def row_pitch(anchors: DataFrame, keys: list[str], default: float) -> DataFrame:
-    """(keys, pitch): median of the gaps over 4 between neighbouring anchors."""
+def row_pitch(anchors: DataFrame, keys: list[str], default: float | Column) -> DataFrame:
+    """(keys, pitch): median of the gaps over 4 between neighbouring anchors; ``default``, a number or an aggregate, without such."""
     gap = F.col("at") - F.lag("at").over(W.partitionBy(*keys).orderBy("at"))
     return anchors.withColumn("gap", gap).groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("gap") > 4, F.col("gap"))), F.lit(default)).alias("pitch"))
 
@@ -216,7 +216,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     return met.where(F.col("_cell") == F.floor(F.greatest("lo", "other_lo") / cell)).drop("_cell")
 
 
-def assign_rows(items: DataFrame, anchors: DataFrame, keys: list[str], default_pitch: float, overlap: float = 0.5, below: float = 0.6) -> DataFrame:
+def assign_rows(items: DataFrame, anchors: DataFrame, keys: list[str], default_pitch: float | Column, overlap: float = 0.5, below: float = 0.6) -> DataFrame:
     """Items (keys, item, at) with the row they belong to, of anchors (keys, anchor, at, nth).
 
     Reach follows from the pitch of the key's own rows: ``below`` of it downwards, 0.1 + 0.4 x ``overlap``

@@ -16,14 +16,18 @@ from .tables import header_lines
 PACK, HALVES_APART = "^[0-9]{3}-[0-9]{5,8}$", 24.0
 
 
-def split_counts(words: DataFrame) -> DataFrame:
-    """``words`` with a run of two to four glued three-digit counts as words of equal width."""
-    token = T.token_core(F.col("text"))
+def count_parts(text: Column) -> Column:
+    """The two to four three-digit counts glued in a text, else the text alone."""
+    token = T.token_core(text)
     digits = F.regexp_replace(token, "[^0-9]", "")
     n = F.floor(F.length(digits) / 3).cast("int")
     glued = token.rlike(r"^[0-9]{3}(?:[.\s-]?[0-9]{3})+$") & ~token.rlike(PACK) & n.between(2, 4)
-    parts = F.when(glued, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 3 + 1, F.lit(3)))).otherwise(F.array("text"))
-    cut = words.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_i", "_part"))
+    return F.when(glued, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 3 + 1, F.lit(3)))).otherwise(F.array(text))
+
+
+def split_counts(words: DataFrame) -> DataFrame:
+    """``words`` with a run of two to four glued three-digit counts as words of equal width."""
+    cut = words.withColumn("_parts", count_parts(F.col("text"))).select("*", F.posexplode("_parts").alias("_i", "_part"))
     share = F.col("width") / F.size("_parts")
     made = {"word_id": F.when(F.size("_parts") > 1, F.xxhash64("word_id", "_i")).otherwise(F.col("word_id")), "text": F.col("_part"), "x": F.col("x") + share * F.col("_i"), "width": share}
     return cut.select(*(made[c].alias(c) if c in made else F.col(c) for c in words.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
 from tablewright.functions import display
-from tablewright.operators import checks, column_tables, export, geometry, readers, reading, recogniser, review, skips, tables
+from tablewright.operators import checks, column_tables, export, geometry, inventories, readers, reading, recogniser, review, skips, tables
 from tablewright.operators import words as finding
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
@@ -168,6 +168,28 @@ def read_inventory(spark, sf_dir):
     return rows.where(F.element_at("cells", 1) != "").select("doc", F.col("row").cast("long").alias("row_no"), *named(rows, "game", "name", "c_int", "c_rec", "c_act", "c_set"))
 
 
+def damaged_stock(spark, sf_dir):
+    """Words of stock pages that slope into the next row; some rows glue their counts, some leave zeros out; every other page prints no titles."""
+    shown = stock_counts(spark, sf_dir)
+    three = lambda i: F.lpad(F.col(f"c{i}").cast("string"), 3, "0")
+    glued, short = F.col("game").cast("int") % 5 == 1, F.col("game").cast("int") % 7 == 2
+    counts = [F.when(glued, F.concat(*map(three, range(4))) if i == 0 else F.lit("")).when(short, F.col(f"c{i}").cast("string")).otherwise(three(i)) for i in range(4)]
+    items = shown.select("doc", "page", "line", F.array("game", "name", *counts).alias("cells"))
+    total = shown.groupBy("doc", "page").agg(F.max("line").alias("line")).select("doc", "page", (F.col("line") + 1).alias("line"), F.array(F.lit(""), F.lit("TOTALS"), *[F.lit("000")] * 4).alias("cells"))
+    below = total.select("doc", "page", (F.col("line") + 2).alias("line"), F.array(*map(F.lit, ("123", "FOOTER", "001", "002", "003", "004"))).alias("cells"))
+    words = print_table(items.unionByName(total).unionByName(below), ["Game", "Name", "Int", "Rec", "Act", "Set"], [60.0, 160.0, 700.0, 800.0, 900.0, 1000.0], F.col("doc").cast("long") % 2 == 0)
+    return words.withColumn("y", F.when(F.col("y") > 100, F.col("y") + (F.col("x") - 60) * 0.022).otherwise(F.col("y")))
+
+
+@query(f"""WITH {STOCK_SQL}, n AS (SELECT doc, max(line) + 1 AS last FROM stock GROUP BY doc)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(line AS BIGINT) AS row_no, game, name, lpad(CAST(c0 AS VARCHAR), 3, '0') AS c_int, lpad(CAST(c1 AS VARCHAR), 3, '0') AS c_rec, lpad(CAST(c2 AS VARCHAR), 3, '0') AS c_act, lpad(CAST(c3 AS VARCHAR), 3, '0') AS c_set FROM stock
+UNION ALL SELECT CAST(doc AS VARCHAR), CAST(last AS BIGINT), '', 'TOTALS', '000', '000', '000', '000' FROM n""")
+def anchored_inventory(spark, sf_dir):
+    """Rows come back whole although lines run into each other; nothing below TOTALS is read."""
+    rows = inventories.anchored_inventory(damaged_stock(spark, sf_dir))
+    return rows.select("doc", F.col("row").cast("long").alias("row_no"), *named(rows, "game", "name", "c_int", "c_rec", "c_act", "c_set"))
+
+
 def _counts(spark, sf_dir, blank, off=0):
     rows = stock_rows(spark, sf_dir, blank, off).withColumnRenamed("line", "row")
     return checks.count_columns(rows)
