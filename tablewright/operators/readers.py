@@ -72,11 +72,6 @@ def _count_titles(lines: DataFrame, titles: tuple[str, ...]) -> DataFrame:
     return heads.where(F.size("centres") == len(titles)).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def inventory_pages(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act", "Set")) -> DataFrame:
-    """(doc, page) of the pages that print the titles of counts."""
-    return _count_titles(group_lines(words).withColumn("centre", F.col("x") + F.col("width") / 2), titles).select(*PAGE)
-
-
 def inventory(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act", "Set")) -> DataFrame:
     """(doc, page, row, cells, confidence): Game, Name and four counts under their titles.
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tablewright.functions import text as T
 from tablewright.sources.rest import at_rest
 
-from . import checks, column_tables, export, readers, skips, tables, titles
-from .geometry import PAGE
+from . import checks, column_tables, export, inventories, readers, skips, tables, titles
+from .geometry import PAGE, group_lines
 
 CELLS = "array<struct<row: int, cells: array<string>, confidence: double>>"
 #: What a page reads as when it holds no words.
@@ -59,11 +59,11 @@ def read_all(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFram
     found = at_rest(column_tables.read_tables(usable))
     slim = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), r["cells"].alias("cells"), r["confidence"].alias("confidence")))
     table = found.where("nth = 0").select(*PAGE, F.col("headers").alias("printed"), slim.cast(CELLS).alias("table"))
-    stock = at_rest(readers.inventory(usable))
+    stock = at_rest(inventories.anchored_inventory(usable))
     some = F.exists(F.slice("cells", 3, 4), lambda c: c != "")
     counted = stock.where(some).groupBy(*PAGE).agg(F.count("*").alias("n_stock"), F.max(T.is_totals(F.element_at("cells", 2)).cast("int")).alias("n_totals"))
     weekly = tables.weekly_invoices(usable).withColumn("weekly", F.lit(True))
-    titled = readers.inventory_pages(usable).withColumn("stocked", F.lit(True))
+    titled = inventories.count_titles(group_lines(usable)).select(*PAGE).withColumn("stocked", F.lit(True))
     every = (words if pages is None else pages).select(*PAGE).distinct()
     read = usable.select(*PAGE).distinct().withColumn("_read", F.lit(True))
     for part in (table, counted, _gathered(stock, "stock"), _gathered(readers.settlements(usable), "packs"), _gathered(readers.invoice(usable), "amounts"), weekly, titled, read):
