@@ -13,6 +13,20 @@ from pyspark.sql import types
 from tablewright.functions.arrays import at, let
 
 
+def name_columns(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, left, right, top): where an inventory prints its names, from its lines (keys, line_id, text, x, y, width, height).
+
+    Name begins a little before the middle of ``Game Name``, the counts' titles end it, and it
+    lies below both. Of several such lines the last counts; pages without one of the two give nothing.
+    """
+    key = F.lower(F.regexp_replace("text", r"(?U)\s+", ""))
+    titled = lines.withColumn("_title", F.when(key.startswith("gamename"), "game").when(key.startswith("intrec"), "counts")).where("_title IS NOT NULL")
+    last = lambda t: F.max_by(F.struct("x", "y", "width", "height"), F.when(F.col("_title") == t, F.col("line_id"))).alias(t)
+    both = titled.groupBy(*keys).agg(last("game"), last("counts")).where("game IS NOT NULL AND counts IS NOT NULL")
+    top = F.greatest(F.col("game.y") + F.col("game.height"), F.col("counts.y") + F.col("counts.height"))
+    return both.select(*keys, (F.col("game.x") + F.col("game.width") * 0.45).alias("left"), F.col("counts.x").alias("right"), top.alias("top"))
+
+
 def modal_pack_digits(tokens: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, digits): the most frequent suffix length of clean pack codes, from ``least`` sightings;
     the length seen first wins ties. tokens: (keys, seq, text)."""

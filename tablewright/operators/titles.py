@@ -215,6 +215,27 @@ def label_tokens(words: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), say)
 
 
+def split_labels(words: Column, starts: Column) -> Column:
+    """Labels of a title line: words that start in one of the columns whose left edges the rows below repeat.
+
+    A word may stand half of the mean height before its edge. With under two edges the line
+    is parted at its gaps instead. Nothing stands between a hyphen and its neighbour.
+    """
+    kind = "array<struct<column: int, text: string>>"
+    ordered = _in_order(F.filter(words, lambda w: F.trim(w["text"]) != ""), "x")
+    slack = F.aggregate(ordered, F.lit(0.0), lambda a, w: a + w["height"]) / F.greatest(F.size(ordered), F.lit(1)) * 0.5
+    placed = F.transform(ordered, lambda w: F.struct(start_index(w["x"], starts, slack).cast("int").alias("column"), F.trim(w["text"]).alias("text")))
+
+    def put(acc: Column, w: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        glue = F.when(w["text"].startswith("-") | last["text"].endswith("-"), "").otherwise(" ")
+        grown = F.struct(last["column"].alias("column"), F.concat(last["text"], glue, w["text"]).alias("text"))
+        return F.when(F.coalesce(last["column"] == w["column"], F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(w))).cast(kind)
+
+    labels = F.transform(F.aggregate(placed, F.array().cast(kind), put), lambda g: g["text"])
+    return F.when(F.size(starts) >= 2, labels).otherwise(label_tokens(words))
+
+
 def start_index(x: Column, starts: Column, slack: Column) -> Column:
     """The last of ``starts`` at or before x and a slack, the first if none is."""
     return F.coalesce(F.array_max(F.filter(F.transform(starts, lambda s, i: F.when(s <= x + slack, i)), lambda i: i.isNotNull())), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
 from tablewright.functions import display
-from tablewright.operators import checks, column_tables, export, geometry, inventories, readers, reading, recogniser, review, skips, tables
+from tablewright.operators import checks, column_tables, export, geometry, inventories, readers, reading, recogniser, review, skips, tables, titles
 from tablewright.operators import words as finding
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
@@ -939,3 +939,32 @@ def read_pages(spark, sf_dir):
     marked = lambda words, kind: words.withColumn("doc", F.concat(F.lit(f"{kind} "), "doc"))
     words = marked(goods_words(spark, sf_dir), "goods").unionByName(marked(settlement_words(spark, sf_dir), "packs"))
     return reading.read_pages(words).select("doc", "page", "kind", F.size("rows").alias("n_rows"), F.element_at("headers", 1).alias("first_title"))
+
+
+@query("""SELECT l_orderkey, replace(replace(string_agg(t, ' ' ORDER BY x, t), ' -', '-'), '- ', '-') AS label, c AS nth
+    FROM (SELECT l_orderkey, l_linenumber * 60 + l_quantity AS x, CASE WHEN l_quantity % 3 = 0 THEN '-' ELSE '' END || l_returnflag || l_linenumber || CASE WHEN l_quantity % 4 = 0 THEN '-' ELSE '' END AS t,
+            CAST(CASE WHEN l_linenumber * 60 + l_quantity + 10 >= 300 THEN 2 WHEN l_linenumber * 60 + l_quantity + 10 >= 150 THEN 1 ELSE 0 END AS INT) AS c FROM lineitem)
+    GROUP BY l_orderkey, c""")
+def split_labels(spark, sf_dir):
+    """Title words that stand over one column's edge make one label, hyphens without blanks."""
+    mark = lambda n: F.when(F.col("l_quantity") % n == 0, "-").otherwise("")
+    word = F.struct((F.col("l_linenumber") * 60 + F.col("l_quantity")).cast("double").alias("x"), F.lit(0.0).alias("y"), F.concat(mark(3), "l_returnflag", F.col("l_linenumber").cast("string"), mark(4)).alias("text"), F.lit(10.0).alias("width"), F.lit(20.0).alias("height"))
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))
+    starts = F.array(*map(F.lit, (0.0, 150.0, 300.0)))
+    used = F.array_sort(F.array_distinct(F.transform("words", lambda w: titles.start_index(w["x"], starts, F.lit(10.0)))))
+    labels = lines.select("l_orderkey", used.alias("columns"), titles.split_labels(F.col("words"), starts).alias("labels"))
+    pairs = labels.select("l_orderkey", F.explode(F.arrays_zip("columns", "labels")).alias("p"))
+    return pairs.select("l_orderkey", F.col("p.labels").alias("label"), F.col("p.columns").cast("int").alias("nth"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 50 + 40.5 AS left_edge, CAST(400 + s_suppkey % 7 AS DOUBLE) AS right_edge, CAST(100 + greatest(s_suppkey % 3, s_suppkey % 4) + 20 AS DOUBLE) AS top_edge FROM supplier WHERE s_suppkey % 5 <> 0")
+def name_columns(spark, sf_dir):
+    """Pages whose titles were read give the Name column; every fifth lacks the counts' titles."""
+    line = lambda i, t, x, y, w: F.struct(F.lit(i).alias("line_id"), F.lit(t).alias("text"), x.cast("double").alias("x"), (F.lit(100) + y).cast("double").alias("y"), F.lit(w).alias("width"), F.lit(20.0).alias("height"))
+    key = F.col("s_suppkey")
+    early = line(0, "game name", key * 0 + 999, key * 0, 10.0)
+    counts = line(2, "Int Rec Act Set", 400 + key % 7, key % 4, 300.0)
+    other = line(2, "Rec Act Set", 400 + key % 7, key % 4, 300.0)
+    pages = load(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(early, line(1, "Game  Name", key % 50, key % 3, 90.0), F.when(key % 5 == 0, other).otherwise(counts))).alias("l"))
+    found = recogniser.name_columns(pages.select("s_suppkey", "l.*"), ["s_suppkey"])
+    return found.select("s_suppkey", F.col("left").alias("left_edge"), F.col("right").alias("right_edge"), F.col("top").alias("top_edge"))

@@ -45,3 +45,11 @@ def test_gutter_bounds(spark):
     body = spark.createDataFrame([("d", 1, 0.0, 40.0), ("d", 1, 10.0, 55.0), ("d", 1, 80.0, 120.0), ("d", 1, 122.0, 160.0)], "doc string, page int, lo double, hi double")
     cols = spark.createDataFrame([("d", 1, 0, 0.0, 30.0, 0.0, 10.0), ("d", 1, 1, 90.0, 110.0, 89.0, 10.0), ("d", 1, 2, 130.0, 150.0, 129.0, 10.0)], "doc string, page int, col int, x double, right double, printed double, height double")
     assert sorted((r.col, r.bound) for r in titles.gutter_bounds(body, cols).collect()) == [(0, 0.0), (1, 67.5), (2, 129.0)]
+
+
+def test_labels_by_the_edges_of_the_rows(spark):
+    word = lambda t, x: F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y"), F.lit(t).alias("text"), F.lit(10.0 * len(t)).alias("width"), F.lit(20.0).alias("height"))
+    line = F.array(word("CODE", 196), word("QTY", 60), word("PRE-", 400), word("TAX", 450), word("ITEM", 150), word(" ", 300))
+    edges = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<double>")
+    got = spark.range(1).select(titles.split_labels(line, edges(60.0, 200.0, 400.0)).alias("a"), titles.split_labels(line, edges(60.0)).alias("b"), titles.label_tokens(line).alias("c"), titles.split_labels(F.slice(line, 6, 1), edges(60.0, 200.0)).alias("d")).first()
+    assert got.a == ["QTY ITEM", "CODE", "PRE-TAX"] and got.b == got.c and got.d == []
