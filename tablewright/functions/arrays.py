@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INFINITE = float("inf")
@@ -15,6 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns computed once a row: as a generator's output, no later filter is moved into their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def at(array: Column, index: Column | int) -> Column:
     """The element with this index from 0; null before the first and past the last."""
     index = F.lit(index) if isinstance(index, int) else index
@@ -33,7 +38,7 @@ def largest(array: Column, key: Callable[[Column], Column] = lambda e: e) -> Col
 
 def median(values: Column) -> Column:
     """The middle value, or the mean of the middle two; 0 for nothing."""
-    return let(F.array_sort(F.filter(values, lambda v: v.isNotNull())), lambda s: F.coalesce((at(s, F.floor((F.size(s) - 1) / 2)) + at(s, F.floor(F.size(s) / 2))) / 2, F.lit(0.0)))
+    return let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), lambda s: F.coalesce((at(s, F.floor((F.size(s) - 1) / 2)) + at(s, F.floor(F.size(s) / 2))) / 2, F.lit(0.0)))
 
 
 def round_half_up(value: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 _ = F.lit
 
 
@@ -72,7 +74,7 @@ def is_quantity(text: Column) -> Column:
 def is_figure(text: Column) -> Column:
     """A quantity or an amount, a leading mark and a trailing one-letter flag aside."""
     bare = F.trim(_sub(_sub(text, r"^[*\s]+"), r"\s+[A-Z*]$"))
-    return is_quantity(bare) | bare.rlike(r"^[(-]?\$?\s?-?[0-9,]*[0-9]\.[0-9]{1,4}\)?-?$")
+    return let(bare, lambda b: is_quantity(b) | b.rlike(r"^[(-]?\$?\s?-?[0-9,]*[0-9]\.[0-9]{1,4}\)?-?$"))
 
 
 def is_code(text: Column) -> Column:
@@ -105,7 +107,7 @@ def is_page_continuation(text: Column) -> Column:
     marked = F.lower(_sub(text, r"(?<![A-Za-z])(?=[A-Za-z])", "\u0001"))  # word starts stay visible
     letters = _sub(marked, "[^a-z\u0001]")
     spaced = "|".join("\u0001" + part for part in (_spaced(_POINTS),))
-    return letters.rlike(spaced)
+    return F.contains(_sub(F.lower(text), "[^a-z]"), _("page")) & letters.rlike(spaced)
 
 
 def _spaced(pattern: str) -> str:
@@ -119,7 +121,10 @@ def _spaced(pattern: str) -> str:
 
 def is_furniture(text: Column) -> Column:
     """Page numbers, continuation banners and empty lines; text is the line's cells, blank-joined."""
-    line = squeeze(text)
+    return let(squeeze(text), _is_furniture)
+
+
+def _is_furniture(line: Column) -> Column:
     bare = squeeze(_sub(line, "[*=_~]+", " "))
     number = bare.rlike(r"(?i)^(?:page\s*:?\s*[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?|pg\.?\s*:?\s*[0-9]+\s*(?:of|/)\s*[0-9]+|pg\.\s*[0-9]+)$")
     banner = F.lower(_sub(line, "[^A-Za-z]")).isin("continued", "continues", "contd") & line.rlike("[*=-]")
@@ -149,15 +154,20 @@ def is_line_item(cells: Column) -> Column:
     """Quantity with money or code, or money with code, in two filled cells or more; stars that flag
     an item aside, and no money in cells with words."""
     filled = F.filter(F.transform(cells, lambda c: F.trim(_sub(F.trim(c), r"^\*+|\*+$"))), lambda c: c != "")
-    quantity, code = F.exists(filled, is_quantity), F.exists(filled, is_code)
-    money = F.exists(filled, lambda c: has_money(c) & ~c.rlike("[A-Za-z]{2,}"))
-    return (F.size(filled) >= 2) & ((quantity & (money | code)) | (money & code))
+    money = lambda f: F.exists(f, lambda c: has_money(c) & ~c.rlike("[A-Za-z]{2,}"))
+    told = lambda f: F.struct(F.exists(f, is_quantity).alias("quantity"), F.exists(f, is_code).alias("code"), money(f).alias("money"))
+    holds = lambda k: (k["quantity"] & (k["money"] | k["code"])) | (k["money"] & k["code"])
+    return let(filled, lambda f: (F.size(f) >= 2) & let(told(f), holds))
 
 
 def is_summary(cells: Column, item: Column) -> Column:
     """A line of the totals block, or a subtotal among the items."""
     parts = F.split(F.array_join(cells, " "), "[^A-Za-z-]+")
-    words = F.filter(F.transform(parts, lambda w: _sub(w, "^-+|-+$")), lambda w: w.rlike("[A-Za-z]"))
+    lettered = F.filter(F.transform(parts, lambda w: _sub(w, "^-+|-+$")), lambda w: w.rlike("[A-Za-z]"))
+    return let(lettered, lambda words: _is_summary(cells, words, item))
+
+
+def _is_summary(cells: Column, words: Column, item: Column) -> Column:
     has = lambda vocabulary: F.exists(words, lambda w: w.rlike(f"(?i)^(?:{vocabulary})$"))
     figured = F.exists(cells, lambda c: F.exists(F.split(squeeze(c), " "), lambda t: (t != "") & is_figure(t)))
     amounts = F.size(F.filter(cells, lambda c: has_money(c) & ~c.rlike("[A-Za-z]{2,}")))
@@ -171,8 +181,9 @@ def is_repeated_header(cells: Column, headers: Column) -> Column:
     """Three titles or more, and 60 % of the narrower of both, printed again."""
     want = F.filter(F.transform(headers, flat), lambda x: x != "")
     got = F.filter(F.transform(cells, flat), lambda x: x != "")
-    hits = F.size(F.filter(got, lambda x: F.array_contains(want, x)))
-    return (hits >= 3) & (hits >= 0.6 * F.least(F.size(want), F.size(got)))
+    hits = lambda k: F.size(F.filter(k["got"], lambda x: F.array_contains(k["want"], x)))
+    again = lambda k: let(hits(k), lambda n: (n >= 3) & (n >= 0.6 * F.least(F.size(k["want"]), F.size(k["got"]))))
+    return let(F.struct(want.alias("want"), got.alias("got")), again)
 
 
 def is_lead_in(cells: Column) -> Column:
@@ -208,26 +219,35 @@ def count_digits(text: Column) -> Column:
 
 
 def pack_token(text: Column) -> Column:
-    core = token_core(text)
+    return let(token_core(text), _pack_token)
+
+
+def _pack_token(core: Column) -> Column:
     coded = core.rlike("^[0-9SOoBIl]{3}-[0-9SOoBIl]{5,8}$") & (F.length(_sub(core, "[^0-9]")) >= 6)
     return F.when(coded, F.translate(core, "SOoBIl", "500811")).otherwise(core)
 
 
 def settled_date(text: Column) -> Column:
     """MM/DD/YY from six to eight digits (one or two read from separators), else null."""
-    digits = _sub(token_core(text), "[^0-9]")
+    return let(_sub(token_core(text), "[^0-9]"), _settled_date)
+
+
+def _settled_date(digits: Column) -> Column:
     pick = lambda *cuts: F.concat(*(F.substring(digits, a + 1, b - a) for a, b in cuts))
     n = F.length(digits)
     tries = [F.when(n == 6, digits), F.when(n == 7, pick((0, 2), (3, 7))), F.when(n == 7, pick((0, 4), (5, 7))), F.when(n == 8, pick((0, 2), (3, 5), (6, 8)))]
-    dated = [F.when(c.rlike("^(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])"), F.concat_ws("/", F.substring(c, 1, 2), F.substring(c, 3, 2), F.substring(c, 5, 2))) for c in tries]
-    return F.coalesce(*dated)
+    sound = F.filter(F.array(*tries), lambda c: c.rlike("^(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])"))
+    return let(F.try_element_at(sound, _(1)), lambda c: F.when(c.isNotNull(), F.concat_ws("/", F.substring(c, 1, 2), F.substring(c, 3, 2), F.substring(c, 5, 2))))
 
 
 def invoice_amount(text: Column) -> Column:
     """An amount with two decimals and an optional credit mark, from the ways it is misread; else null."""
     token = F.translate(token_core(text), "€", "C")
     token = _sub(token, "[“”\"'‘’`|\\\\™*%\\[\\](){}]+")
-    token = _sub(token, r"^([0-9]+\.[0-9]{2})[0-9]$", "$1")
+    return let(_sub(token, r"^([0-9]+\.[0-9]{2})[0-9]$", "$1"), _invoice_amount)
+
+
+def _invoice_amount(token: Column) -> Column:
     body, credit = _sub(token, "[¢cC]$"), F.when(token.rlike("[¢cC]$"), "C").otherwise("")
     dotted = F.concat(_sub(body, r"^([0-9])\.([0-9]{3})\.([0-9]{2})$", "$1$2.$3"), credit)
     run = _sub(token, r"\.")

@@ -47,10 +47,10 @@ def inventory_issues(counts: DataFrame) -> DataFrame:
     """inventory-solved, inventory-unread and inventory-totals of solved counts."""
     item = ~F.col("any_totals")
     solved = counts.where("solved").select(*PAGE, F.lit("inventory-solved").alias("code"), F.array(F.col("row").cast("int")).alias("rows"))
-    unread = counts.where("count IS NULL").groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.col("row").cast("int"))).alias("rows")).select(*PAGE, F.lit("inventory-unread").alias("code"), "rows")
+    unread = counts.where("count IS NULL").groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.col("row").cast("int"))).alias("rows")).select(*PAGE, F.lit("inventory-unread").alias("code"), "rows")
     sums = counts.groupBy(*PAGE, "pos").agg(
         F.coalesce(F.sum(F.when(item, F.col("count"))), F.lit(0)).alias("sum"), F.max(F.when(F.col("totals"), F.col("count"))).alias("stated"),
-        F.array_sort(F.collect_set(F.when(item & F.col("count").isNull(), F.col("row").cast("int")))).alias("blank"), F.max(F.when(F.col("totals"), F.col("row").cast("int"))).alias("at"),
+        F.sort_array(F.collect_set(F.when(item & F.col("count").isNull(), F.col("row").cast("int")))).alias("blank"), F.max(F.when(F.col("totals"), F.col("row").cast("int"))).alias("at"),
     )
     wrong = sums.where("stated <> sum").select(*PAGE, F.lit("inventory-totals").alias("code"), F.when(F.size("blank") > 0, F.col("blank")).otherwise(F.array("at")).alias("rows"))
     return solved.unionByName(unread).unionByName(wrong)
@@ -58,7 +58,7 @@ def inventory_issues(counts: DataFrame) -> DataFrame:
 
 def settlement_issues(rows: DataFrame, stated: DataFrame) -> DataFrame:
     """settlements-count where the stated number of packs differs, settlements-unread for rows with a blank."""
-    n = rows.groupBy(*PAGE).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.exists("cells", lambda c: F.trim(c) == ""), F.col("row").cast("int")))).alias("blank"))
+    n = rows.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.exists("cells", lambda c: F.trim(c) == ""), F.col("row").cast("int")))).alias("blank"))
     count = n.join(stated, PAGE).where(F.col("stated") != F.col("n")).select(*PAGE, F.lit("settlements-count").alias("code"), F.array().cast("array<int>").alias("rows"))
     return count.unionByName(n.where(F.size("blank") > 0).select(*PAGE, F.lit("settlements-unread").alias("code"), F.col("blank").alias("rows")))
 
@@ -75,7 +75,7 @@ def invoice_issues(fields: DataFrame, parts: tuple[str, ...] = PARTS, total: str
     place = F.array_position(F.array(*map(F.lit, (*parts, total))), F.col("key"))
     added = named.groupBy(*PAGE).agg(
         F.sum(F.when(part, F.col("cents"))).alias("sum"), F.count(F.when(part, F.col("cents"))).alias("n"), F.max(F.when(~part, F.col("cents"))).alias("stated"),
-        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "row"))), lambda x: x["row"]).alias("rows"),
+        F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), "row"))), lambda x: x["row"]).alias("rows"),
     )
     off = added.where((F.col("n") == len(parts)) & (F.col("stated") != F.col("sum"))).select(*PAGE, F.lit("invoice-total").alias("code"), "rows")
     twice = keyed.where(F.col("key").isin(*restated)).groupBy(*PAGE, "key").agg(F.count("*").alias("n"), F.min_by("cents", "row").alias("a"), F.max_by("cents", "row").alias("b"), F.array(F.min("row"), F.max("row")).alias("rows"))

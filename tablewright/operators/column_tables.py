@@ -34,8 +34,8 @@ def page_lines(words: DataFrame) -> DataFrame:
     usable = group_lines(words.where(sound)).withColumn("line_height", F.median("height").over(page)).withColumn("n", F.count("*").over(page)).where("n >= 4")
     word = F.struct(*(F.col(c).cast("string" if c == "text" else "double").alias(c) for c in ("x", "y", "text", "width", "height")))
     lines = usable.groupBy(*PAGE, "line_id", "line_height").agg(
-        F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"), F.min("x").alias("left"), F.avg("confidence").alias("confidence"), F.array_sort(F.collect_list(word)).alias("words"))
-    return at_rest(lines.groupBy(*PAGE, "line_height").agg(F.array_sort(F.collect_list(F.struct("top", "line_id", "bottom", "left", "confidence", "words"))).alias("lines")))
+        F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"), F.min("x").alias("left"), F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list(word)).alias("words"))
+    return at_rest(lines.groupBy(*PAGE, "line_height").agg(F.sort_array(F.collect_list(F.struct("top", "line_id", "bottom", "left", "confidence", "words"))).alias("lines")))
 
 
 def titled_tables(pages: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _as_lines(tables: DataFrame, *carried: str) -> DataFrame:
 def _as_tables(lines: DataFrame, fields: list[str], *carried: str) -> DataFrame:
     """Lines of one table in one row again, from the top; ``fields`` of them are kept."""
     kept = F.struct("top", "line_id", *[f for f in fields if f not in ("top", "line_id")])
-    return lines.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("line_height", "columns", "titled", *carried)), F.array_sort(F.collect_list(kept)).alias("lines"))
+    return lines.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("line_height", "columns", "titled", *carried)), F.sort_array(F.collect_list(kept)).alias("lines"))
 
 
 LINE = ["top", "line_id", "bottom", "left", "confidence", "fields"]
@@ -208,7 +208,7 @@ def _fold(lines: Column, reach: Column) -> Column:
 def folded(lines: DataFrame) -> DataFrame:
     """Judged lines with ``act`` (row, wrap, lead or out) and ``grp``: the row of its table that a line belongs to, or the name that found none."""
     kept = ["top", "line_id", "bottom", "left", "confidence", "notes", "cells", "kind", "placed", "lead"]
-    tables = lines.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("columns", "titled", "edges", "reach")), F.array_sort(F.collect_list(F.struct(*kept))).alias("lines"))
+    tables = lines.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("columns", "titled", "edges", "reach")), F.sort_array(F.collect_list(F.struct(*kept))).alias("lines"))
     tables = tables.withColumn("acts", let(F.col("reach"), lambda r: _fold(F.col("lines"), r)))
     both = tables.select(*KEYS, "columns", "titled", "edges", F.explode(let(F.struct("lines", "acts"), lambda k: F.transform(k["lines"], lambda l, i: F.struct(l.alias("l"), at(k["acts"], i).alias("a"), F.filter(k["acts"], lambda o: (o["lead"] >= 0) & (o["lead"] == at(k["acts"], i)["grp"])).alias("taken"))))).alias("e"))
     named = (F.col("e.a.act") == "lead") & (F.size("e.taken") > 0)
@@ -242,7 +242,7 @@ def read_tables(words: DataFrame) -> DataFrame:
     inherited = learned(bare.select(*PAGE, F.lit(0).alias("nth"), "line_height", under.alias("columns"), F.col("guide.edges").alias("printed"), F.lit(False).alias("titled"), "lines"))
     acts = folded(judged_lines(own.unionByName(inherited)))
     line = F.struct("top", "line_id", "left", "confidence", "cells", "kind", "act")
-    groups = acts.where("act <> 'out'").groupBy(*KEYS, (F.col("act") == "lead").alias("waits"), "grp").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    groups = acts.where("act <> 'out'").groupBy(*KEYS, (F.col("act") == "lead").alias("waits"), "grp").agg(F.sort_array(F.collect_list(line)).alias("ls"))
     opener = F.filter("ls", lambda l: l["act"] == "row")
     groups = groups.withColumn("cells", _joined(F.col("ls"))).withColumn("opener", at(opener, 0))
     row = F.when(~F.col("waits"), F.struct(F.col("grp").alias("row"), "cells", F.col("opener.confidence").alias("confidence"), (F.col("opener.kind") == "label").alias("label"), F.col("opener.left").alias("left"), (F.col("opener.kind") == "item").alias("item")))
@@ -258,7 +258,7 @@ def read_tables(words: DataFrame) -> DataFrame:
     made = groups.select(*KEYS, F.lit(None).cast(acts.schema["columns"].dataType).alias("columns"), F.lit(None).cast("array<double>").alias("edges"), F.lit(None).cast("boolean").alias("titled"), row.cast(row_kind).alias("row"), F.filter(F.array(waiting.cast(kind)), lambda s: s.isNotNull()).alias("skips"))
     tables = left_out.unionByName(made).groupBy(*KEYS).agg(
         F.first("columns", ignorenulls=True).alias("columns"), F.first("edges", ignorenulls=True).alias("bounds"), F.first("titled", ignorenulls=True).alias("titled"),
-        F.array_sort(F.collect_list("row")).alias("rows"), F.array_sort(F.flatten(F.collect_list("skips"))).alias("skipped"))
+        F.sort_array(F.collect_list("row")).alias("rows"), F.array_sort(F.flatten(F.collect_list("skips"))).alias("skipped"))
     # a header without a line under it is a table without rows
     top = heads.select(*KEYS, "title", "top", F.col("columns").alias("own_columns"), "printed")
     tables = tables.join(top, KEYS, "full").withColumn("columns", F.coalesce("columns", "own_columns"))

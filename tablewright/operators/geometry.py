@@ -59,7 +59,7 @@ def group_lines_exact(words: DataFrame, overlap: float = 0.5, look_back: int = 4
 
 def line_bands(lines: DataFrame) -> DataFrame:
     """(doc, page, line_id, top, bottom, text) of each line."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ")
     return lines.groupBy(*PAGE, "line_id").agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"), text.alias("text"))
 
 
@@ -86,7 +86,7 @@ def fields(lines: DataFrame, gap: float = 0.8) -> DataFrame:
     height = F.median("height").over(W.partitionBy(*PAGE, "line_id"))
     opens = F.coalesce(((space > gap * height) & ~sign).cast("int"), F.lit(1))
     split = lines.withColumn("_o", opens).withColumn("field", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ")
     return split.groupBy(*PAGE, "line_id", "field").agg(
         text.alias("text"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.min("y").alias("top"),
         F.max(F.col("y") + F.col("height")).alias("bottom"), F.max("height").alias("height"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"),
@@ -106,7 +106,7 @@ def merge_glyphs(lines: DataFrame, gap: float = 0.35, baseline: float = 0.35) ->
     shift = F.abs((F.col("y") + F.col("height") / 2) - F.lag(F.col("y") + F.col("height") / 2).over(order))
     opens = F.coalesce(((space > gap * width) | (shift > baseline * F.col("height"))).cast("int"), F.lit(1))
     runs = lines.withColumn("_o", opens).withColumn("word", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), "")
     right, bottom = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
     return runs.groupBy(*PAGE, "line_id", "word").agg(
         text.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("width"), (bottom - F.min("y")).alias("height"), F.min("confidence").alias("confidence")
@@ -117,7 +117,7 @@ def without_overprints(lines: DataFrame, near: float = 0.35) -> DataFrame:
     """Words without those drawn again on top of the last kept word of their line (same text,
     starts within ``near`` of the narrower, tops within ``near`` of the taller)."""
     word = "struct<nth:bigint,word_id:bigint,text:string,x:double,y:double,width:double,height:double,confidence:double>"
-    rows = lines.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(t).alias(c) for c, t in (x.split(":") for x in word[7:-1].split(",")))))).alias("ws"))
+    rows = lines.groupBy(*PAGE, "line_id").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).cast(t).alias(c) for c, t in (x.split(":") for x in word[7:-1].split(",")))))).alias("ws"))
 
     def step(acc: Column, w: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -180,7 +180,7 @@ def repeated_edges(words: DataFrame, keys: list[str], lines: int = 8) -> DataFra
     window frame holds: a fold over the at most ``lines`` lines' sorted edges.
     """
     nth = F.dense_rank().over(W.partitionBy(*keys).orderBy("line_id"))
-    used = words.withColumn("_n", nth).where(F.col("_n") <= lines).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.avg("height").alias("height"), F.max("_n").alias("lines"))
+    used = words.withColumn("_n", nth).where(F.col("_n") <= lines).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.avg("height").alias("height"), F.max("_n").alias("lines"))
     cluster = "array<struct<sum: double, n: bigint>>"
     tolerance = F.greatest(F.lit(10.0), F.col("height") * 0.8)
 

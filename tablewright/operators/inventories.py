@@ -36,7 +36,7 @@ def count_titles(lines: DataFrame) -> DataFrame:
     named = F.array(T.looks_like(token, "Game"), T.looks_like(token, "Name"))
     word = F.struct("nth", "word_id", "x", (F.col("x") + F.col("width") / 2).alias("centre"), "y", (F.col("y") + F.col("height")).alias("bottom"), like.alias("like"), exact.alias("exact"), named.alias("named"))
     likely = lines.where(F.array_contains(like, True) | F.array_contains(named, True))
-    rows = likely.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(word)).alias("words")).where(F.size("words") >= len(TITLES))
+    rows = likely.groupBy(*PAGE, "line_id").agg(F.sort_array(F.collect_list(word)).alias("words")).where(F.size("words") >= len(TITLES))
 
     def take(found: Column, w: Column) -> Column:
         n = F.size(found)
@@ -195,7 +195,7 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5) -> DataFrame:
     pitch = F.greatest(F.lit(24.0), F.median("height") * 1.6)
     taken = assign_rows(items, anchors, PAGE, pitch, overlap, 0.35 + overlap).select(*PAGE, "anchor", "item")
     alone = anchors.select(*PAGE, "anchor", "nth", F.lit(None).cast(taken.schema["item"].dataType).alias("item"))
-    groups = alone.unionByName(taken, allowMissingColumns=True).groupBy(*PAGE, "anchor").agg(F.max("nth").alias("nth"), F.array_sort(F.collect_list("item")).cast(WORD).alias("rest"))
+    groups = alone.unionByName(taken, allowMissingColumns=True).groupBy(*PAGE, "anchor").agg(F.max("nth").alias("nth"), F.sort_array(F.collect_list("item")).cast(WORD).alias("rest"))
     groups = groups.withColumn("words", F.array_sort(F.concat("rest", F.array("anchor").cast(WORD))))
 
     run = tight_run(F.col("words"))
@@ -206,7 +206,7 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5) -> DataFrame:
     placed = anchored_cells(F.col("anchor"), F.col("rest"), F.col("centres"), F.col("pitch"))
     by_anchor = groups.select(*PAGE, "nth", F.when(F.col("pitch") > 0, placed).otherwise(line_cells(F.col("words"))).alias("cells"), mean_confidence(F.col("words")).alias("confidence"))
 
-    bare = group_lines(body.where("_any = 0").select(*usable.columns, "word"), overlap).groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.array_sort(F.collect_list("word")).cast(WORD).alias("words"))
+    bare = group_lines(body.where("_any = 0").select(*usable.columns, "word"), overlap).groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.sort_array(F.collect_list("word")).cast(WORD).alias("words"))
     by_line = bare.select(*PAGE, "nth", line_cells(F.col("words")).alias("cells"), mean_confidence(F.col("words")).alias("confidence"))
     rows = by_anchor.unionByName(by_line).where("cells IS NOT NULL")
     return rows.select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("nth")) - 1).alias("row"), "cells", "confidence")

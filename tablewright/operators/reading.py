@@ -38,7 +38,7 @@ def choose_source(pages: DataFrame, layer: DataFrame, recognised: DataFrame | No
 
 
 def _gathered(rows: DataFrame, name: str) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), "cells", F.col("confidence").cast("double").alias("confidence"))))
+    cells = F.sort_array(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), "cells", F.col("confidence").cast("double").alias("confidence"))))
     return rows.groupBy(*PAGE).agg(cells.cast(CELLS).alias(name))
 
 
@@ -97,7 +97,7 @@ def failures(pages: DataFrame, totals: DataFrame) -> DataFrame:
 
 def notices(pages: DataFrame) -> DataFrame:
     """(doc, notices): warnings of all pages in order, each once."""
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "warnings"))), lambda p: p["warnings"]))
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "warnings"))), lambda p: p["warnings"]))
     return pages.groupBy("doc").agg(F.array_distinct(listed).alias("notices"))
 
 
@@ -118,7 +118,7 @@ def skip_totals(skipped: DataFrame, totals: DataFrame, failed: DataFrame | None
     """(doc, pages, skipped, failed_pages, needs_checking): sums of the log; what needs checking counts printed lines, not times."""
     log = skip_log(skipped, failed)
     sums = log.groupBy("doc").agg(
-        F.count("*").alias("skipped"), F.array_sort(F.collect_list(F.when(F.col("reason") == "page-error", F.col("page")))).alias("failed_pages"),
+        F.count("*").alias("skipped"), F.sort_array(F.collect_list(F.when(F.col("reason") == "page-error", F.col("page")))).alias("failed_pages"),
         F.count_distinct(F.when(F.col("check"), F.struct("reason", "text"))).alias("needs_checking"),
     )
     out = totals.select("doc", F.col("total").alias("pages")).join(sums, "doc", "left").fillna(0, ["skipped", "needs_checking"])
@@ -147,7 +147,7 @@ def export_pages(
             raise ValueError("a log needs the skipped lines")
         if form == "csv":
             return skips.log_csv(skips.log_groups(skipped, failed))
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "page", "reason", "what", "check", "text", "confidence"))), lambda r: r.dropFields("ord"))
+        rows = F.transform(F.sort_array(F.collect_list(F.struct("ord", "page", "reason", "what", "check", "text", "confidence"))), lambda r: r.dropFields("ord"))
         listed = skip_log(skipped, failed).groupBy("doc").agg(rows.alias("rows"))
         whole = skip_totals(skipped, totals, failed).join(listed, "doc", "left")
         shown = F.struct("pages", "skipped", F.when(F.size("failed_pages") > 0, F.col("failed_pages")).alias("failedPages"), F.col("needs_checking").alias("needsChecking"), "rows")

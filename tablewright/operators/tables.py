@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions.arrays import let, once, share
 
 from .geometry import PAGE, column_index, fields, group_lines
 
@@ -20,68 +21,74 @@ TITLES = r"(?i)^(?:qty|quantity|case|unt|unit|item#?|items?|part#?|upc|sku|descr
 LEAST_TITLES = 3
 
 
-def header_lines(cells: DataFrame) -> DataFrame:
-    """(doc, page, line_id, headers, bounds, bottom): each page's first line with enough titles.
-
-    Edges: the first at most 4 left of its title; the others a pixel left of theirs, or,
-    where the gap before is wider than 1.5 of the title before, on that title's shoulder.
-    """
-    found = cells.groupBy(*PAGE, "line_id").agg(
-        F.array_sort(F.collect_list(F.struct("x", "right", "text"))).alias("fs"), F.sum(F.col("text").rlike(TITLES).cast("int")).alias("hits"),
-        F.max(F.col("text").rlike(r"^\$?[0-9,]*[0-9]\.[0-9]{2}$").cast("int")).alias("priced"), F.max("bottom").alias("bottom"),
-    )
-    first = W.partitionBy(*PAGE).orderBy("line_id")
-    best = found.where((F.col("hits") >= LEAST_TITLES) & (F.col("priced") == 0)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+def _edges(fs: Column) -> Column:
+    """Edges of titles struct<x, right, text>: the first at most 4 left of its title; the others a pixel left of theirs, or,
+    where the gap before is wider than 1.5 of the title before, on that title's shoulder."""
 
     def edge(f, i):
-        before = F.try_element_at("fs", i)  # 1-based: the one before
+        before = F.try_element_at(fs, i)  # 1-based: the one before
         gap, label = f["x"] - before["right"], before["right"] - before["x"]
         shoulder = before["right"] + F.least(0.22 * gap, 0.45 * label)
         return F.when(i == 0, F.least(F.lit(0.0), f["x"] - 4)).when(gap > 1.5 * label, shoulder).otherwise(f["x"] - 1)
 
-    return best.select(*PAGE, "line_id", F.transform("fs", lambda f: f["text"]).alias("headers"), F.transform("fs", edge).alias("bounds"), "bottom")
+    return F.transform(fs, edge)
+
+
+def field_lines(cells: DataFrame) -> DataFrame:
+    """One row a line with its fields ``fs``, and whether it has enough titles: (doc, page, line_id, fs, titles, confidence, x, y, bottom, height)."""
+    lines = cells.groupBy(*PAGE, "line_id").agg(
+        F.sort_array(F.collect_list(F.struct("x", "right", "text"))).alias("fs"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence"),
+        F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
+    )
+    hits = F.size(F.filter("fs", lambda f: f["text"].rlike(TITLES)))
+    priced = F.exists("fs", lambda f: f["text"].rlike(r"^\$?[0-9,]*[0-9]\.[0-9]{2}$"))
+    return once(lines, titles=(F.size("fs") >= LEAST_TITLES) & (hits >= LEAST_TITLES) & ~priced)
+
+
+def header_lines(cells: DataFrame) -> DataFrame:
+    """(doc, page, line_id, headers, bounds, bottom): each page's first line with enough titles."""
+    first = W.partitionBy(*PAGE).orderBy("line_id")
+    best = field_lines(cells).where("titles").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return best.select(*PAGE, "line_id", F.transform("fs", lambda f: f["text"]).alias("headers"), _edges(F.col("fs")).alias("bounds"), "bottom")
 
 
-def guided(pages: DataFrame, own: DataFrame) -> DataFrame:
-    """(doc, page, headers, bounds, header_line, titled): own titles, else those of the last page before that has any."""
-    seen = pages.join(own.select(*PAGE, F.struct("headers", "bounds").alias("own"), F.col("line_id").alias("header_line")), PAGE, "left")
-    last = F.last("own", ignorenulls=True).over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0))
-    return seen.select(*PAGE, last.alias("g"), "header_line").where("g IS NOT NULL").select(*PAGE, "g.headers", "g.bounds", "header_line", F.col("header_line").isNotNull().alias("titled"))
+def guided(lines: DataFrame) -> DataFrame:
+    """``lines`` (field_lines) with headers, bounds and ``header_line``: own titles, else those of the last page before that has any.
+
+    A page's first line with titles holds them; the last holder up to and with a page is a
+    window over the document's lines, so no page is read twice. ``header_line`` is null on
+    pages that inherit; lines of pages with neither go.
+    """
+    first = F.min(F.when(F.col("titles"), F.col("line_id"))).over(W.partitionBy(*PAGE))
+    held = F.when(F.col("line_id") == F.col("header_line"), F.struct(F.transform("fs", lambda f: f["text"]).alias("headers"), _edges(F.col("fs")).alias("bounds")))
+    upto = W.partitionBy("doc").orderBy("page").rangeBetween(W.unboundedPreceding, W.currentRow)
+    seen = lines.withColumn("header_line", first).withColumn("own", held).withColumn("g", F.last("own", ignorenulls=True).over(upto))
+    return seen.where("g IS NOT NULL").select("*", "g.headers", "g.bounds").drop("own", "g", "titles")
 
 
 def read_lines(words: DataFrame) -> DataFrame:
     """Every line of every page that has or inherits titles, as cells and with its kind.
 
     (doc, page, line_id, headers, cells, text, confidence, x, y, kind); kind is item,
-    header, furniture, rule, repeated-header, summary, label or unplaced.
+    header, furniture, rule, repeated-header, summary, label or unplaced. A line is one row
+    from its fields on; what later steps name often is computed once a row.
     """
-    usable = words.where(F.trim("text") != "")
-    cells = fields(group_lines(usable))
-    own = header_lines(cells)
-    guides = guided(usable.select(*PAGE).distinct(), own)
-    placed = cells.join(guides, PAGE).withColumn("col", column_index((F.col("x") + F.col("right")) / 2, F.col("bounds")))
+    lines = guided(field_lines(fields(group_lines(words.where(F.trim("text") != "")))))
     # A field belongs where it starts: a long cell may reach past the middle of the next title.
-    placed = placed.withColumn("col", F.least("col", column_index(F.col("x") + 1, F.col("bounds"))))
-    by_col = placed.groupBy(*PAGE, "line_id", "col").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("cell"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        F.sum(F.col("confidence") * F.col("n_words")).alias("confidence"), F.sum("n_words").alias("n_words"), F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
-    )
-    lines = by_col.groupBy(*PAGE, "line_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"), F.first("headers").alias("headers"), F.first("header_line").alias("header_line"),
-        (F.sum("confidence") / F.sum("n_words")).alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
-    )
-    cut = F.transform("headers", lambda _, i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    lines = lines.withColumn("cells", cut).withColumn("text", F.array_join(F.filter("cells", lambda c: c != ""), " "))
-    notes = F.flatten(F.transform("cells", T.stock_notes))
-    lines = lines.withColumn("notes", notes).withColumn("cells", F.transform("cells", T.without_stock_notes))
+    place = lambda f: column_index(F.least((f["x"] + f["right"]) / 2, f["x"] + 1), F.col("bounds"))
+    placed = F.array_sort(F.transform("fs", lambda f: F.struct(f["x"].alias("x"), f["text"].alias("text"), place(f).alias("col"))))
+    cell = lambda ps, i: F.array_join(F.transform(F.filter(ps, lambda p: p["col"] == i), lambda p: p["text"]), " ")
+    lines = once(lines, printed=let(placed, lambda ps: F.transform("headers", lambda _, i: cell(ps, i))))
+    lines = once(lines, text=F.array_join(F.filter("printed", lambda c: c != ""), " "), cells=F.transform("printed", T.without_stock_notes))
     item = T.is_line_item(F.col("cells"))
-    kind = (
+    kind = lambda item: (
         F.when(F.col("line_id") == F.col("header_line"), "header").when(F.col("line_id") < F.col("header_line"), "above")
         .when(~item & T.is_furniture(F.col("text")), "furniture").when(T.is_rule(F.col("text")), "rule")
         .when(T.is_repeated_header(F.col("cells"), F.col("headers")), "repeated-header").when(T.is_summary(F.col("cells"), item), "summary")
         .when(~item & T.is_starred(F.col("text")) & F.col("text").rlike("[A-Za-z]"), "label").when(item, "item").otherwise("unplaced")
     )
-    return lines.select(*PAGE, "line_id", "headers", "cells", "text", "notes", "confidence", "x", "y", "bottom", "height", kind.alias("kind"))
+    notes = F.flatten(F.transform("printed", T.stock_notes))
+    return once(lines, kind=let(item, kind)).select(*PAGE, "line_id", "headers", "cells", "text", notes.alias("notes"), "confidence", "x", "y", "bottom", "height", "kind")
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
@@ -90,6 +97,19 @@ def table_rows(lines: DataFrame) -> DataFrame:
     return lines.where("kind IN ('item', 'label')").select(*PAGE, row.alias("row"), "headers", "cells", "confidence", (F.col("kind") == "label").alias("label"))
 
 
+def text_columns(lines: Column) -> Column:
+    """Indexes of the columns that ``column_kinds`` calls text, of one page's lines."""
+    items = F.filter(lines, lambda l: l["kind"] == "item")
+
+    def texts(items: Column) -> Column:
+        filled = lambda i: F.filter(F.transform(items, lambda l: F.try_element_at(l["cells"], i + 1)), lambda c: c != "")
+        worded = lambda c: c.rlike("[A-Za-z].*[A-Za-z]")
+        is_text = lambda cs: (F.size(cs) > 0) & (share(cs, T.is_figure) < 0.5) & (share(cs, worded) >= 0.5)
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.array_max(F.transform(items, lambda l: F.size(l["cells"]))), F.lit(1)) - 1), lambda i: let(filled(i), is_text))
+
+    return F.when(F.size(items) > 0, let(items, texts))
+
+
 def with_wraps(lines: DataFrame, reach: float = 1.5, most: int = 3) -> DataFrame:
     """``lines`` with ``head``, the line whose row they belong to; continuations get the kind wrap.
 
@@ -97,12 +117,14 @@ def with_wraps(lines: DataFrame, reach: float = 1.5, most: int = 3) -> DataFrame
     in text columns, and starts within ``reach`` line heights of the line before. A run of
     them belongs to the item or label it follows; without one, it stays unplaced.
     """
-    kinds = column_kinds(table_rows(lines)).where("kind = 'text'").groupBy(*PAGE).agg(F.collect_set("col").alias("texts"))
+    rest = [c for c in lines.columns if c not in PAGE]
+    whole = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_id", *[c for c in rest if c != "line_id"]))).alias("ls"))
+    lines = once(whole, texts=text_columns(F.col("ls"))).select(*PAGE, "texts", F.inline("ls")).select(*PAGE, *rest, "texts")
     order = W.partitionBy(*PAGE).orderBy("line_id")
     filled = F.filter(F.transform("cells", lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
     near = F.col("y") - F.lag("bottom").over(order) <= reach * F.col("height")
     fits = (F.col("kind") == "unplaced") & F.size(filled).between(1, most) & F.forall(filled, lambda i: F.array_contains("texts", i))
-    joined = lines.join(kinds, PAGE, "left").withColumn("_fits", F.coalesce(fits & near, F.lit(False)))
+    joined = once(lines.withColumn("_near", near), _fits=F.coalesce(fits & F.col("_near"), F.lit(False))).drop("_near")
     head = F.last(F.when(~F.col("_fits"), F.struct("line_id", "kind")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     marked = joined.withColumn("_h", head)
     wraps = F.col("_fits") & F.col("_h.kind").isin("item", "label")
@@ -113,7 +135,7 @@ def wrapped_rows(lines: DataFrame) -> DataFrame:
     """``table_rows`` with continuation lines appended to the cells of their row; confidence is the first line's."""
     own = with_wraps(lines).where("kind IN ('item', 'label', 'wrap')")
     rows = own.groupBy(*PAGE, F.col("head").alias("line_id")).agg(
-        F.array_sort(F.collect_list(F.struct("line_id", "cells"))).alias("ls"), F.first("headers").alias("headers"),
+        F.sort_array(F.collect_list(F.struct("line_id", "cells"))).alias("ls"), F.first("headers").alias("headers"),
         F.max(F.when(F.col("kind") != "wrap", F.col("confidence"))).alias("confidence"), F.max(F.when(F.col("kind") != "wrap", F.col("kind"))).alias("kind"),
     )
     both = lambda a, b: F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
@@ -148,7 +170,7 @@ def page_titles(words: DataFrame, kind: str | DataFrame = "invoice", lines: int
     """(doc, page, title): the best scored of the first lines: a word of the kind 50, of any kind 40,
     height up to 30, upper case 15, an unlikely one -20; of equals the first. ``kind``: one of all pages, or (doc, page, kind)."""
     grouped = group_lines(words).where(F.col("line_id") < lines).groupBy(*PAGE, "line_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("raw"), F.avg("height").alias("height")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), " ").alias("raw"), F.avg("height").alias("height")
     )
     text = F.col("text")
     grouped = grouped.withColumn("kind", F.lit(kind)) if isinstance(kind, str) else grouped.join(kind, PAGE)
@@ -166,15 +188,17 @@ WEEKLY_MARKS = ("fwdbalance", "onlinenetdue", "instantnetdue", "totalduebywed",
 
 def weekly_invoices(words: DataFrame, least: int = 2) -> DataFrame:
     """(doc, page) of the pages on which ``least`` marks of a weekly invoice are printed, blanks and marks between words aside."""
-    page = words.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda s: T.flat(s["text"])), "").alias("text"))
+    page = words.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "text"))), lambda s: T.flat(s["text"])), "").alias("text"))
     marks = sum((F.contains("text", F.lit(m)).cast("int") for m in WEEKLY_MARKS), F.lit(0))
     return page.where(marks >= least).select(*PAGE)
 
 
 def skipped_lines(lines: DataFrame) -> DataFrame:
     """(doc, page, reason, text, confidence, y, x): every line left out and why, and notes cut from items."""
-    out = lines.where("kind IN ('furniture', 'repeated-header', 'summary', 'unplaced')").select(*PAGE, F.col("kind").alias("reason"), "text", "confidence", "y", "x")
-    return out.unionByName(lines.select(*PAGE, F.lit("note").alias("reason"), F.explode("notes").alias("text"), "confidence", "y", "x"))
+    whole = F.when(F.col("kind").isin("furniture", "repeated-header", "summary", "unplaced"), F.array(F.struct(F.col("kind").alias("reason"), "text")))
+    notes = F.transform("notes", lambda n: F.struct(F.lit("note").alias("reason"), n.alias("text")))
+    told = F.concat(F.coalesce(whole, F.array().cast("array<struct<reason: string, text: string>>")), notes)
+    return lines.select(*PAGE, F.inline(told), "confidence", "y", "x").select(*PAGE, "reason", "text", "confidence", "y", "x")
 
 
 def body_left(lines: DataFrame) -> DataFrame:

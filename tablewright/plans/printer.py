@@ -38,9 +38,11 @@ def print_fields(lines: DataFrame, xs: list[float]) -> DataFrame:
 
 def print_table(rows: DataFrame, titles: list[str], xs: list[float], titled: Column) -> DataFrame:
     """Words of rows (doc, page, line, cells) under their titles; ``titled`` says which pages print them."""
-    body = rows.select("doc", "page", (F.lit(TOP + PITCH) + F.col("line") * PITCH).alias("y"), "cells")
-    heads = rows.select("doc", "page").distinct().where(titled).select("doc", "page", F.lit(TOP).alias("y"), F.array(*map(F.lit, titles)).alias("cells"))
-    return print_fields(body.unionByName(heads), xs)
+    first = F.row_number().over(W.partitionBy("doc", "page").orderBy("line")) == 1  # carries its page's titles
+    own = F.struct((F.lit(TOP + PITCH) + F.col("line") * PITCH).alias("y"), "cells")
+    head = F.struct(F.lit(TOP).alias("y"), F.array(*map(F.lit, titles)).alias("cells"))
+    lines = F.when(F.col("_first") & titled, F.array(head, own)).otherwise(F.array(own))
+    return print_fields(rows.withColumn("_first", first).select("doc", "page", F.inline(lines)), xs)
 
 
 def print_lines(lines: DataFrame) -> DataFrame:
