@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions.arrays import once
 
 # Reasons in the log's order, their wording, and whether a person should look.
 REASONS = (
@@ -34,20 +36,22 @@ def refine(skipped: DataFrame, lefts: DataFrame) -> DataFrame:
     (``lefts``: doc, page, body_left), totals, legends, and lines at or right of the
     smallest indent that two unplaced lines of the document share.
     """
-    norm = F.upper(T.squeeze(F.col("text")))
-    open_ = skipped.withColumn("norm", norm)
-    unplaced = open_.where("reason = 'unplaced'")
-    repeated = unplaced.select("doc", "norm", "page").distinct().groupBy("doc", "norm").agg(F.count("*").alias("pages")).where("pages >= 2").select("doc", "norm", F.lit(True).alias("again"))
-    marked = open_.join(repeated, ["doc", "norm"], "left").join(lefts, ["doc", "page"], "left")
+    was = F.col("reason") == "unplaced"
+    open_ = once(skipped, norm=F.upper(T.squeeze(F.col("text")))).withColumn("_page", F.when(was, F.col("page")))
+    same = W.partitionBy("doc", "norm")
+    again = was & F.coalesce(F.min("_page").over(same) < F.max("_page").over(same), F.lit(False))
+    marked = open_.withColumn("again", again).join(lefts, ["doc", "page"], "left")
     first = (
-        F.when(F.col("reason") != "unplaced", F.col("reason")).when(F.col("again"), "page-field").when(F.col("x") < F.col("body_left"), "margin")
+        F.when(~was, F.col("reason")).when(F.col("again"), "page-field").when(F.col("x") < F.col("body_left"), "margin")
         .when(T.is_document_total(F.col("norm")), "summary").when(T.is_legend(F.col("norm")), "legend").otherwise("unplaced")
     )
-    settled = marked.withColumn("_was", F.col("reason")).withColumn("reason", first)
-    apart = settled.where((F.col("_was") == "unplaced") & (F.coalesce(F.col("again"), F.lit(False)) == F.lit(False)) & F.col("body_left").isNotNull() & (F.col("x") > F.col("body_left")) & (F.col("reason") == "unplaced"))
-    indents = apart.groupBy("doc", F.floor("x").alias("indent")).count().where("count >= 2").groupBy("doc").agg(F.min("indent").alias("indent"))
-    out = settled.join(indents, "doc", "left").withColumn("reason", F.when((F.col("reason") == "unplaced") & (F.col("x") >= F.col("indent")), "annotation").otherwise(F.col("reason")))
-    return out.select(*skipped.columns)
+    settled = once(marked, _now=first)
+    apart = was & (F.col("_now") == "unplaced") & (F.col("x") > F.col("body_left"))
+    indented = settled.withColumn("_at", F.when(apart, F.floor("x")))
+    shared = F.when(F.count("_at").over(W.partitionBy("doc", "_at")) >= 2, F.col("_at"))
+    out = indented.withColumn("_shared", shared).withColumn("indent", F.min("_shared").over(W.partitionBy("doc")))
+    found = F.when((F.col("_now") == "unplaced") & (F.col("x") >= F.col("indent")), "annotation").otherwise(F.col("_now"))
+    return out.withColumn("reason", found).select(*skipped.columns)
 
 
 def log_groups(skipped: DataFrame, failures: DataFrame | None = None) -> DataFrame:
@@ -59,7 +63,7 @@ def log_groups(skipped: DataFrame, failures: DataFrame | None = None) -> DataFra
     if failures is not None:
         rows = rows.unionByName(failures.select("doc", "page", F.lit("page-error").alias("reason"), F.col("message").alias("text"), F.lit(None).cast("double").alias("confidence")))
     named = rows.join(F.broadcast(reasons(skipped.sparkSession)), "reason")
-    groups = named.groupBy("doc", "reason", "what", "check", "ord", "text").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count("*").alias("times"), F.min("confidence").alias("confidence"))
+    groups = named.groupBy("doc", "reason", "what", "check", "ord", "text").agg(F.sort_array(F.collect_set("page")).alias("pages"), F.count("*").alias("times"), F.min("confidence").alias("confidence"))
     return groups.select("doc", "reason", "what", "check", "ord", "text", "pages", T.page_range(F.col("pages")).alias("page_range"), "times", "confidence")
 
 
@@ -69,7 +73,7 @@ def log_csv(groups: DataFrame) -> DataFrame:
     shown = F.when(F.col("confidence").isNotNull(), F.col("confidence").cast("decimal(5,2)").cast("string"))
     cells = [F.when(F.col("check"), "yes").otherwise("no"), F.col("what"), F.col("page_range"), F.col("times").cast("string"), F.col("text"), shown]
     lines = groups.select("doc", "ord", "pages", "text", F.array_join(F.array(*map(field, cells)), ",").alias("line"))
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("ord", "pages", "text", "line"))), lambda s: s["line"])
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("ord", "pages", "text", "line"))), lambda s: s["line"])
     return lines.groupBy("doc").agg(F.concat(F.lit("Check,Kind,Pages,Times,Printed text,Confidence\r\n"), F.array_join(joined, "\r\n")).alias("csv"))
 
 

@@ -13,6 +13,7 @@ from tablewright.functions import text as T
 from tablewright.functions import display
 from tablewright.operators import checks, column_tables, export, geometry, inventories, readers, reading, recogniser, review, skips, tables, titles
 from tablewright.operators import words as finding
+from tablewright.sources.rest import at_rest
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
 
@@ -106,7 +107,7 @@ PAGES_SQL = "pages AS (SELECT o_custkey, (row_number() OVER (PARTITION BY o_cust
     l AS (SELECT unnest(['summary', 'repeated-header', 'furniture', CASE WHEN last > 0 THEN 'page-field' ELSE 'unplaced' END, CASE WHEN last > 0 THEN 'page-field' ELSE 'legend' END]) AS reason FROM p)
     SELECT reason, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY reason""")
 def read_skip_log(spark, sf_dir):
-    lines = tables.read_lines(noisy_words(spark, sf_dir))
+    lines = at_rest(tables.read_lines(noisy_words(spark, sf_dir)))
     found = skips.refine(tables.skipped_lines(lines), tables.body_left(lines))
     # what is left unplaced lies right of the items; alone in its document it has no shared indent
     return found.groupBy("reason").agg(F.count("*").alias("n"))
