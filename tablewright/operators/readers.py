@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
+from tablewright.functions.arrays import let, once
 
 from .geometry import PAGE, group_lines
 from .words import with_lone_dates
@@ -18,7 +19,7 @@ from .words import with_lone_dates
 
 def _joined(when: Column) -> Column:
     """The texts of the words for which ``when`` holds, left to right."""
-    picked = F.array_sort(F.collect_list(F.when(when, F.struct("x", "text"))))
+    picked = F.sort_array(F.collect_list(F.when(when, F.struct("x", "text"))))
     return F.array_join(F.transform(picked, lambda s: s["text"]), " ")
 
 
@@ -35,9 +36,9 @@ def settlements(words: DataFrame) -> DataFrame:
     """(doc, page, row, cells, confidence): Game-Pack, Name, Date Settled; a lone date opens a row without a pack."""
     lines = _page_right(group_lines(words))
     pack = T.pack_token(F.col("text"))
-    is_pack = pack.rlike("^[0-9]{3}-[0-9]{5,8}$") & (F.col("x") < 0.4 * F.col("page_right"))
-    date = F.when(F.col("x") >= 0.4 * F.col("page_right"), T.settled_date(F.col("text")))
-    marked = with_lone_dates(lines.withColumns({"pack": F.when(is_pack, pack), "date": date}))
+    left = F.col("x") < 0.4 * F.col("page_right")
+    code = let(pack, lambda p: F.when(p.rlike("^[0-9]{3}-[0-9]{5,8}$"), p))
+    marked = with_lone_dates(once(lines, pack=F.when(left, code), date=F.when(~left, T.settled_date(F.col("text")))))
     rows = marked.groupBy(*PAGE, "line_id").agg(
         F.min_by("pack", F.when(F.col("pack").isNotNull(), F.col("x"))).alias("pack"), F.max_by("date", F.when(F.col("date").isNotNull(), F.col("x"))).alias("date"),
         _joined(F.col("pack").isNull() & F.col("date").isNull()).alias("name"), F.avg("confidence").alias("confidence"), F.max("lone").alias("lone"),
@@ -56,7 +57,7 @@ def invoice(words: DataFrame) -> DataFrame:
     """(doc, page, row, cells, confidence): label and amount; the amount is the rightmost in the right half."""
     lines = _page_right(group_lines(words))
     side = (F.col("x") >= 0.5 * F.col("page_right")) & (~F.col("text").rlike("^[0-9]+$") | (F.col("x") >= 0.68 * F.col("page_right")))
-    marked = lines.withColumn("amount", F.when(side, T.invoice_amount(F.col("text"))))
+    marked = once(lines, amount=F.when(side, T.invoice_amount(F.col("text"))))
     at = F.max(F.when(F.col("amount").isNotNull(), F.col("x"))).over(W.partitionBy(*PAGE, "line_id"))
     marked = marked.withColumn("at", at).where("at IS NOT NULL")
     rows = marked.groupBy(*PAGE, "line_id").agg(_joined(F.col("x") + F.col("width") <= F.col("at") + 2).alias("label"), F.max(F.when(F.col("x") == F.col("at"), F.col("amount"))).alias("value"), F.avg("confidence").alias("confidence"))
@@ -91,7 +92,7 @@ def inventory(words: DataFrame, titles: tuple[str, ...] = ("Int", "Rec", "Act",
     marked = marked.withColumns({"game": F.when(game, F.col("text")), "total": total & F.col("pos").isNull()})
     rows = marked.groupBy(*PAGE, "line_id").agg(
         F.max("game").alias("game"), F.max("total").alias("total"), _joined(F.col("pos").isNull() & F.col("game").isNull()).alias("name"), F.avg("confidence").alias("confidence"),
-        *(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") == i, F.struct("x", "digits")))), lambda s: s["digits"]), "").alias(f"c{i}") for i in range(len(titles))),
+        *(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("pos") == i, F.struct("x", "digits")))), lambda s: s["digits"]), "").alias(f"c{i}") for i in range(len(titles))),
     ).where("game IS NOT NULL OR total")
     counts = [F.when(F.col(f"c{i}").rlike("^[0-9]{1,3}$"), F.lpad(f"c{i}", 3, "0")).otherwise("") for i in range(len(titles))]
     return _numbered(rows, [F.coalesce("game", F.lit("")), T.repair_game_name(F.col("name")), *counts])

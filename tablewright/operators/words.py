@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
-from tablewright.functions.arrays import at, largest, let
+from tablewright.functions.arrays import at, largest, let, once
 
 from .geometry import PAGE, fields, group_lines
 from .tables import header_lines
@@ -18,16 +18,19 @@ PACK, HALVES_APART = "^[0-9]{3}-[0-9]{5,8}$", 24.0
 
 def count_parts(text: Column) -> Column:
     """The two to four three-digit counts glued in a text, else the text alone."""
-    token = T.token_core(text)
-    digits = F.regexp_replace(token, "[^0-9]", "")
+    parts = let(T.token_core(text), lambda token: let(F.regexp_replace(token, "[^0-9]", ""), lambda digits: _parts_of(token, digits)))
+    return F.coalesce(parts, F.array(text))
+
+
+def _parts_of(token: Column, digits: Column) -> Column:
     n = F.floor(F.length(digits) / 3).cast("int")
     glued = token.rlike(r"^[0-9]{3}(?:[.\s-]?[0-9]{3})+$") & ~token.rlike(PACK) & n.between(2, 4)
-    return F.when(glued, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 3 + 1, F.lit(3)))).otherwise(F.array(text))
+    return F.when(glued, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 3 + 1, F.lit(3))))
 
 
 def split_counts(words: DataFrame) -> DataFrame:
     """``words`` with a run of two to four glued three-digit counts as words of equal width."""
-    cut = words.withColumn("_parts", count_parts(F.col("text"))).select("*", F.posexplode("_parts").alias("_i", "_part"))
+    cut = once(words, _parts=count_parts(F.col("text"))).select("*", F.posexplode("_parts").alias("_i", "_part"))
     share = F.col("width") / F.size("_parts")
     made = {"word_id": F.when(F.size("_parts") > 1, F.xxhash64("word_id", "_i")).otherwise(F.col("word_id")), "text": F.col("_part"), "x": F.col("x") + share * F.col("_i"), "width": share}
     return cut.select(*(made[c].alias(c) if c in made else F.col(c) for c in words.columns))
@@ -35,7 +38,7 @@ def split_counts(words: DataFrame) -> DataFrame:
 
 def tight_counts(lines: DataFrame, n: int = 4) -> DataFrame:
     """(doc, page, line_id, counts): the ``n`` neighbouring counts of a line that lie closest; the first such run."""
-    counts = split_counts(lines).withColumn("_n", T.count_value(F.col("text"))).where(F.coalesce("_n", F.lit("")) != "")
+    counts = once(split_counts(lines), _n=T.count_value(F.col("text"))).where(F.coalesce("_n", F.lit("")) != "")
     order = W.partitionBy(*PAGE, "line_id").orderBy("x", "word_id")
     run = F.collect_list("text").over(order.rowsBetween(0, n - 1))
     spans = counts.select(*PAGE, "line_id", "x", run.alias("run"), (F.lead("x", n - 1).over(order) - F.col("x")).alias("span")).where("span IS NOT NULL")
@@ -57,8 +60,8 @@ def line_packs(lines: DataFrame) -> DataFrame:
 
 def middle(values: Column) -> Column:
     """Median of an array, null if it is empty."""
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
+    at_half = lambda s, more: F.try_element_at(s, F.floor((F.size(s) + more) / 2).cast("int"))
+    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, (at_half(s, 1) + at_half(s, 2)) / 2))
 
 
 def with_lone_dates(words: DataFrame, least: int = 3) -> DataFrame:
@@ -70,18 +73,18 @@ def with_lone_dates(words: DataFrame, least: int = 3) -> DataFrame:
     """
     page = W.partitionBy(*PAGE)
     centre, is_date = F.col("y") + F.col("height") / 2, F.col("date").isNotNull()
-    packs = F.array_sort(F.collect_list(F.when(F.col("pack").isNotNull(), centre)).over(page))
+    packs = F.sort_array(F.collect_list(F.when(F.col("pack").isNotNull(), centre)).over(page))
     dates = F.collect_list(F.when(is_date, F.struct("word_id", "y", (F.col("y") + F.col("height")).alias("bottom")))).over(page)
     w = words.withColumns({"_packs": packs, "_dates": dates})
     gaps = F.filter(F.zip_with(F.slice("_packs", 2, F.greatest(F.size("_packs") - 1, F.lit(0))), F.slice("_packs", 1, F.greatest(F.size("_packs") - 1, F.lit(0))), lambda b, a: b - a), lambda g: g > 4)
-    w = w.withColumn("_pitch", F.coalesce(middle(gaps), F.greatest(F.lit(24.0), 1.6 * F.col("height"))))
-    w = w.withColumn("_paired", is_date & F.exists("_packs", lambda p: F.abs(p - centre) < F.col("_pitch") * 0.5))
+    w = once(w, _pitch=F.when(is_date, F.coalesce(middle(gaps), F.greatest(F.lit(24.0), 1.6 * F.col("height")))))
+    w = once(w, _paired=is_date & F.exists("_packs", lambda p: F.abs(p - centre) < F.col("_pitch") * 0.5))
     mid = F.col("x") + F.col("width") / 2
     w = w.withColumns({"_column": F.median(F.when(F.col("_paired"), mid)).over(page), "_width": F.median(F.when(F.col("_paired"), F.col("width"))).over(page)})
     alone = ~F.exists("_dates", lambda d: (d["word_id"] != F.col("word_id")) & (F.least(d["bottom"], F.col("y") + F.col("height")) > F.greatest(d["y"], F.col("y"))))
     inside = (centre > F.array_min("_packs") - 1.5 * F.col("_pitch")) & (centre < F.array_max("_packs") + 1.5 * F.col("_pitch"))
-    lone = is_date & (F.size("_packs") >= least) & ~F.col("_paired") & alone & inside & (F.abs(mid - F.col("_column")) < F.col("_width"))
-    return w.select(*words.columns, F.coalesce(lone, F.lit(False)).alias("lone"))
+    lone = is_date & (F.size("_packs") >= least) & ~F.col("_paired") & inside & (F.abs(mid - F.col("_column")) < F.col("_width")) & alone
+    return once(w, lone=F.coalesce(lone, F.lit(False))).select(*words.columns, "lone")
 
 
 def table_headings(words: DataFrame, reach: float = 3.0, most: int = 5) -> DataFrame:
@@ -89,7 +92,7 @@ def table_headings(words: DataFrame, reach: float = 3.0, most: int = 5) -> DataF
     lines = group_lines(words.where(F.trim("text") != ""))
     titles = header_lines(fields(lines)).select(*PAGE, F.col("line_id").alias("titles"))
     bands = lines.groupBy(*PAGE, "line_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: F.trim(s["text"])), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda s: F.trim(s["text"])), " ").alias("text"),
         F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"), F.median("height").alias("h"), F.count("*").alias("n"),
     )
     page = W.partitionBy(*PAGE)
@@ -106,7 +109,10 @@ def label_words(words: Column) -> Column:
     at the right, beyond 1.5 heights of its neighbour. Then lone letters go unless set at
     word spacing (1.2 heights), marks at the ends of words, and what lies left of 0.45 of the middle start.
     """
-    inked = F.array_sort(F.filter(words, lambda w: w["text"].rlike("[A-Za-z0-9&$]")))
+    return let(F.sort_array(F.filter(words, lambda w: w["text"].rlike("[A-Za-z0-9&$]"))), _label)
+
+
+def _label(inked: Column) -> Column:
     right = lambda w: w["x"] + w["width"]
     short = lambda w: F.length(F.trim(w["text"])) <= 3
     gap = lambda ws, i: at(ws, i)["x"] - right(at(ws, i - 1))
@@ -135,5 +141,5 @@ def label_words(words: Column) -> Column:
 
         return F.array_join(F.filter(F.transform(ws, token), lambda t: t.isNotNull()), " ")
 
-    turns = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    turns = F.sequence(F.lit(1), F.greatest(F.size(inked), F.lit(1)))  # a turn takes one word away at most
     return let(F.aggregate(turns, F.aggregate(turns, inked, from_left), from_right), said)

@@ -133,7 +133,7 @@ def settlement_words(spark, sf_dir):
     SELECT CAST(doc AS VARCHAR) AS doc, CAST(page + 1 AS INT) AS page, 'settlements-count' AS code, CAST(count(*) + 1 AS INT) AS stated, CAST(count(*) AS BIGINT) AS n FROM d WHERE page = 0 GROUP BY ALL""")
 def validate_settlements(spark, sf_dir):
     words = settlement_words(spark, sf_dir)
-    rows, stated = readers.settlements(words), readers.stated_packs(words)
+    rows, stated = at_rest(readers.settlements(words)), at_rest(readers.stated_packs(words))
     n = rows.groupBy("doc", "page").agg(F.count("*").alias("n"))
     return checks.settlement_issues(rows, stated).join(stated, ["doc", "page"]).join(n, ["doc", "page"]).select("doc", "page", "code", "stated", "n")
 
