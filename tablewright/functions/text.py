@@ -285,7 +285,8 @@ def slugify(text: Column) -> Column:
 
 
 # A key with its figure, and what a key to marks looks like: definitions, words that explain, marks.
-KEYED_FIGURE = r"[A-Za-z][A-Za-z.\s]*:\s*\$?-?[0-9,]+(?:\.[0-9]+)?"
+# A key begins at its last letter: as many matches as from its first, without a scan of the line from each of its letters.
+KEYED_FIGURE = r"[A-Za-z][.\s]*+:\s*\$?-?[0-9,]+(?:\.[0-9]+)?"
 DEFINES, EXPLAINS, MARKS = r"[A-Za-z0-9]\s*=\s*[A-Za-z0-9]", r"(?i)\b(?:denotes?|means?|indicates?|abbreviat\w*|legend|key)\b", r"[*+#†‡]|\b[A-Z]\b"
 
 
