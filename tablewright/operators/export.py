@@ -56,10 +56,12 @@ def export_cells(pages: DataFrame) -> DataFrame:
 
 def export_rows(pages: DataFrame) -> DataFrame:
     """(doc, page, row, cells): rows aligned to the document's columns, blanks where a page has none."""
-    width = document_layout(pages).groupBy("doc").agg(F.count("*").cast("int").alias("width"))
-    maps = export_cells(pages).groupBy("doc", "page", "row").agg(F.map_from_entries(F.collect_list(F.struct("ord", "value"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit("")))
-    return maps.join(width, "doc").select("doc", "page", "row", cells.alias("cells"))
+    layout = document_layout(pages).withColumn("width", F.count("*").over(W.partitionBy("doc")).cast("int"))
+    places = occurrences(pages).join(layout, ["doc", "title", "nth"]).groupBy("doc", "page").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "pos"))).alias("places"), F.first("width").alias("width"))
+    # a page is one row until it has met its columns' places
+    rows = pages.select("doc", "page", "rows").join(places, ["doc", "page"]).select("doc", "page", "places", "width", F.posexplode("rows").alias("row", "own")).where(F.size("own") > 0)
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("own", F.try_element_at("places", i.cast("int")) + 1), F.lit("")))
+    return rows.select("doc", "page", "row", cells.alias("cells"))
 
 
 def page_key(layout: DataFrame) -> DataFrame:
@@ -77,9 +79,9 @@ def document_csv(pages: DataFrame, totals: DataFrame) -> DataFrame:
     """
     layout = document_layout(pages)
     line = lambda cells: F.array_join(F.transform(cells, T.csv_field), ",")
-    heads = layout.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda s: s["title"]).alias("titles"))
+    heads = layout.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda s: s["title"]).alias("titles"))
     rows = export_rows(pages).join(totals, "doc").select("doc", "page", "row", line(F.when(F.col("total") > 1, F.concat(F.array(F.col("page").cast("string")), F.col("cells"))).otherwise(F.col("cells"))).alias("line"))
-    body = rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "row", "line"))), lambda s: s["line"]).alias("lines"))
+    body = rows.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "row", "line"))), lambda s: s["line"]).alias("lines"))
     named = heads.join(page_key(layout), "doc").join(totals, "doc").join(body, "doc", "left")
     head = line(F.when(F.col("total") > 1, F.concat(F.array("page_title"), F.col("titles"))).otherwise(F.col("titles")))
     return named.select("doc", F.array_join(F.concat(F.array(head), F.coalesce("lines", F.array().cast("array<string>"))), "\r\n").alias("csv"))
@@ -87,7 +89,7 @@ def document_csv(pages: DataFrame, totals: DataFrame) -> DataFrame:
 
 def row_json(pages: DataFrame) -> DataFrame:
     """(doc, page, row, json): rows keyed by document column, in the document's order."""
-    rows = export_cells(pages).groupBy("doc", "page", "row").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "value"))).alias("cs"))
+    rows = export_cells(pages).groupBy("doc", "page", "row").agg(F.sort_array(F.collect_list(F.struct("ord", "key", "value"))).alias("cs"))
     entries = F.transform("cs", lambda c: F.struct(c["key"], c["value"]))
     return rows.select("doc", "page", "row", F.to_json(F.map_from_entries(entries)).alias("json"))
 
@@ -105,7 +107,7 @@ def extra_tables(tables: DataFrame, dropped: DataFrame | None = None) -> DataFra
     """
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.try_element_at("headers", F.lit(1)), F.lit("")), F.concat(F.lit("Table "), (F.col("pos") + 2).cast("string")))
     keyed = tables.withColumn("title", title).withColumn("key", F.concat_ws("\u0000", "title", F.array_join("headers", "\u0000")))
-    rows = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "rows"))), lambda t: F.transform(t["rows"], lambda r: F.struct(t["page"].alias("page"), r.alias("cells")))))
+    rows = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "pos", "rows"))), lambda t: F.transform(t["rows"], lambda r: F.struct(t["page"].alias("page"), r.alias("cells")))))
     merged = keyed.groupBy("doc", "key", "title", "headers").agg(F.min(F.struct("page", "pos")).alias("at"), rows.alias("rows"))
     out = merged.withColumn("ord", F.row_number().over(W.partitionBy("doc").orderBy("at")) - 1).withColumn("slug", T.slugify(F.col("title"))).drop("at")
     return out.join(dropped, ["doc", "key"], "left_anti") if dropped is not None else out
@@ -160,14 +162,14 @@ def document_json(pages: DataFrame, totals: DataFrame, extra: DataFrame | None =
     """
     layout = document_layout(pages)
     first = pages.groupBy("doc").agg(F.min_by(F.struct("kind", "headers", "rows"), "page").alias("p"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("page"))).alias("title"), F.min_by(F.nullif("title", F.lit("")), "page").alias("own"))
-    keys = layout.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda s: s["key"]).alias("keys")).join(page_key(layout), "doc")
+    keys = layout.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "key"))), lambda s: s["key"]).alias("keys")).join(page_key(layout), "doc")
     line = F.concat(F.lit("{"), _quoted(F.col("page_key")), F.lit(":"), F.col("page").cast("string"), F.lit(","), _pairs(F.col("keys"), F.col("cells")), F.lit("}"))
-    body = export_rows(pages).join(keys, "doc").select("doc", "page", "row", line.alias("line")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "row", "line"))), lambda s: s["line"]), ",").alias("lines"))
-    missing = missing_pages(pages, totals).groupBy("doc").agg(F.to_json(F.array_sort(F.collect_list("page"))).alias("missing"))
+    body = export_rows(pages).join(keys, "doc").select("doc", "page", "row", line.alias("line")).groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "row", "line"))), lambda s: s["line"]), ",").alias("lines"))
+    missing = missing_pages(pages, totals).groupBy("doc").agg(F.to_json(F.sort_array(F.collect_list("page"))).alias("missing"))
     whole = first.join(totals, "doc").join(document_kinds(pages), "doc").join(keys, "doc", "left").join(body, "doc", "left").join(missing, "doc", "left")
     tables = F.lit(None).cast("string")
     if extra is not None:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda t: t["json"]), ",")
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "json"))), lambda t: t["json"]), ",")
         whole = whole.join(table_json(extra, totals).groupBy("doc").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("_tables")), "doc", "left")
         tables = F.col("_tables")
     rows = F.array_join(F.transform("p.rows", lambda r: F.concat(F.lit("{"), _pairs(F.col("p.headers"), r), F.lit("}"))), ",")
