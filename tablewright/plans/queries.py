@@ -210,7 +210,7 @@ def validate_inventory(spark, sf_dir):
 
 def invoice_fields(spark, sf_dir):
     """(doc, page, row, label, value): six parts and a total, off by a cent for every third customer."""
-    cust = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), (F.floor(F.abs("c_acctbal") * 100 + 0.5)).cast("long").alias("b"), (F.col("c_custkey") % 3 == 0).alias("off"))
+    cust = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(1).alias("page"), (F.floor(F.abs("c_acctbal") * 100 + 0.5)).cast("long").alias("b"), (F.col("c_custkey") % 3 == 0).alias("off")).repartition("doc")
     labels = ["FWD BALANCE", "ON-LINE NET DUE", "INSTANT NET DUE", "NON-GAME ADJUSTMENTS", "SYSTEM FEE", "OTHER RETAILER INCENTIVES"]
     signs = [1, -1, -1, 1, 1, 1]
     parts = [F.floor(F.col("b") * (i + 1) / 7).cast("long") * s for i, s in enumerate(signs)]
@@ -457,7 +457,7 @@ def slugify(spark, sf_dir):
     r AS (SELECT user_id, min(page) AS a, max(page) AS b FROM g GROUP BY user_id, g)
     SELECT user_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) END, ', ' ORDER BY a) AS pages FROM r GROUP BY user_id""")
 def page_ranges(spark, sf_dir):
-    pages = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set((F.col("event_id") % 30).cast("int"))).alias("p"))
+    pages = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set((F.col("event_id") % 30).cast("int"))).alias("p"))
     return pages.select("user_id", T.page_range(F.col("p")).alias("pages"))
 
 
@@ -468,7 +468,7 @@ def order_pages(spark, sf_dir):
     cells = F.when(F.col("page") % 2 == 1, F.array(key, F.col("o_orderstatus"), price)).otherwise(F.array(F.col("o_orderstatus"), key, price, price))
     heads = F.when(F.col("page") % 2 == 1, F.array(*map(F.lit, ("KEY", "STATUS", "PRICE")))).otherwise(F.array(*map(F.lit, ("STATUS", "KEY", "PRICE", "PRICE"))))
     rows = paged.select("doc", "page", "line", cells.alias("c"), heads.alias("headers"))
-    grouped = rows.groupBy("doc", "page", "headers").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "c"))), lambda s: s["c"]).alias("rows"))
+    grouped = rows.groupBy("doc", "page", "headers").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "c"))), lambda s: s["c"]).alias("rows"))
     return grouped.withColumn("kind", F.when(F.col("page") % 2 == 1, "table").otherwise("invoice"))
 
 
@@ -651,7 +651,7 @@ def glued_words(spark, sf_dir):
     three = lambda c: F.lpad(c.cast("long").cast("string"), 3, "0")
     counts = F.slice(F.array(three(F.col("l_partkey") % 1000), three(F.col("l_suppkey") % 1000), three(F.col("l_quantity")), F.lit("007")), 1, F.col("l_linenumber") % 3 + 2)
     glue = F.when(F.col("l_orderkey") % 2 == 0, F.array_join(counts, "")).otherwise(F.array_join(counts, "."))
-    items = load(spark, sf_dir, "lineitem")
+    items = load(spark, sf_dir, "lineitem").repartition("l_orderkey")  # a few row groups are few tasks, the cuts are work for many
     return items.select(
         F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").cast("long").alias("line_id"), F.xxhash64("l_orderkey", "l_linenumber").alias("word_id"), glue.alias("text"),
         F.lit(100.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(120.0).alias("width"), F.lit(20.0).alias("height"), F.lit(1.0).alias("confidence"),
@@ -721,7 +721,7 @@ def document_json(spark, sf_dir):
 
 def nation_tables(spark, sf_dir):
     """Extra tables: a region's nations on its page; the first page has a page of its own printed as Page."""
-    rows = F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.array(n, F.upper(n)))
+    rows = F.transform(F.sort_array(F.collect_list("n_name")), lambda n: F.array(n, F.upper(n)))
     nations = load(spark, sf_dir, "nation").groupBy((F.col("n_regionkey") + 1).cast("int").alias("page")).agg(rows.alias("rows"))
     tables_ = nations.select(F.lit("d").alias("doc"), "page", F.lit(0).alias("pos"), F.lit("Nations").alias("title"), F.array(F.lit("NATION"), F.lit("Page")).alias("headers"), "rows")
     return export.extra_tables(tables_), tables_.groupBy("doc").agg(F.max("page").alias("total"))
@@ -893,7 +893,7 @@ def restore_spaces(spark, sf_dir):
 @query("SELECT p_partkey, upper(p_name) || ' A B ' || p_size AS label FROM part")
 def clean_labels(spark, sf_dir):
     """Names with two spaced letters and a size, a fragment far left of them and another far right, and a lone mark between."""
-    p = load(spark, sf_dir, "part")
+    p = load(spark, sf_dir, "part").repartition("p_partkey")  # a small file is one task, its labels are work for many
     ws = F.split(F.upper("p_name"), " ")
     n = F.length("p_name")
     word = lambda x, text: F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"), text.alias("text"), (F.length(text) * 10.0).cast("double").alias("width"), F.lit(20.0).alias("height"))
