@@ -44,16 +44,22 @@ def solve_counts(counts: DataFrame) -> DataFrame:
 
 
 def inventory_issues(counts: DataFrame) -> DataFrame:
-    """inventory-solved, inventory-unread and inventory-totals of solved counts."""
+    """inventory-solved, inventory-unread and inventory-totals of solved counts, told in one pass over each page's columns."""
     item = ~F.col("any_totals")
-    solved = counts.where("solved").select(*PAGE, F.lit("inventory-solved").alias("code"), F.array(F.col("row").cast("int")).alias("rows"))
-    unread = counts.where("count IS NULL").groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.col("row").cast("int"))).alias("rows")).select(*PAGE, F.lit("inventory-unread").alias("code"), "rows")
+    row = F.col("row").cast("int")
     sums = counts.groupBy(*PAGE, "pos").agg(
         F.coalesce(F.sum(F.when(item, F.col("count"))), F.lit(0)).alias("sum"), F.max(F.when(F.col("totals"), F.col("count"))).alias("stated"),
-        F.sort_array(F.collect_set(F.when(item & F.col("count").isNull(), F.col("row").cast("int")))).alias("blank"), F.max(F.when(F.col("totals"), F.col("row").cast("int"))).alias("at"),
+        F.sort_array(F.collect_set(F.when(item & F.col("count").isNull(), row))).alias("blank"), F.max(F.when(F.col("totals"), row)).alias("at"),
+        F.collect_list(F.when(F.col("solved"), row)).alias("solved"), F.collect_set(F.when(F.col("count").isNull(), row)).alias("unread"),
     )
-    wrong = sums.where("stated <> sum").select(*PAGE, F.lit("inventory-totals").alias("code"), F.when(F.size("blank") > 0, F.col("blank")).otherwise(F.array("at")).alias("rows"))
-    return solved.unionByName(unread).unionByName(wrong)
+    wrong = F.when(F.col("stated") != F.col("sum"), F.when(F.size("blank") > 0, F.col("blank")).otherwise(F.array("at")))
+    pages = sums.groupBy(*PAGE).agg(F.flatten(F.collect_list("solved")).alias("solved"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("unread")))).alias("unread"), F.collect_list(wrong).alias("wrong"))
+    issue = lambda code, rows: F.struct(F.lit(code).alias("code"), rows.alias("rows"))
+    told = F.concat(
+        F.transform("solved", lambda r: issue("inventory-solved", F.array(r))), F.transform(F.filter(F.array("unread"), lambda r: F.size(r) > 0), lambda r: issue("inventory-unread", r)),
+        F.transform("wrong", lambda r: issue("inventory-totals", r)),
+    )
+    return pages.select(*PAGE, F.inline(told))
 
 
 def settlement_issues(rows: DataFrame, stated: DataFrame) -> DataFrame:

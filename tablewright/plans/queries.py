@@ -13,7 +13,7 @@ from tablewright.functions import text as T
 from tablewright.functions import display
 from tablewright.operators import checks, column_tables, export, geometry, inventories, readers, reading, recogniser, review, skips, tables, titles
 from tablewright.operators import words as finding
-from tablewright.sources.rest import at_rest
+from tablewright.sources.rest import at_rest, dealt
 
 from .printer import decimal_text, number_pages, print_fields, print_lines, print_table
 
@@ -139,10 +139,11 @@ def validate_settlements(spark, sf_dir):
 
 
 def stock_counts(spark, sf_dir):
-    """(doc, page, line, game, name, c0..c3): four counts a part."""
+    """(doc, page, line, game, name, c0..c3): four counts a part; dealt by document for the about ten words that a part prints."""
     sold = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q"), F.max("l_linenumber").cast("long").alias("m"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
-    parts = load(spark, sf_dir, "part").join(sold, F.col("p_partkey") == F.col("l_partkey"))
-    paged = number_pages(parts, F.expr("cast(p_partkey div 20 as string)"), ["p_partkey"], 20)
+    parts = load(spark, sf_dir, "part")
+    found = parts.join(sold, F.col("p_partkey") == F.col("l_partkey")).withColumn("doc", F.expr("cast(p_partkey div 20 as string)"))
+    paged = number_pages(dealt(found, parts.count() * 10, "doc"), F.col("doc"), ["p_partkey"], 20)
     return paged.select("doc", "page", "line", F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0").alias("game"), F.upper("p_name").alias("name"), *((F.col(c) % 45).alias(f"c{i}") for i, c in enumerate("nqmr")))
 
 
@@ -153,13 +154,21 @@ STOCK_SQL = """stock AS (SELECT p_partkey // 20 AS doc, p_partkey, row_number()
 
 def stock_rows(spark, sf_dir, blank: bool, off: int = 0):
     """(doc, page, line, cells) with a TOTALS row; ``blank`` leaves one count of each column out, ``off`` is added to Act's total."""
-    rows = stock_counts(spark, sf_dir)
+    page = W.partitionBy("doc", "page")
+    rows = stock_counts(spark, sf_dir).withColumns({"last": F.max("line").over(page), **{f"s{i}": F.sum(f"c{i}").over(page) for i in range(4)}})
     three = lambda c: F.lpad(c.cast("string"), 3, "0")
     shown = [F.when(F.lit(blank) & (F.col("line") == i), "").otherwise(three(F.col(f"c{i}"))) for i in range(4)]
-    items = rows.select("doc", "page", "line", F.array("game", "name", *shown).alias("cells"))
-    totals = rows.groupBy("doc", "page").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
-    total = totals.select("doc", "page", F.lit(25).alias("line"), F.array(F.lit(""), F.lit("TOTALS"), *(three(F.col(f"c{i}") + (off if i == 2 else 0)) for i in range(4))).alias("cells"))
-    return items.unionByName(total)
+    total = _line(F.lit(25), F.lit(""), F.lit("TOTALS"), *(three(F.col(f"s{i}") + (off if i == 2 else 0)) for i in range(4)))
+    return _with_last(rows, _line(F.col("line"), F.col("game"), F.col("name"), *shown), total)
+
+
+def _line(line, *cells):
+    return F.struct(line.cast("int").alias("line"), F.array(*cells).alias("cells"))
+
+
+def _with_last(rows, own, *closing):
+    """(doc, page, line, cells): each row's own line; a page's last row (``last``) carries the lines that close its page."""
+    return rows.select("doc", "page", F.inline(F.when(F.col("line") == F.col("last"), F.array(own, *closing)).otherwise(F.array(own))))
 
 
 @query(f"WITH {STOCK_SQL} SELECT CAST(doc AS VARCHAR) AS doc, CAST(line AS BIGINT) AS row_no, game, name, lpad(CAST(c0 AS VARCHAR), 3, '0') AS c_int, lpad(CAST(c1 AS VARCHAR), 3, '0') AS c_rec, lpad(CAST(c2 AS VARCHAR), 3, '0') AS c_act, lpad(CAST(c3 AS VARCHAR), 3, '0') AS c_set FROM stock")
@@ -171,14 +180,13 @@ def read_inventory(spark, sf_dir):
 
 def damaged_stock(spark, sf_dir):
     """Words of stock pages that slope into the next row; some rows glue their counts, some leave zeros out; every other page prints no titles."""
-    shown = stock_counts(spark, sf_dir)
+    shown = stock_counts(spark, sf_dir).withColumn("last", F.max("line").over(W.partitionBy("doc", "page")))
     three = lambda i: F.lpad(F.col(f"c{i}").cast("string"), 3, "0")
     glued, short = F.col("game").cast("int") % 5 == 1, F.col("game").cast("int") % 7 == 2
     counts = [F.when(glued, F.concat(*map(three, range(4))) if i == 0 else F.lit("")).when(short, F.col(f"c{i}").cast("string")).otherwise(three(i)) for i in range(4)]
-    items = shown.select("doc", "page", "line", F.array("game", "name", *counts).alias("cells"))
-    total = shown.groupBy("doc", "page").agg(F.max("line").alias("line")).select("doc", "page", (F.col("line") + 1).alias("line"), F.array(F.lit(""), F.lit("TOTALS"), *[F.lit("000")] * 4).alias("cells"))
-    below = total.select("doc", "page", (F.col("line") + 2).alias("line"), F.array(*map(F.lit, ("123", "FOOTER", "001", "002", "003", "004"))).alias("cells"))
-    words = print_table(items.unionByName(total).unionByName(below), ["Game", "Name", "Int", "Rec", "Act", "Set"], [60.0, 160.0, 700.0, 800.0, 900.0, 1000.0], F.col("doc").cast("long") % 2 == 0)
+    total = _line(F.col("last") + 1, *map(F.lit, ("", "TOTALS", "000", "000", "000", "000")))
+    below = _line(F.col("last") + 3, *map(F.lit, ("123", "FOOTER", "001", "002", "003", "004")))
+    words = print_table(_with_last(shown, _line(F.col("line"), F.col("game"), F.col("name"), *counts), total, below), ["Game", "Name", "Int", "Rec", "Act", "Set"], [60.0, 160.0, 700.0, 800.0, 900.0, 1000.0], F.col("doc").cast("long") % 2 == 0)
     return words.withColumn("y", F.when(F.col("y") > 100, F.col("y") + (F.col("x") - 60) * 0.022).otherwise(F.col("y")))
 
 
