@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
-from tablewright.functions.arrays import at, let
+from tablewright.functions.arrays import at, let, once
+from tablewright.sources.rest import at_rest, dealt
 
 from .geometry import PAGE, assign_rows, group_lines
 from .words import count_parts
@@ -34,8 +35,9 @@ def count_titles(lines: DataFrame) -> DataFrame:
     like = F.array(*[T.looks_like(token, t) for t in TITLES])
     exact = F.array(*[F.lower(token) == t.lower() for t in TITLES])
     named = F.array(T.looks_like(token, "Game"), T.looks_like(token, "Name"))
-    word = F.struct("nth", "word_id", "x", (F.col("x") + F.col("width") / 2).alias("centre"), "y", (F.col("y") + F.col("height")).alias("bottom"), like.alias("like"), exact.alias("exact"), named.alias("named"))
-    likely = lines.where(F.array_contains(like, True) | F.array_contains(named, True))
+    word = F.struct("x", "word_id", (F.col("x") + F.col("width") / 2).alias("centre"), "y", (F.col("y") + F.col("height")).alias("bottom"), like.alias("like"), exact.alias("exact"), named.alias("named"))
+    sized = F.length(token).isin(*{len(t) for t in (*TITLES, "Game", "Name")})  # a title differs in no length
+    likely = lines.where(sized & (F.array_contains(like, True) | F.array_contains(named, True)))
     rows = likely.groupBy(*PAGE, "line_id").agg(F.sort_array(F.collect_list(word)).alias("words")).where(F.size("words") >= len(TITLES))
 
     def take(found: Column, w: Column) -> Column:
@@ -166,17 +168,27 @@ def line_cells(words: Column) -> Column:
     return let(tight_run(words), lambda run: F.when(run.isNotNull(), cells(run)))
 
 
-def anchored_inventory(words: DataFrame, overlap: float = 0.5) -> DataFrame:
+def may_count(text: Column) -> Column:
+    """At most how many counts a word holds: four if it is nothing but threes of digits, one if it has one run of up to three, else none."""
+    threes = text.rlike(r"^[^0-9A-Za-z]*[0-9]{3}(?:[^0-9A-Za-z]*[0-9]{3})+[^0-9A-Za-z]*$")
+    return F.when(threes, 4).when(text.rlike("^[^0-9]*[0-9]{1,3}[^0-9]*$"), 1).otherwise(0)
+
+
+def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None = None) -> DataFrame:
     """(doc, page, row, cells, confidence): Game, Name, Int, Rec, Act, Set, top to bottom; rows may slope or overlap.
 
     Anchors are TOTALS and numbers of three digits in the left 45 % of the page that stand near the median
     of such numbers, none below the last TOTALS. Words below the titles join the anchor
     that ``assign_rows`` gives. The columns are the medians of the rows' closest four counts if
     three rows have such, else the titles' centres. Blank words and words without extent are left out.
+    ``rows``: how many words there are, where they lie at rest already; else they are put to rest and counted.
     """
-    usable = words.where((F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0))
+    if rows is None:
+        words = at_rest(words)
+        rows = words.count()
+    usable = dealt(words.where((F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0)), rows, *PAGE)
     heads = count_titles(group_lines(usable, 0.5))
-    body = usable.join(heads, PAGE, "left").where("top IS NULL OR (NOT array_contains(own, word_id) AND y + height > top)").drop("own", "top", "bottom")
+    body = usable.join(heads, PAGE, "left").where("top IS NULL OR (NOT array_contains(own, word_id) AND y + height > top)").drop("own", "top", "bottom").withColumnRenamed("centres", "titled")
     page = W.partitionBy(*PAGE)
     token = T.strip_edges(F.col("text"))
     body = body.withColumns({"_right": F.max(F.col("x") + F.col("width")).over(page), "_at": F.col("y") + F.col("height") / 2, "_total": T.is_totals(token)})
@@ -188,25 +200,27 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5) -> DataFrame:
     body = body.withColumn("_last", last).withColumn("_anchor", (F.col("_total") | (F.col("_game") & near)) & (F.col("_last").isNull() | (F.col("_at") <= F.col("_last"))))
     word = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("word_id").cast("long").alias("word_id"), F.col("width").cast("double").alias("width"), "text", F.col("confidence").cast("double").alias("confidence"))
     body = body.withColumns({"word": word, "_any": F.max(F.col("_anchor").cast("int")).over(page)})
+    body = dealt(at_rest(body.select(*PAGE, "word", "height", "titled", "_at", "_anchor", "_any")), rows, *PAGE)
 
     order = W.partitionBy(*PAGE).orderBy("at", "x", "word_id")
-    anchors = body.where("_anchor").select(*PAGE, "x", "word_id", "height", F.col("word").alias("anchor"), F.col("_at").alias("at")).withColumn("nth", F.row_number().over(order) - 1)
+    anchors = body.where("_anchor").select(*PAGE, "word.x", "word.word_id", "height", "titled", F.col("word").alias("anchor"), F.col("_at").alias("at")).withColumn("nth", F.row_number().over(order) - 1)
     items = body.where("_any = 1 AND NOT _anchor").select(*PAGE, F.col("word").alias("item"), F.col("_at").alias("at"))
     pitch = F.greatest(F.lit(24.0), F.median("height") * 1.6)
     taken = assign_rows(items, anchors, PAGE, pitch, overlap, 0.35 + overlap).select(*PAGE, "anchor", "item")
-    alone = anchors.select(*PAGE, "anchor", "nth", F.lit(None).cast(taken.schema["item"].dataType).alias("item"))
-    groups = alone.unionByName(taken, allowMissingColumns=True).groupBy(*PAGE, "anchor").agg(F.max("nth").alias("nth"), F.sort_array(F.collect_list("item")).cast(WORD).alias("rest"))
+    alone = anchors.select(*PAGE, "anchor", "nth", "titled", F.lit(None).cast(taken.schema["item"].dataType).alias("item"))
+    groups = dealt(alone.unionByName(taken, allowMissingColumns=True), rows, *PAGE).groupBy(*PAGE, "anchor").agg(F.max("nth").alias("nth"), F.first("titled", ignorenulls=True).alias("titled"), F.sort_array(F.collect_list("item")).cast(WORD).alias("rest"))
     groups = groups.withColumn("words", F.array_sort(F.concat("rest", F.array("anchor").cast(WORD))))
 
-    run = tight_run(F.col("words"))
-    groups = groups.withColumn("run", F.transform(run, lambda c: c["centre"])).join(heads.select(*PAGE, F.col("centres").alias("titled")), PAGE, "left")
+    groups = once(groups, run=F.transform(tight_run(F.col("words")), lambda c: c["centre"]))
     slots = F.array(*[F.median(at(F.col("run"), i)).over(page) for i in range(4)])
     groups = groups.withColumn("centres", F.when(F.count("run").over(page) >= 3, slots).otherwise(F.col("titled")))
     groups = groups.withColumn("pitch", (at(F.col("centres"), 3) - at(F.col("centres"), 0)) / 3)
     placed = anchored_cells(F.col("anchor"), F.col("rest"), F.col("centres"), F.col("pitch"))
-    by_anchor = groups.select(*PAGE, "nth", F.when(F.col("pitch") > 0, placed).otherwise(line_cells(F.col("words"))).alias("cells"), mean_confidence(F.col("words")).alias("confidence"))
-
-    bare = group_lines(body.where("_any = 0").select(*usable.columns, "word"), overlap).groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.sort_array(F.collect_list("word")).cast(WORD).alias("words"))
-    by_line = bare.select(*PAGE, "nth", line_cells(F.col("words")).alias("cells"), mean_confidence(F.col("words")).alias("confidence"))
-    rows = by_anchor.unionByName(by_line).where("cells IS NOT NULL")
-    return rows.select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("nth")) - 1).alias("row"), "cells", "confidence")
+    found = lambda cells: F.explode(F.filter(F.array(cells), lambda c: c.isNotNull())).alias("cells")
+    by_anchor = groups.select(*PAGE, "nth", found(F.when(F.col("pitch") > 0, placed).otherwise(line_cells(F.col("words")))), mean_confidence(F.col("words")).alias("confidence"))
+
+    # a line without four counts is no row
+    lines = group_lines(body.where("_any = 0").select(*PAGE, "word.x", "word.y", "height", "word.word_id", "word"), overlap)
+    bare = lines.groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.sum(may_count(F.col("word.text"))).alias("counts"), F.sort_array(F.collect_list("word")).cast(WORD).alias("words")).where("counts >= 4")
+    by_line = bare.select(*PAGE, "nth", found(line_cells(F.col("words"))), mean_confidence(F.col("words")).alias("confidence"))
+    return by_anchor.unionByName(by_line).select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("nth")) - 1).alias("row"), "cells", "confidence")

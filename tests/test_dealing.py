@@ -1,6 +1,11 @@
 """Work is dealt by its rows, and what several steps name is worked out once."""
 
+from pyspark.sql import functions as F
+
 from tablewright import catalog
+from tablewright.functions import text as T
+from tablewright.operators import inventories
+from tablewright.operators.words import count_parts
 from tablewright.sources.rest import dealt
 
 
@@ -14,3 +19,16 @@ def test_partitions_grow_with_rows(spark):
 
 def test_stock_is_counted_once_for_all_issues(spark, sf_dir):
     assert plan(catalog.QUERIES["validate_inventory"](spark, sf_dir)).count("Join") == 1
+
+
+def test_anchored_rows_stand_on_words_at_rest(spark, sf_dir):
+    """No step prints the words again, and a line that holds no four counts is no candidate."""
+    got = plan(catalog.QUERIES["anchored_inventory"](spark, sf_dir))
+    assert "Relation [" not in got and "LogicalRDD" in got
+
+
+def test_may_count_is_no_less_than_what_is_counted(spark):
+    texts = ["001002003004", "1", "(12)", "123-456", "#001 002,", "1234", "a1b", "1a2", "P0000123", "01/02/96", "", ":001.002;", "12345678901234567890"]
+    counts = F.size(F.filter(F.transform(count_parts(F.col("t")), T.count_value), lambda c: c.isNotNull()))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", inventories.may_count(F.col("t")).alias("most"), counts.alias("n")).collect()
+    assert all(r.most >= r.n for r in rows) and {r.t for r in rows if r.most == 0} == {"1234", "1a2", "P0000123", "01/02/96", "", "12345678901234567890"}
