@@ -24,14 +24,18 @@ KEYS = [*PAGE, "nth"]
 BELOW = 1e300
 
 
+def sound() -> Column:
+    """Whether a word has text and extent."""
+    return (F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0) & (F.abs(F.col("x") + F.col("y") + F.col("width") + F.col("height")) < float("inf"))
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc, page, line_height, lines): lines from the top, each struct<top, line_id, bottom, left, confidence, words>.
 
     Words without text or extent take no part; a page needs four others.
     """
-    sound = (F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0) & (F.abs(F.col("x") + F.col("y") + F.col("width") + F.col("height")) < float("inf"))
     page = Window.partitionBy(*PAGE)
-    usable = group_lines(words.where(sound)).withColumn("line_height", F.median("height").over(page)).withColumn("n", F.count("*").over(page)).where("n >= 4")
+    usable = group_lines(words.where(sound())).withColumn("line_height", F.median("height").over(page)).withColumn("n", F.count("*").over(page)).where("n >= 4")
     word = F.struct(*(F.col(c).cast("string" if c == "text" else "double").alias(c) for c in ("x", "y", "text", "width", "height")))
     lines = usable.groupBy(*PAGE, "line_id", "line_height").agg(
         F.min("y").alias("top"), F.max(F.col("y") + F.col("height")).alias("bottom"), F.min("x").alias("left"), F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list(word)).alias("words"))

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAGE = ["doc", "page"]
+#: The column of words whose lines are found.
+LINED = "_lined"
 BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -19,7 +21,10 @@ def group_lines(words: DataFrame, overlap: float = 0.5) -> DataFrame:
 
     A word opens a line if it overlaps the lowest reaching word before it by less than
     ``overlap`` of the smaller of both heights. Exact for lines that do not interleave vertically; see group_lines_exact.
+    Words marked as ``LINED`` stay in the lines that they are in.
     """
+    if LINED in words.columns:
+        return words
     order = W.partitionBy(*PAGE).orderBy(F.col("y") + F.col("height") / 2, "x", "word_id")
     reach = F.max(F.struct((F.col("y") + F.col("height")).alias("bottom"), "height")).over(order.rowsBetween(*BEFORE))
     shared = F.least(reach["bottom"], F.col("y") + F.col("height")) - F.col("y")

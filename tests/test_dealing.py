@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewright import catalog
 from tablewright.functions import text as T
-from tablewright.operators import inventories
+from tablewright.operators import geometry, inventories
 from tablewright.operators.words import count_parts
 from tablewright.sources.rest import dealt
 
@@ -32,3 +32,11 @@ def test_may_count_is_no_less_than_what_is_counted(spark):
     counts = F.size(F.filter(F.transform(count_parts(F.col("t")), T.count_value), lambda c: c.isNotNull()))
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", inventories.may_count(F.col("t")).alias("most"), counts.alias("n")).collect()
     assert all(r.most >= r.n for r in rows) and {r.t for r in rows if r.most == 0} == {"1234", "1a2", "P0000123", "01/02/96", "", "12345678901234567890"}
+
+
+def test_words_in_lines_are_not_grouped_again(spark):
+    words = spark.createDataFrame([("d", 1, 1, "a", 0.0, 0.0, 10.0, 20.0), ("d", 1, 2, "b", 20.0, 4.0, 10.0, 20.0), ("d", 1, 3, "c", 0.0, 30.0, 10.0, 20.0)], "doc string, page int, word_id long, text string, x double, y double, width double, height double")
+    lines = geometry.group_lines(words)
+    assert plan(geometry.group_lines(lines.withColumn(geometry.LINED, F.lit(True)))).count("Window") == plan(lines).count("Window")
+    moved = lines.withColumn("line_id", F.lit(9))  # not marked: grouped anew
+    assert sorted((r.word_id, r.line_id, r.nth) for r in geometry.group_lines(moved).collect()) == [(1, 0, 0), (2, 0, 1), (3, 1, 0)]
