@@ -35,12 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, group_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``df`` from a compressed table in the shared folder, computed once; few wide rows a row group."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return table_at(df, new_folder(df.sparkSession), group_bytes)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def table_at(df: DataFrame, path: str, group_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``df`` from a compressed table at ``path``; small files are read several a task, unlike a checkpoint's."""
     df.write.option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the rows that no model may learn from: crc32 of the id's text mod 3 is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
