@@ -218,6 +218,10 @@ def count_digits(text: Column) -> Column:
     return F.when((digits == 0) | (digits * 2 < alnum), "").otherwise(fixed)
 
 
+#: What a text must hold for pack_token to make a pack code of it, and for settled_date to read a date.
+PACKED, DATED = "-", "(?:[0-9][^0-9]*){6}"
+
+
 def pack_token(text: Column) -> Column:
     return let(token_core(text), _pack_token)
 

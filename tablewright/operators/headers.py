@@ -37,6 +37,12 @@ def middle(w: Column) -> Column:
     return w["y"] + w["height"] / 2
 
 
+def title_word(text: Column | str = "text") -> Column:
+    """Whether a word is of the title vocabulary; a page that has titles has LEAST_COLUMNS of them."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.trim(text).rlike(TITLES) | text.rlike(HINTS)
+
+
 def _stacks_over(line: Column, columns: Column) -> Column:
     """Whether each word of a line overlaps exactly one title by 35 % of the narrower, no title twice."""
     def over(w: Column) -> Column:
@@ -76,7 +82,7 @@ def find_header(pages: DataFrame, topmost: bool = False) -> DataFrame:
     """
     inked = F.array_sort(F.transform(F.filter("words", lambda w: F.trim(w["text"]) != ""), lambda w: F.struct(middle(w).alias("m"), w["x"].alias("x"), w.alias("w"))))
     df = pages.select(*PAGE, F.transform(inked, lambda o: o["w"]).alias("words"))
-    df = df.withColumn("hits", F.filter("words", lambda w: F.trim(w["text"]).rlike(TITLES) | w["text"].rlike(HINTS))).where(F.size("hits") >= LEAST_COLUMNS)
+    df = df.withColumn("hits", F.filter("words", lambda w: title_word(w["text"]))).where(F.size("hits") >= LEAST_COLUMNS)
     height = median(F.transform("hits", lambda w: w["height"]))
     df = df.withColumn("height", F.when(height == 0, 12.0).otherwise(height))
     groups = let(F.struct("hits", "height"), lambda k: F.transform(k["hits"], lambda a: F.filter(k["hits"], lambda w: F.abs(middle(w) - middle(a)) <= k["height"] * 1.3)))

@@ -19,8 +19,11 @@ from .geometry import PAGE, assign_rows, group_lines
 from .words import count_parts
 
 TITLES = ("Int", "Rec", "Act", "Set")
-# Fixed value: a game number.
+# Fixed value: a game number; the same and TOTALS between marks.
 GAME = "^[0-9]{3}$"
+EDGED_GAME, EDGED_TOTALS = "^[^A-Za-z0-9]*[0-9]{3}[^A-Za-z0-9]*$", "(?i)^[^A-Za-z0-9]*totals[^A-Za-z0-9]*$"
+#: What any word that looks like a title, or like Game or Name, is in its letters; told by one search, before letters are counted.
+LIKELY = "(?is)^[^A-Za-z0-9]*(?:" + "|".join(t[:i] + "." + t[i + 1:] for t in (*TITLES, "Game", "Name") for i in range(len(t))) + ")[^A-Za-z0-9]*$"
 WORD = "array<struct<x: double, y: double, word_id: bigint, width: double, text: string, confidence: double>>"
 
 
@@ -37,7 +40,7 @@ def count_titles(lines: DataFrame) -> DataFrame:
     named = F.array(T.looks_like(token, "Game"), T.looks_like(token, "Name"))
     word = F.struct("x", "word_id", (F.col("x") + F.col("width") / 2).alias("centre"), "y", (F.col("y") + F.col("height")).alias("bottom"), like.alias("like"), exact.alias("exact"), named.alias("named"))
     sized = F.length(token).isin(*{len(t) for t in (*TITLES, "Game", "Name")})  # a title differs in no length
-    likely = lines.where(sized & (F.array_contains(like, True) | F.array_contains(named, True)))
+    likely = lines.where(F.col("text").rlike(LIKELY) & sized & (F.array_contains(like, True) | F.array_contains(named, True)))
     rows = likely.groupBy(*PAGE, "line_id").agg(F.sort_array(F.collect_list(word)).alias("words")).where(F.size("words") >= len(TITLES))
 
     def take(found: Column, w: Column) -> Column:
@@ -174,7 +177,7 @@ def may_count(text: Column) -> Column:
     return F.when(threes, 4).when(text.rlike("^[^0-9]*[0-9]{1,3}[^0-9]*$"), 1).otherwise(0)
 
 
-def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None = None) -> DataFrame:
+def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None = None, heads: DataFrame | None = None) -> DataFrame:
     """(doc, page, row, cells, confidence): Game, Name, Int, Rec, Act, Set, top to bottom; rows may slope or overlap.
 
     Anchors are TOTALS and numbers of three digits in the left 45 % of the page that stand near the median
@@ -182,17 +185,17 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None
     that ``assign_rows`` gives. The columns are the medians of the rows' closest four counts if
     three rows have such, else the titles' centres. Blank words and words without extent are left out.
     ``rows``: how many words there are, where they lie at rest already; else they are put to rest and counted.
+    ``heads``: their ``count_titles``, where known.
     """
     if rows is None:
         words = at_rest(words)
         rows = words.count()
     usable = dealt(words.where((F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0)), rows, *PAGE)
-    heads = count_titles(group_lines(usable, 0.5))
+    heads = count_titles(group_lines(usable, 0.5)) if heads is None else dealt(heads, rows, *PAGE)
     body = usable.join(heads, PAGE, "left").where("top IS NULL OR (NOT array_contains(own, word_id) AND y + height > top)").drop("own", "top", "bottom").withColumnRenamed("centres", "titled")
     page = W.partitionBy(*PAGE)
-    token = T.strip_edges(F.col("text"))
-    body = body.withColumns({"_right": F.max(F.col("x") + F.col("width")).over(page), "_at": F.col("y") + F.col("height") / 2, "_total": T.is_totals(token)})
-    body = body.withColumn("_game", token.rlike(GAME) & (F.col("x") <= 0.45 * F.col("_right")))
+    body = body.withColumns({"_right": F.max(F.col("x") + F.col("width")).over(page), "_at": F.col("y") + F.col("height") / 2, "_total": F.col("text").rlike(EDGED_TOTALS)})
+    body = body.withColumn("_game", F.col("text").rlike(EDGED_GAME) & (F.col("x") <= 0.45 * F.col("_right")))
     column = lambda c: F.coalesce(F.median(F.when(F.col("_game"), F.col(c))).over(page), F.lit(0.0))
     body = body.withColumns({"_off": F.col("x") - column("x"), "_tall": F.greatest(column("height"), F.lit(1.0))})
     near = F.col("_off").between(-F.greatest(F.lit(48.0), F.col("_tall") * 3), F.greatest(F.lit(16.0), F.col("_tall")))
@@ -204,6 +207,7 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None
 
     order = W.partitionBy(*PAGE).orderBy("at", "x", "word_id")
     anchors = body.where("_anchor").select(*PAGE, "word.x", "word.word_id", "height", "titled", F.col("word").alias("anchor"), F.col("_at").alias("at")).withColumn("nth", F.row_number().over(order) - 1)
+    anchors = dealt(at_rest(anchors), rows, *PAGE)  # few beside the words, and named by five steps
     items = body.where("_any = 1 AND NOT _anchor").select(*PAGE, F.col("word").alias("item"), F.col("_at").alias("at"))
     pitch = F.greatest(F.lit(24.0), F.median("height") * 1.6)
     taken = assign_rows(items, anchors, PAGE, pitch, overlap, 0.35 + overlap).select(*PAGE, "anchor", "item")
@@ -219,8 +223,9 @@ def anchored_inventory(words: DataFrame, overlap: float = 0.5, rows: int | None
     found = lambda cells: F.explode(F.filter(F.array(cells), lambda c: c.isNotNull())).alias("cells")
     by_anchor = groups.select(*PAGE, "nth", found(F.when(F.col("pitch") > 0, placed).otherwise(line_cells(F.col("words")))), mean_confidence(F.col("words")).alias("confidence"))
 
-    # a line without four counts is no row
+    # a line without four counts is no row; its words are not gathered
     lines = group_lines(body.where("_any = 0").select(*PAGE, "word.x", "word.y", "height", "word.word_id", "word"), overlap)
-    bare = lines.groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.sum(may_count(F.col("word.text"))).alias("counts"), F.sort_array(F.collect_list("word")).cast(WORD).alias("words")).where("counts >= 4")
+    counted = lines.withColumn("counts", F.sum(may_count(F.col("word.text"))).over(W.partitionBy(*PAGE, "line_id"))).where("counts >= 4")
+    bare = counted.groupBy(*PAGE, F.col("line_id").alias("nth")).agg(F.sort_array(F.collect_list("word")).cast(WORD).alias("words"))
     by_line = bare.select(*PAGE, "nth", found(line_cells(F.col("words"))), mean_confidence(F.col("words")).alias("confidence"))
     return by_anchor.unionByName(by_line).select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("nth")) - 1).alias("row"), "cells", "confidence")

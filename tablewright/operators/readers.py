@@ -35,10 +35,11 @@ def _page_right(words: DataFrame) -> DataFrame:
 def settlements(words: DataFrame) -> DataFrame:
     """(doc, page, row, cells, confidence): Game-Pack, Name, Date Settled; a lone date opens a row without a pack."""
     lines = _page_right(group_lines(words))
-    pack = T.pack_token(F.col("text"))
+    text = F.col("text")
+    pack = T.pack_token(text)
     left = F.col("x") < 0.4 * F.col("page_right")
     code = let(pack, lambda p: F.when(p.rlike("^[0-9]{3}-[0-9]{5,8}$"), p))
-    marked = with_lone_dates(once(lines, pack=F.when(left, code), date=F.when(~left, T.settled_date(F.col("text")))))
+    marked = with_lone_dates(once(lines, pack=F.when(left & F.contains(text, F.lit(T.PACKED)), code), date=F.when(~left & text.rlike(T.DATED), T.settled_date(text))))
     rows = marked.groupBy(*PAGE, "line_id").agg(
         F.min_by("pack", F.when(F.col("pack").isNotNull(), F.col("x"))).alias("pack"), F.max_by("date", F.when(F.col("date").isNotNull(), F.col("x"))).alias("date"),
         _joined(F.col("pack").isNull() & F.col("date").isNull()).alias("name"), F.avg("confidence").alias("confidence"), F.max("lone").alias("lone"),

@@ -15,6 +15,7 @@ from tablewright.sources.rest import at_rest, dealt
 
 from . import checks, column_tables, export, inventories, readers, skips, tables, titles
 from .geometry import LINED, PAGE, group_lines
+from .headers import LEAST_COLUMNS, title_word
 
 CELLS = "array<struct<row: int, cells: array<string>, confidence: double>>"
 #: What a page reads as when it holds no words.
@@ -52,25 +53,31 @@ def read_all(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFram
     A column table wins on a page with its own titles, or with an item under inherited
     ones, unless the titles or marks are those of an inventory, of settlements or of a
     weekly invoice; then the numbers of rows decide (``checks.choose_kind``). Words are
-    put to rest once and dealt by page; their lines are found once, and again only by readers that
+    put to rest once, told page by page in one pass, and dealt by page; their lines are found once, and again only by readers that
     leave words without extent out, where there are such. What each reader found is put
     to rest, so that the last plan joins one row a page of each.
     """
     words = at_rest(words)
-    n = words.count()
-    lines = at_rest(group_lines(dealt(words.where(F.trim("text") != ""), n, *PAGE)).withColumn(LINED, F.lit(True)))
+    said = F.trim("text") != ""
+    told = at_rest(words.groupBy(*PAGE).agg(F.count("*").alias("n"), F.coalesce(F.max(said), F.lit(False)).alias("_read"), F.count_if(said & ~F.coalesce(column_tables.sound(), F.lit(False))).alias("unsound"), F.count_if(said & title_word()).alias("hits")))
+    n, unsound = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("unsound"), F.lit(0))).first()
+    lines = at_rest(group_lines(dealt(words.where(said), n, *PAGE)).withColumn(LINED, F.lit(True)))
     usable = dealt(lines, n, *PAGE)
-    sound = usable if lines.where(~F.coalesce(column_tables.sound(), F.lit(False))).isEmpty() else usable.drop(LINED, "line_id", "nth")
-    found = at_rest(column_tables.read_tables(sound))
+    sound = usable if unsound == 0 else usable.drop(LINED, "line_id", "nth")
+    # a document without a page of enough title words has no table, neither under its own titles nor under others
+    with_titles = told.where(F.col("hits") >= LEAST_COLUMNS).select("doc").distinct()
+    within = dealt(at_rest(told.join(with_titles, "doc", "left_semi").select(*PAGE)), n, *PAGE)
+    found = at_rest(column_tables.read_tables(sound.join(within, PAGE, "left_semi")))
     slim = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), r["cells"].alias("cells"), r["confidence"].alias("confidence")))
     table = found.where("nth = 0").select(*PAGE, F.col("headers").alias("printed"), slim.cast(CELLS).alias("table"))
-    stock = at_rest(inventories.anchored_inventory(sound, rows=n))
+    heads = at_rest(inventories.count_titles(usable))
+    stock = at_rest(inventories.anchored_inventory(sound, rows=n, heads=heads if unsound == 0 else None))
     some = F.exists(F.slice("cells", 3, 4), lambda c: c != "")
     counted = stock.where(some).groupBy(*PAGE).agg(F.count("*").alias("n_stock"), F.max(T.is_totals(F.element_at("cells", 2)).cast("int")).alias("n_totals"))
     weekly = tables.weekly_invoices(usable).withColumn("weekly", F.lit(True))
-    titled = inventories.count_titles(usable).select(*PAGE).withColumn("stocked", F.lit(True))
-    every = (words if pages is None else pages).select(*PAGE).distinct()
-    read = lines.select(*PAGE).distinct().withColumn("_read", F.lit(True))
+    titled = heads.select(*PAGE).withColumn("stocked", F.lit(True))
+    every = (told if pages is None else pages).select(*PAGE).distinct()
+    read = told.where("_read").select(*PAGE, "_read")
     for part in (table, counted, _gathered(stock, "stock"), _gathered(readers.settlements(usable), "packs"), _gathered(readers.invoice(usable), "amounts"), weekly, titled, read):
         every = every.join(at_rest(part), PAGE, "left")
     size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast(CELLS))), F.lit(0))

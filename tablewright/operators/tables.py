@@ -154,9 +154,10 @@ GLUED = (("(?i)WEEKLYINVOICE", "WEEKLY INVOICE"), ("(?i)PACKSETTLEMENTS?", "PACK
 
 def clean_title(text: Column) -> Column:
     """Glued titles parted, marks at the ends and blank runs removed."""
+    whole = text
     for glued, parted in GLUED:
         text = F.regexp_replace(text, f"^(.*?){glued}", f"$1{parted}")
-    return T.squeeze(T.strip_edges(text))
+    return T.squeeze(T.strip_edges(F.when(whole.rlike("|".join(glued for glued, _ in GLUED)), text).otherwise(whole)))
 
 
 def invoice_heading(text: Column) -> Column:
@@ -177,7 +178,8 @@ def page_titles(words: DataFrame, kind: str | DataFrame = "invoice", lines: int
     own = F.coalesce(*(F.when(F.col("kind") == k, text.rlike(rf"(?i)\b(?:{v})\b")) for k, v in KIND_WORDS.items()), F.lit(False))
     score = F.when(own, 50).otherwise(0) + F.when(text.rlike(rf"(?i)\b(?:{ANY_WORDS})\b"), 40).otherwise(0) + F.least("height", F.lit(30.0))
     score = score + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 15).otherwise(0) - F.when(text.rlike(UNLIKELY) & ~own, 20).otherwise(0)
-    scored = grouped.withColumn("text", clean_title(F.trim("raw"))).where((F.length(text) >= 3) & ~text.rlike(NO_TITLE)).withColumn("score", score).where(F.col("score") > least)
+    clean = once(grouped, text=clean_title(F.trim("raw"))).where((F.length(text) >= 3) & ~text.rlike(NO_TITLE))
+    scored = once(clean, score=score).where(F.col("score") > least)
     best = scored.groupBy(*PAGE).agg(F.max_by("text", F.struct("score", -F.col("line_id"))).alias("title"))
     return best.select(*PAGE, F.coalesce(invoice_heading(F.col("title")), "title").alias("title"))
 
@@ -188,9 +190,9 @@ WEEKLY_MARKS = ("fwdbalance", "onlinenetdue", "instantnetdue", "totalduebywed",
 
 def weekly_invoices(words: DataFrame, least: int = 2) -> DataFrame:
     """(doc, page) of the pages on which ``least`` marks of a weekly invoice are printed, blanks and marks between words aside."""
-    page = words.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "text"))), lambda s: T.flat(s["text"])), "").alias("text"))
+    page = words.groupBy(*PAGE).agg(T.flat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "text"))), lambda s: s["text"]), "")).alias("text"))
     marks = sum((F.contains("text", F.lit(m)).cast("int") for m in WEEKLY_MARKS), F.lit(0))
-    return page.where(marks >= least).select(*PAGE)
+    return once(page, marks=marks).where(F.col("marks") >= least).select(*PAGE)
 
 
 def skipped_lines(lines: DataFrame) -> DataFrame:

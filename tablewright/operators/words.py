@@ -77,8 +77,9 @@ def with_lone_dates(words: DataFrame, least: int = 3) -> DataFrame:
     dates = F.collect_list(F.when(is_date, F.struct("word_id", "y", (F.col("y") + F.col("height")).alias("bottom")))).over(page)
     w = words.withColumns({"_packs": packs, "_dates": dates})
     gaps = F.filter(F.zip_with(F.slice("_packs", 2, F.greatest(F.size("_packs") - 1, F.lit(0))), F.slice("_packs", 1, F.greatest(F.size("_packs") - 1, F.lit(0))), lambda b, a: b - a), lambda g: g > 4)
-    w = once(w, _pitch=F.when(is_date, F.coalesce(middle(gaps), F.greatest(F.lit(24.0), 1.6 * F.col("height")))))
-    w = once(w, _paired=is_date & F.exists("_packs", lambda p: F.abs(p - centre) < F.col("_pitch") * 0.5))
+    level = F.array_contains("_packs", centre) & (F.abs(centre) < float("inf"))  # beside a pack, whatever the pitch
+    w = once(w, _pitch=F.when(is_date & ~level, F.coalesce(middle(gaps), F.greatest(F.lit(24.0), 1.6 * F.col("height")))))
+    w = once(w, _paired=is_date & (level | F.exists("_packs", lambda p: F.abs(p - centre) < F.col("_pitch") * 0.5)))
     mid = F.col("x") + F.col("width") / 2
     w = w.withColumns({"_column": F.median(F.when(F.col("_paired"), mid)).over(page), "_width": F.median(F.when(F.col("_paired"), F.col("width"))).over(page)})
     alone = ~F.exists("_dates", lambda d: (d["word_id"] != F.col("word_id")) & (F.least(d["bottom"], F.col("y") + F.col("height")) > F.greatest(d["y"], F.col("y"))))
