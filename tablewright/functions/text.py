@@ -95,7 +95,7 @@ def is_starred(text: Column) -> Column:
 
 def is_rule(text: Column) -> Column:
     """Four or more characters of a drawn line."""
-    return _sub(text, r"\s").rlike(r"^[-_=.*]{4,}$")
+    return text.rlike(r"^[-_=.*\s]*$") & _sub(text, r"\s").rlike(r"^[-_=.*]{4,}$")
 
 
 #: Words by which a document points to another of its pages, letters only.
@@ -148,11 +148,28 @@ def without_stock_notes(text: Column) -> Column:
 SUMMARY_WORDS = "sub|sub-?totals?|totals?|tax(?:es|able)?|sales|shipping|ship|freight|handling|discounts?|disc|balance|due|amount|amt|grand|net|payments?|paid|credits?|deposits?|pieces|pcs|cases|items|qty|quantity|units|merchandise|invoice|order|of|and|the"
 SUMMARY_KEYS = "sub-?totals?|totals?|tax(?:es)?|balance|freight|shipping|handling|payments?|paid|grand|due"
 SUMMARY_TOTALS = "sub-?totals?|totals?|grand|balance|due"
+#: What one of these keys or totals stands in, wherever a word ends.
+SUMMARY_STEMS = "(?i)(?=[bdfghpst])(?:t(?:otal|ax)|balance|freight|shipping|handling|pa(?:yment|id)|grand|due)"
 
 
 def is_line_item(cells: Column) -> Column:
     """Quantity with money or code, or money with code, in two filled cells or more; stars that flag
     an item aside, and no money in cells with words."""
+    joined = F.array_join(cells, "\x01")
+    odd = joined.rlike(r"[*\x00\x02-\x1f\x85\u2028\u2029]") | F.contains(F.array_join(cells, ""), _("\x01"))
+    quantity, code, money = (joined.rlike(p) for p in (ONE_QUANTITY, ONE_CODE, ONE_MONEY))
+    return F.when(odd, _is_line_item(cells)).otherwise(((quantity & (money | code)) | (money & code)) & joined.rlike(TWO_FILLED))
+
+
+#: The same of all cells at once, as they stand between marks: a quantity, a code, money without words, two filled cells.
+ONE_QUANTITY = r"(?:^|\x01) *(?:-?(?:[0-9]{1,5}|[0-9]{1,3}(?:,[0-9]{3})+)|\([0-9]{1,5}\)|[0-9]{1,5}-) *(?:\x01|$)"
+ONE_CODE = r"(?:^|\x01) *(?=[A-Za-z-]*[0-9])[A-Za-z0-9-]{4,24} *(?:\x01|$)"
+ONE_MONEY = r"(?:^|\x01)(?![^\x01]*[A-Za-z]{2})[^\x01]*[0-9]\.[0-9]{2}"
+TWO_FILLED = r"(?s)[^ \x01].*\x01.*[^ \x01]"
+
+
+def _is_line_item(cells: Column) -> Column:
+    """``is_line_item`` cell by cell, also of cells with stars, line ends or other marks of control."""
     filled = F.filter(F.transform(cells, lambda c: F.trim(_sub(F.trim(c), r"^\*+|\*+$"))), lambda c: c != "")
     money = lambda f: F.exists(f, lambda c: has_money(c) & ~c.rlike("[A-Za-z]{2,}"))
     told = lambda f: F.struct(F.exists(f, is_quantity).alias("quantity"), F.exists(f, is_code).alias("code"), money(f).alias("money"))
@@ -162,9 +179,9 @@ def is_line_item(cells: Column) -> Column:
 
 def is_summary(cells: Column, item: Column) -> Column:
     """A line of the totals block, or a subtotal among the items."""
-    parts = F.split(F.array_join(cells, " "), "[^A-Za-z-]+")
-    lettered = F.filter(F.transform(parts, lambda w: _sub(w, "^-+|-+$")), lambda w: w.rlike("[A-Za-z]"))
-    return let(lettered, lambda words: _is_summary(cells, words, item))
+    lettered = lambda text: F.filter(F.transform(F.split(text, "[^A-Za-z-]+"), lambda w: _sub(w, "^-+|-+$")), lambda w: w.rlike("[A-Za-z]"))
+    text = F.array_join(cells, " ")
+    return text.rlike(SUMMARY_STEMS) & let(lettered(text), lambda words: _is_summary(cells, words, item))
 
 
 def _is_summary(cells: Column, words: Column, item: Column) -> Column:
@@ -183,7 +200,9 @@ def is_repeated_header(cells: Column, headers: Column) -> Column:
     got = F.filter(F.transform(cells, flat), lambda x: x != "")
     hits = lambda k: F.size(F.filter(k["got"], lambda x: F.array_contains(k["want"], x)))
     again = lambda k: let(hits(k), lambda n: (n >= 3) & (n >= 0.6 * F.least(F.size(k["want"]), F.size(k["got"]))))
-    return let(F.struct(want.alias("want"), got.alias("got")), again)
+    # a cell with a digit is no title without one
+    may = (F.regexp_count(F.array_join(cells, "\x01"), _(r"(?:^|\x01)[^0-9\x01]+(?=\x01|$)")) >= 3) | F.array_join(headers, " ").rlike("[0-9]")
+    return may & let(F.struct(want.alias("want"), got.alias("got")), again)
 
 
 def is_lead_in(cells: Column) -> Column:

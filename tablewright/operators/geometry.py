@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright.functions.arrays import let, median
+
 PAGE = ["doc", "page"]
 #: The column of words whose lines are found.
 LINED = "_lined"
@@ -98,6 +100,37 @@ def fields(lines: DataFrame, gap: float = 0.8) -> DataFrame:
     )
 
 
+def line_fields(lines: DataFrame, gap: float = 0.8) -> DataFrame:
+    """One row a line with what ``fields`` finds in it: (doc, page, line_id, fs array<struct<x, right, text>>, confidence, x, y, bottom, height).
+
+    A line's words are gathered once and parted where they lie, without a row a field in between.
+    """
+    word = F.struct("x", "word_id", (F.col("x") + F.col("width")).alias("right"), "text", "height")
+    grouped = lines.groupBy(*PAGE, "line_id").agg(
+        F.sort_array(F.collect_list(word)).alias("ws"), F.avg("confidence").alias("confidence"), F.min("x").alias("x"), F.min("y").alias("y"),
+        F.max(F.col("y") + F.col("height")).alias("bottom"), F.min("height").alias("_low"), F.max("height").alias("height"),
+    )
+    tall = F.when((F.col("_low") == F.col("height")) | F.col("height").isNull(), F.col("height")).otherwise(median(F.transform("ws", lambda w: w["height"])))
+
+    def opens(w: Column, i: Column, before: Column, space: Column) -> Column:
+        return F.when((i == 0) | F.coalesce((w["x"] - before["right"] > space) & ~before["text"].isin("$", "€", "£"), F.lit(True)), i)
+
+    def field(ws: Column) -> Column:
+        of = lambda c: F.transform(ws, lambda w: w[c])
+        return F.struct(F.array_min(of("x")).alias("x"), F.array_max(of("right")).alias("right"), F.array_join(of("text"), " ").alias("text"))
+
+    def cut(ws: Column, start: Column, until: Column) -> Column:
+        alone = let(F.get(ws, start), lambda w: F.struct(w["x"].alias("x"), w["right"].alias("right"), w["text"].alias("text")))
+        return F.when(until == start + 1, alone).otherwise(let(F.slice(ws, start + 1, until - start), field))
+
+    def parted(k: Column) -> Column:
+        starts = F.filter(F.transform(k["ws"], lambda w, i: opens(w, i, F.get(k["ws"], i - 1), k["space"])), lambda i: i.isNotNull())
+        return let(starts, lambda at_: F.transform(at_, lambda s, i: cut(k["ws"], s, F.coalesce(F.get(at_, i + 1), F.size(k["ws"])))))
+
+    fs = F.sort_array(let(F.struct("ws", (tall * gap).alias("space")), parted))
+    return grouped.select(*PAGE, "line_id", fs.alias("fs"), "confidence", "x", "y", "bottom", "height")
+
+
 def merge_glyphs(lines: DataFrame, gap: float = 0.35, baseline: float = 0.35) -> DataFrame:
     """Boxes of single characters joined into words, as a fold along each line.
 

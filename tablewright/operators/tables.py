@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import text as T
 from tablewright.functions.arrays import let, once, share
 
-from .geometry import PAGE, column_index, fields, group_lines
+from .geometry import PAGE, column_index, group_lines, line_fields
 
 # Words that title a column.
 TITLES = r"(?i)^(?:qty|quantity|case|unt|unit|item#?|items?|part#?|upc|sku|description|pack|prc|price|extended|amount|total|ordered|shipped|customer|tax|per|oos|qos|sub-?|code|date|dated|invoice#?|balance|charge|credit|debit|category|lines?|units?|cost)$"
@@ -40,9 +40,14 @@ def field_lines(cells: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("x", "right", "text"))).alias("fs"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence"),
         F.min("x").alias("x"), F.min("top").alias("y"), F.max("bottom").alias("bottom"), F.max("height").alias("height"),
     )
-    hits = F.size(F.filter("fs", lambda f: f["text"].rlike(TITLES)))
-    priced = F.exists("fs", lambda f: f["text"].rlike(r"^\$?[0-9,]*[0-9]\.[0-9]{2}$"))
-    return once(lines, titles=(F.size("fs") >= LEAST_TITLES) & (hits >= LEAST_TITLES) & ~priced)
+    return once(lines, titles=titled(F.col("fs.text")))
+
+
+def titled(texts: Column) -> Column:
+    """Whether a line's fields are enough titles, and none of them an amount."""
+    hits = F.size(F.filter(texts, lambda t: t.rlike(TITLES)))
+    priced = F.exists(texts, lambda t: t.rlike(r"^\$?[0-9,]*[0-9]\.[0-9]{2}$"))
+    return (F.size(texts) >= LEAST_TITLES) & ~priced & (hits >= LEAST_TITLES)
 
 
 def header_lines(cells: DataFrame) -> DataFrame:
@@ -73,22 +78,33 @@ def read_lines(words: DataFrame) -> DataFrame:
     header, furniture, rule, repeated-header, summary, label or unplaced. A line is one row
     from its fields on; what later steps name often is computed once a row.
     """
-    lines = guided(field_lines(fields(group_lines(words.where(F.trim("text") != "")))))
+    found = line_fields(group_lines(words.where(F.trim("text") != "")))
+    lines = guided(found.withColumn("titles", titled(F.col("fs.text"))))
     # A field belongs where it starts: a long cell may reach past the middle of the next title.
-    place = lambda f: column_index(F.least((f["x"] + f["right"]) / 2, f["x"] + 1), F.col("bounds"))
-    placed = F.array_sort(F.transform("fs", lambda f: F.struct(f["x"].alias("x"), f["text"].alias("text"), place(f).alias("col"))))
+    start = lambda f: F.least((f["x"] + f["right"]) / 2, f["x"] + 1)
+    placed = F.transform("fs", lambda f: F.struct(f["x"].alias("x"), f["text"].alias("text"), let(start(f), lambda x: column_index(x, F.col("bounds"))).alias("col")))
     cell = lambda ps, i: F.array_join(F.transform(F.filter(ps, lambda p: p["col"] == i), lambda p: p["text"]), " ")
-    lines = once(lines, printed=let(placed, lambda ps: F.transform("headers", lambda _, i: cell(ps, i))))
-    lines = once(lines, text=F.array_join(F.filter("printed", lambda c: c != ""), " "), cells=F.transform("printed", T.without_stock_notes))
-    item = T.is_line_item(F.col("cells"))
-    kind = lambda item: (
+    spread = let(F.array_sort(placed), lambda ps: F.transform("headers", lambda _, i: cell(ps, i)))
+    # the usual line has a field for every title, each between its edge and the next
+    within = lambda x, i: (F.get("bounds", i) <= x) & F.coalesce(F.get("bounds", i + 1) > x, F.lit(True))
+    each = (F.size("fs") == F.size("headers")) & (F.col("bounds") == F.sort_array("bounds")) & F.forall(F.transform(F.transform("fs", start), within), lambda ok: ok)
+    lines = lines.withColumn("printed", F.when(each, F.col("fs.text")).otherwise(spread))
+    lines = lines.withColumn("text", F.array_join(F.array_remove("printed", F.lit("")), " "))
+    noted = F.col("text").rlike("(?i)stock")  # else no cell holds a note
+    lines = lines.withColumn("cells", F.when(noted, F.transform("printed", T.without_stock_notes)).otherwise(F.col("printed")))
+    lines = lines.withColumn("item", T.is_line_item(F.col("cells")))
+    item, text = F.col("item"), F.col("text")
+    lines = lines.withColumns({
+        "furniture": F.when(~item, T.is_furniture(text)), "again": T.is_repeated_header(F.col("cells"), F.col("headers")), "summary": T.is_summary(F.col("cells"), item),
+    })
+    kind = (
         F.when(F.col("line_id") == F.col("header_line"), "header").when(F.col("line_id") < F.col("header_line"), "above")
-        .when(~item & T.is_furniture(F.col("text")), "furniture").when(T.is_rule(F.col("text")), "rule")
-        .when(T.is_repeated_header(F.col("cells"), F.col("headers")), "repeated-header").when(T.is_summary(F.col("cells"), item), "summary")
-        .when(~item & T.is_starred(F.col("text")) & F.col("text").rlike("[A-Za-z]"), "label").when(item, "item").otherwise("unplaced")
+        .when(~item & F.col("furniture"), "furniture").when(T.is_rule(text), "rule")
+        .when(F.col("again"), "repeated-header").when(F.col("summary"), "summary")
+        .when(~item & T.is_starred(text) & text.rlike("[A-Za-z]"), "label").when(item, "item").otherwise("unplaced")
     )
-    notes = F.flatten(F.transform("printed", T.stock_notes))
-    return once(lines, kind=let(item, kind)).select(*PAGE, "line_id", "headers", "cells", "text", notes.alias("notes"), "confidence", "x", "y", "bottom", "height", "kind")
+    notes = F.when(noted, F.flatten(F.transform("printed", T.stock_notes))).otherwise(F.array().cast("array<string>"))
+    return once(lines, kind=kind).select(*PAGE, "line_id", "headers", "cells", "text", notes.alias("notes"), "confidence", "x", "y", "bottom", "height", "kind")
 
 
 def table_rows(lines: DataFrame) -> DataFrame:

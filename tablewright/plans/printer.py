@@ -29,7 +29,7 @@ def print_fields(lines: DataFrame, xs: list[float]) -> DataFrame:
     fields = lines.select("doc", "page", "y", F.posexplode("cells").alias("col", "cell")).where(F.trim("cell") != "")
     left = F.element_at(F.array(*map(F.lit, xs)), F.col("col") + 1)
     words = fields.select("doc", "page", "y", "col", left.alias("left"), F.col("cell"), F.posexplode(F.split("cell", " ")).alias("nth", "text"))
-    before = F.length(F.array_join(F.slice(F.split("cell", " "), 1, F.col("nth")), " ")) + F.when(F.col("nth") > 0, 1).otherwise(0)
+    before = F.when(F.col("nth") > 0, F.length(F.array_join(F.slice(F.split("cell", " "), 1, F.col("nth")), " ")) + 1).otherwise(0)
     return words.where("text <> ''").select(
         "doc", "page", F.xxhash64("doc", "page", "y", "col", "nth").alias("word_id"), "text", (F.col("left") + before * GLYPH).alias("x"), "y",
         (F.length("text") * GLYPH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(1.0).alias("confidence"),
