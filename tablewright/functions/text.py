@@ -73,8 +73,9 @@ def is_quantity(text: Column) -> Column:
 
 def is_figure(text: Column) -> Column:
     """A quantity or an amount, a leading mark and a trailing one-letter flag aside."""
+    figure = lambda b: is_quantity(b) | b.rlike(r"^[(-]?\$?\s?-?[0-9,]*[0-9]\.[0-9]{1,4}\)?-?$")
     bare = F.trim(_sub(_sub(text, r"^[*\s]+"), r"\s+[A-Z*]$"))
-    return let(bare, lambda b: is_quantity(b) | b.rlike(r"^[(-]?\$?\s?-?[0-9,]*[0-9]\.[0-9]{1,4}\)?-?$"))
+    return text.rlike("[0-9]") & F.when(text.rlike(r"^[*\s]|\s[A-Z*]$| $"), figure(bare)).otherwise(figure(text))
 
 
 def is_code(text: Column) -> Column:
